@@ -1,0 +1,31 @@
+"""Joining a small per-period table onto per-player rows.
+
+The per-period side (one row per game x period [x cluster]) is usually tiny, but its
+size depends on how many games and clusters the input holds, so it is counted before it
+is broadcast. Beyond the limit the join is salted: the per-period rows are replicated
+``salts`` times and each per-player row takes one salt from a hash of its ``userId``,
+so no (game, period) key -- a handful of values -- lands in a single task.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+DEFAULT_MAX_BROADCAST_ROWS = 1_000_000
+DEFAULT_SALTS = 64
+
+
+def join_small_side(large: DataFrame, small: DataFrame, keys: list[str], how: str = "left",
+                    max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS, salts: int = DEFAULT_SALTS,
+                    salt_from: str = "userId") -> DataFrame:
+    """``large`` joined to ``small`` on ``keys``: broadcast when ``small`` has at most
+    ``max_broadcast_rows`` rows (counted), else a salted shuffle join."""
+    if how not in ("left", "inner"):
+        raise ValueError("how must be 'left' or 'inner'")
+    if small.count() <= max_broadcast_rows:
+        return large.join(F.broadcast(small), keys, how)
+    salt = F.pmod(F.xxhash64(F.col(salt_from)), F.lit(salts)).cast("int")
+    salted_large = large.withColumn("_salt", F.coalesce(salt, F.lit(0)))
+    salted_small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted_large.join(salted_small, [*keys, "_salt"], how).drop("_salt")

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions import time as T
-from ..operators import clean, rollup
+from ..operators import clean, ltv, profile, retention, rollup, segment
+from ..sources import tables
 from ..sources.events import behavior_source, player_info_source
 from ..sources.fixtures import game_events, load_game_events
 from ..sources.schemas import EVENT_SCHEMA
@@ -23,6 +24,16 @@ from ..sources.schemas import EVENT_SCHEMA
 # Parameters of the registered queries. The enrich range covers every month present in
 # the adapter's data (2024-01-01 .. 2024-03-01), so the rollups run over whole tables.
 ENRICH_MONTHS = T.MonthRange("202401", "202403")
+# Analyses run over every game (each game analysed on its own: gameId is a group key)
+# and every month; the game/range filter operators are checked with GAME over FILTER_MONTHS.
+ANALYSIS_MONTHS = T.MonthRange("202401", "202403")
+GAME = "GAME_A"
+FILTER_MONTHS = T.MonthRange("202401", "202402")
+# Given centres over the five raw features, for deterministic cluster labels.
+FIXED_CENTROIDS = ((0, 0, 0, 1, 0), (1, 0, 0, 2, 0), (1, 1, 1, 3, 1))
+KMEANS_K = 4
+ELBOW_K = (3, 6)
+RETENTION_START = "202401"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -35,8 +46,13 @@ def query(name: str):
 
 
 def stable(df: DataFrame, places: int = 6) -> DataFrame:
-    """Round every double column (for value hashing only)."""
-    return df.select(*[F.round(F.col(f.name), places).alias(f.name) if isinstance(f.dataType, DoubleType)
+    """Round every double column (for value hashing only).
+
+    Snapped to 12 places first, so last-bit noise of a value on a rounding boundary
+    (e.g. 0.0021875) rounds the same way in every engine.
+    """
+    return df.select(*[F.round(F.round(F.col(f.name), 12), places).alias(f.name)
+                       if isinstance(f.dataType, DoubleType)
                        else F.col(f.name) for f in df.schema.fields])
 
 
@@ -183,3 +199,257 @@ def q_rollup_monthly(spark, sf_dir):
 @query("preview_latest_daily")
 def q_preview_latest_daily(spark, sf_dir):
     return stable(rollup.preview_latest(daily(spark, sf_dir), 15))
+
+
+# --- analysis inputs (S6-S8) -----------------------------------------------------------------
+
+def players_clean(spark, sf_dir):
+    return clean.clean_players(player_info(spark, sf_dir))
+
+
+def seg_input(spark, sf_dir, game_id=None, months=ANALYSIS_MONTHS):
+    return tables.segmentation_input(daily(spark, sf_dir), "daily", game_id, months)
+
+
+def clusters(spark, sf_dir, game_id=None, months=ANALYSIS_MONTHS):
+    """Cluster-labelled daily rows, labels from the fixed centres."""
+    labelled = segment.assign_to_centroids(seg_input(spark, sf_dir, game_id, months), FIXED_CENTROIDS)
+    return tables.cluster_input(labelled, "daily", game_id, months)
+
+
+@query("src_game_player_events")
+def q_src_game_player_events(spark, sf_dir):
+    return tables.game_player_events(players_clean(spark, sf_dir), GAME, FILTER_MONTHS)
+
+
+@query("src_game_daily")
+def q_src_game_daily(spark, sf_dir):
+    return seg_input(spark, sf_dir, GAME, FILTER_MONTHS)
+
+
+@query("src_game_monthly")
+def q_src_game_monthly(spark, sf_dir):
+    monthly = rollup.monthly_rollup(daily(spark, sf_dir))
+    return tables.segmentation_input(monthly, "monthly", GAME, FILTER_MONTHS)
+
+
+@query("src_game_cluster")
+def q_src_game_cluster(spark, sf_dir):
+    return clusters(spark, sf_dir, GAME, FILTER_MONTHS)
+
+
+# --- segmentation (M1-M11) -----------------------------------------------------------------
+
+@query("seg_features")
+def q_seg_features(spark, sf_dir):
+    return seg_input(spark, sf_dir)
+
+
+@query("seg_scaled_features")
+def q_seg_scaled_features(spark, sf_dir):
+    sc = segment.scaled(seg_input(spark, sf_dir))
+    arr = F.col(segment.SCALED_COL)
+    from pyspark.ml.functions import vector_to_array
+    sc = sc.withColumn("_s", vector_to_array(arr))
+    return stable(sc.select("userId", "gameId", "date", "partOfDay",
+                            *[F.col("_s")[i].alias(f"s_{f}") for i, f in enumerate(segment.FEATURES)]))
+
+
+@query("seg_assign_fixed")
+def q_seg_assign_fixed(spark, sf_dir):
+    return segment.assign_to_centroids(seg_input(spark, sf_dir), FIXED_CENTROIDS)
+
+
+def _fitted(spark, sf_dir):
+    features = seg_input(spark, sf_dir)
+    return features, segment.fit_segmentation(features, KMEANS_K)
+
+
+@query("seg_kmeans")
+def q_seg_kmeans(spark, sf_dir):
+    features, model = _fitted(spark, sf_dir)
+    return segment.label(model, features).drop(segment.FEATURE_COL, segment.SCALED_COL)
+
+
+@query("seg_centers")
+def q_seg_centers(spark, sf_dir):
+    _, model = _fitted(spark, sf_dir)
+    return segment.cluster_centers(model)
+
+
+@query("seg_elbow")
+def q_seg_elbow(spark, sf_dir):
+    return segment.elbow(seg_input(spark, sf_dir), *ELBOW_K)
+
+
+@query("seg_pca")
+def q_seg_pca(spark, sf_dir):
+    features, model = _fitted(spark, sf_dir)
+    return segment.pca_points(segment.label(model, features))
+
+
+# --- cluster profiles (A13-A19, T3) ----------------------------------------------------------
+
+@query("cluster_users")
+def q_cluster_users(spark, sf_dir):
+    return profile.users_per_cluster(clusters(spark, sf_dir))
+
+
+@query("cluster_feature_summary")
+def q_cluster_feature_summary(spark, sf_dir):
+    return stable(profile.feature_summary(clusters(spark, sf_dir)))
+
+
+@query("cluster_active_players")
+def q_cluster_active_players(spark, sf_dir):
+    return profile.active_players(clusters(spark, sf_dir))
+
+
+@query("cluster_avg_levels")
+def q_cluster_avg_levels(spark, sf_dir):
+    return stable(profile.avg_levels_completed(clusters(spark, sf_dir)))
+
+
+@query("cluster_avg_ads")
+def q_cluster_avg_ads(spark, sf_dir):
+    return stable(profile.avg_ads_watched(clusters(spark, sf_dir)))
+
+
+@query("cluster_organic_users")
+def q_cluster_organic_users(spark, sf_dir):
+    return profile.organic_users(clusters(spark, sf_dir))
+
+
+@query("cluster_ids")
+def q_cluster_ids(spark, sf_dir):
+    return profile.cluster_ids(clusters(spark, sf_dir))
+
+
+@query("cluster_sample")
+def q_cluster_sample(spark, sf_dir):
+    return profile.cluster_sample(clusters(spark, sf_dir), 20)
+
+
+# --- lifetime value (L1-L8) ---------------------------------------------------------------
+
+@query("ltv_by_cluster")
+def q_ltv_by_cluster(spark, sf_dir):
+    return stable(ltv.ltv_by_cluster(clusters(spark, sf_dir)))
+
+
+@query("ltv_user_day_revenue")
+def q_ltv_user_day_revenue(spark, sf_dir):
+    return stable(ltv.user_day_revenue(clusters(spark, sf_dir)))
+
+
+@query("ltv_active_per_day")
+def q_ltv_active_per_day(spark, sf_dir):
+    return ltv.active_per_day(clusters(spark, sf_dir), active="flag")
+
+
+@query("ltv_active_users_per_day")
+def q_ltv_active_users_per_day(spark, sf_dir):
+    return ltv.active_per_day(clusters(spark, sf_dir), active="users")
+
+
+@query("ltv_user_daily")
+def q_ltv_user_daily(spark, sf_dir):
+    return stable(ltv.ltv_user_daily(clusters(spark, sf_dir)))
+
+
+@query("ltv_user_daily_active_users")
+def q_ltv_user_daily_active_users(spark, sf_dir):
+    return stable(ltv.ltv_user_daily(clusters(spark, sf_dir), active="users"))
+
+
+@query("ltv_points_daily")
+def q_ltv_points_daily(spark, sf_dir):
+    return stable(ltv.ltv_points_daily(clusters(spark, sf_dir)))
+
+
+@query("ltv_points_daily_by_cluster")
+def q_ltv_points_daily_by_cluster(spark, sf_dir):
+    return stable(ltv.ltv_points_daily_by_cluster(clusters(spark, sf_dir)))
+
+
+@query("ltv_user_monthly")
+def q_ltv_user_monthly(spark, sf_dir):
+    return stable(ltv.ltv_user_monthly(clusters(spark, sf_dir)))
+
+
+@query("ltv_points_monthly")
+def q_ltv_points_monthly(spark, sf_dir):
+    return stable(ltv.ltv_points_monthly(clusters(spark, sf_dir)))
+
+
+# --- retention (A8-A12, R1-R4, J6) --------------------------------------------------------
+
+def _cohort_events(spark, sf_dir, cohort="any"):
+    return retention.cohort_events(players_clean(spark, sf_dir), RETENTION_START, cohort)
+
+
+@query("retention_new_users")
+def q_retention_new_users(spark, sf_dir):
+    return retention.new_users(_cohort_events(spark, sf_dir))
+
+
+@query("retention_activity")
+def q_retention_activity(spark, sf_dir):
+    lo, hi = retention.activity_range(RETENTION_START, 0)
+    d = daily(spark, sf_dir)
+    return retention.daily_activity(d.where(F.col("date").between(F.lit(lo), F.lit(hi))))
+
+
+@query("retention_cohorts")
+def q_retention_cohorts(spark, sf_dir):
+    return retention.cohort_members(_cohort_events(spark, sf_dir))
+
+
+@query("cohort_activity")
+def q_cohort_activity(spark, sf_dir):
+    lo, hi = retention.activity_range(RETENTION_START, 3)
+    d = daily(spark, sf_dir)
+    act = retention.daily_activity(d.where(F.col("date").between(F.lit(lo), F.lit(hi))))
+    return retention.cohort_activity(retention.cohort_members(_cohort_events(spark, sf_dir)), act,
+                                     T.days_in_month(RETENTION_START), 3)
+
+
+@query("retention_grid")
+def q_retention_grid(spark, sf_dir):
+    return retention.retention_grid(retention.new_users(_cohort_events(spark, sf_dir)),
+                                    T.days_in_month(RETENTION_START))
+
+
+def _points(spark, sf_dir, idle, **kw):
+    return retention.retention_points(players_clean(spark, sf_dir), daily(spark, sf_dir),
+                                      RETENTION_START, idle, **kw)
+
+
+@query("retention_points")
+def q_retention_points(spark, sf_dir):
+    return stable(_points(spark, sf_dir, 0))
+
+
+@query("retention_points_idle3")
+def q_retention_points_idle3(spark, sf_dir):
+    return stable(_points(spark, sf_dir, 3))
+
+
+@query("retention_points_full_horizon")
+def q_retention_points_full_horizon(spark, sf_dir):
+    return stable(_points(spark, sf_dir, 3, full_horizon=True))
+
+
+@query("retention_points_signup")
+def q_retention_points_signup(spark, sf_dir):
+    return stable(_points(spark, sf_dir, 0, cohort="signup"))
+
+
+@query("retention_monthly_avg")
+def q_retention_monthly_avg(spark, sf_dir):
+    return stable(retention.monthly_average(_points(spark, sf_dir, 0), RETENTION_START))
+
+
+@query("retention_monthly_avg_cohorts")
+def q_retention_monthly_avg_cohorts(spark, sf_dir):
+    return stable(retention.monthly_average(_points(spark, sf_dir, 3), RETENTION_START, "cohorts"))

@@ -187,9 +187,9 @@ monthly AS (
 )"""
 
 _MEASURE_COLS = """numLevelsCompleted, numLevelsStarted, numAdsWatched, numAdsIgnored,
-  numAdsProposed, numPurchasesDone, round(amountPurchasesDoneDol, 6) AS amountPurchasesDoneDol,
-  numPurchasesRejected, round(amountPurchasesRejectedDol, 6) AS amountPurchasesRejectedDol,
-  numPurchasesCanceled, round(amountPurchasesCanceledDol, 6) AS amountPurchasesCanceledDol"""
+  numAdsProposed, numPurchasesDone, round(round(amountPurchasesDoneDol, 12), 6) AS amountPurchasesDoneDol,
+  numPurchasesRejected, round(round(amountPurchasesRejectedDol, 12), 6) AS amountPurchasesRejectedDol,
+  numPurchasesCanceled, round(round(amountPurchasesCanceledDol, 12), 6) AS amountPurchasesCanceledDol"""
 
 _TZ_MINUTES = """(CASE WHEN tz LIKE '-%' THEN -1 ELSE 1 END)
       * (CAST(substr(tz, 2, 2) AS INTEGER) * 60 + CAST(substr(tz, 5, 2) AS INTEGER))"""
@@ -225,14 +225,14 @@ FROM (
 _q("src_events", """
 SELECT eventId, userId, gameId, attribution, action, "timestamp", timezone, levelId,
   levelDifficulty, levelProgress, status, placementId, adType, itemId, category,
-  round(amount, 6) AS amount, currency
+  round(round(amount, 12), 6) AS amount, currency
 FROM raw_events""")
 
 _q("src_player_info", "SELECT * FROM player_info")
 
 _q("src_behavior", """
 SELECT userId, gameId, levelId, levelDifficulty, levelProgress, status, "timestamp", timezone,
-  placementId, adType, itemId, category, round(amount, 6) AS amount, currency,
+  placementId, adType, itemId, category, round(round(amount, 12), 6) AS amount, currency,
   strftime(dt, '%Y-%m-%d %H:%M:%S') AS datetime, date
 FROM behavior""")
 
@@ -240,7 +240,7 @@ _q("clean_players", "SELECT * FROM players")
 _q("clean_levels", "SELECT * FROM levels")
 _q("clean_ads", "SELECT * FROM ads")
 _q("clean_purchases", """
-SELECT userId, gameId, itemId, category, round(amount, 6) AS amount, currency, status, timezone,
+SELECT userId, gameId, itemId, category, round(round(amount, 12), 6) AS amount, currency, status, timezone,
   hourOfDay, date FROM purchases""")
 
 _q("agg_registration", "SELECT * FROM reg")
@@ -248,9 +248,9 @@ _q("agg_levels_hourly", "SELECT * FROM lv")
 _q("agg_ads_hourly", "SELECT * FROM ad")
 _q("agg_purchases_hourly", """
 SELECT userId, gameId, date, hourOfDay, numPurchasesDone,
-  round(amountPurchasesDoneDol, 6) AS amountPurchasesDoneDol, numPurchasesRejected,
-  round(amountPurchasesRejectedDol, 6) AS amountPurchasesRejectedDol, numPurchasesCanceled,
-  round(amountPurchasesCanceledDol, 6) AS amountPurchasesCanceledDol
+  round(round(amountPurchasesDoneDol, 12), 6) AS amountPurchasesDoneDol, numPurchasesRejected,
+  round(round(amountPurchasesRejectedDol, 12), 6) AS amountPurchasesRejectedDol, numPurchasesCanceled,
+  round(round(amountPurchasesCanceledDol, 12), 6) AS amountPurchasesCanceledDol
 FROM pu""")
 
 _q("join_levels_players", """
@@ -264,9 +264,9 @@ FROM lv LEFT JOIN ad ON lv.userId = ad.userId AND lv.gameId = ad.gameId AND lv.d
   AND lv.hourOfDay = ad.hourOfDay""")
 
 _q("join_levels_purchases", """
-SELECT lv.*, pu.numPurchasesDone, round(pu.amountPurchasesDoneDol, 6) AS amountPurchasesDoneDol,
-  pu.numPurchasesRejected, round(pu.amountPurchasesRejectedDol, 6) AS amountPurchasesRejectedDol,
-  pu.numPurchasesCanceled, round(pu.amountPurchasesCanceledDol, 6) AS amountPurchasesCanceledDol
+SELECT lv.*, pu.numPurchasesDone, round(round(pu.amountPurchasesDoneDol, 12), 6) AS amountPurchasesDoneDol,
+  pu.numPurchasesRejected, round(round(pu.amountPurchasesRejectedDol, 12), 6) AS amountPurchasesRejectedDol,
+  pu.numPurchasesCanceled, round(round(pu.amountPurchasesCanceledDol, 12), 6) AS amountPurchasesCanceledDol
 FROM lv LEFT JOIN pu ON lv.userId = pu.userId AND lv.gameId = pu.gameId AND lv.date = pu.date
   AND lv.hourOfDay = pu.hourOfDay""")
 
@@ -287,3 +287,283 @@ SELECT userId, gameId, date, partOfDay, flagOrganic, dateRegistration, {_MEASURE
   dayOfWeek FROM daily
 ORDER BY date DESC, userId ASC NULLS FIRST, gameId ASC NULLS FIRST, partOfDay ASC NULLS FIRST
 LIMIT 15""")
+
+
+# --- analysis ---------------------------------------------------------------------------------
+
+def _month_sql(col: str, months: T.MonthRange) -> str:
+    return f"strftime({col}, '%Y%m') BETWEEN '{months.from_month}' AND '{months.to_month}'"
+
+
+_POD_NUMBER = ("CASE partOfDay WHEN 'morning' THEN 0 WHEN 'afternoon' THEN 1 "
+               "WHEN 'evening' THEN 2 WHEN 'night' THEN 3 END")
+
+
+def _seg_sql(source: str, period: str, period_filter: str, game_filter: str = "TRUE") -> str:
+    return f"""SELECT userId, gameId, numLevelsStarted, numLevelsCompleted, numAdsWatched,
+    numPurchasesDone, partOfDay, CAST({_POD_NUMBER} AS INTEGER) AS partOfDayNumber, flagOrganic, {period}
+  FROM {source} WHERE {period_filter} AND {game_filter}"""
+
+
+def _label_sql(source: str) -> str:
+    feats = ("numLevelsCompleted", "numAdsWatched", "numPurchasesDone", "partOfDayNumber", "flagOrganic")
+    dists = []
+    for i, c in enumerate(C.FIXED_CENTROIDS):
+        terms = " + ".join(f"power(CAST({f} AS DOUBLE) - {float(v)}, 2)" for f, v in zip(feats, c))
+        dists.append(f"{terms} AS d{i}")
+    n = len(C.FIXED_CENTROIDS)
+    # nearest centre, lowest id on ties
+    whens = []
+    for i in range(n - 1):
+        cond = " AND ".join(f"d{i} <= d{j}" for j in range(i + 1, n))
+        whens.append(f"WHEN {cond} THEN {i}")
+    case = f"CASE {' '.join(whens)} ELSE {n - 1} END"
+    return f"""SELECT * EXCLUDE ({', '.join(f'd{i}' for i in range(n))}), CAST({case} AS INTEGER) AS cluster
+  FROM (SELECT *, {', '.join(dists)} FROM {source}) t"""
+
+
+_GAME = f"gameId = '{C.GAME}'"
+_N = T.days_in_month(C.RETENTION_START)
+_R_MONTH = T.MonthRange.one(C.RETENTION_START)
+
+
+def _act_range(idle: int, full: bool = False) -> tuple[str, str]:
+    from ..operators.retention import activity_range
+    lo, hi = activity_range(C.RETENTION_START, idle, full)
+    return lo.isoformat(), hi.isoformat()
+
+
+ANALYSIS = f"""
+seg AS ({_seg_sql('daily', 'date', _month_sql('date', C.ANALYSIS_MONTHS))}),
+labelled AS ({_label_sql('seg')}),
+clusters AS (
+  SELECT userId, gameId, numLevelsCompleted, numAdsWatched, numPurchasesDone, partOfDay,
+         partOfDayNumber, flagOrganic, cluster, date FROM labelled
+),
+ltv_ud AS (
+  SELECT gameId, userId, date, count(partOfDay) AS lifetime,
+         CAST(sum(numAdsWatched) AS DOUBLE) * CAST(0.015 AS DOUBLE) AS revenue
+  FROM clusters GROUP BY gameId, userId, date
+),
+dau_flag AS (
+  SELECT gameId, date, count(DISTINCT numLevelsCompleted > 0) AS activeUsersPerPeriod
+  FROM clusters GROUP BY gameId, date
+),
+dau_users AS (
+  SELECT gameId, date,
+         count(DISTINCT CASE WHEN numLevelsCompleted > 0 THEN userId END) AS activeUsersPerPeriod
+  FROM clusters GROUP BY gameId, date
+),
+ltv_daily AS (
+  SELECT u.gameId, u.userId,
+         CASE WHEN d.activeUsersPerPeriod = 0 THEN NULL ELSE u.revenue / d.activeUsersPerPeriod END
+           * u.lifetime AS ltv, u.date
+  FROM ltv_ud u LEFT JOIN dau_flag d ON u.gameId = d.gameId AND u.date = d.date
+),
+ltv_daily_users AS (
+  SELECT u.gameId, u.userId,
+         CASE WHEN d.activeUsersPerPeriod = 0 THEN NULL ELSE u.revenue / d.activeUsersPerPeriod END
+           * u.lifetime AS ltv, u.date
+  FROM ltv_ud u LEFT JOIN dau_users d ON u.gameId = d.gameId AND u.date = d.date
+),
+ltv_ucd AS (
+  SELECT gameId, cluster, userId, date, count(partOfDay) AS lifetime,
+         CAST(sum(numAdsWatched) AS DOUBLE) * CAST(0.015 AS DOUBLE) AS revenue
+  FROM clusters GROUP BY gameId, cluster, userId, date
+),
+dau_cluster AS (
+  SELECT gameId, cluster, date, count(DISTINCT numLevelsCompleted > 0) AS activeUsersPerPeriod
+  FROM clusters GROUP BY gameId, cluster, date
+),
+ltv_daily_cluster AS (
+  SELECT u.gameId, u.cluster, u.userId,
+         CASE WHEN d.activeUsersPerPeriod = 0 THEN NULL ELSE u.revenue / d.activeUsersPerPeriod END
+           * u.lifetime AS ltv, u.date
+  FROM ltv_ucd u LEFT JOIN dau_cluster d
+    ON u.gameId = d.gameId AND u.cluster = d.cluster AND u.date = d.date
+),
+ltv_um AS (
+  SELECT gameId, userId, strftime(date, '%Y%m') AS codMonth, count(DISTINCT date) AS lifetime,
+         CAST(sum(numAdsWatched) AS DOUBLE) * CAST(0.015 AS DOUBLE) AS revenue
+  FROM clusters GROUP BY gameId, userId, strftime(date, '%Y%m')
+),
+mau_flag AS (
+  SELECT gameId, strftime(date, '%Y%m') AS codMonth,
+         count(DISTINCT numLevelsCompleted > 0) AS activeUsersPerPeriod
+  FROM clusters GROUP BY gameId, strftime(date, '%Y%m')
+),
+ltv_monthly AS (
+  SELECT u.gameId, u.userId,
+         CASE WHEN d.activeUsersPerPeriod = 0 THEN NULL ELSE u.revenue / d.activeUsersPerPeriod END
+           * u.lifetime AS ltv, u.codMonth
+  FROM ltv_um u LEFT JOIN mau_flag d ON u.gameId = d.gameId AND u.codMonth = d.codMonth
+),
+r_events AS (
+  SELECT gameId, date, userId, action FROM players WHERE {_month_sql('date', _R_MONTH)}
+),
+r_new AS (
+  SELECT gameId, date AS pivotDate, count(DISTINCT userId) AS newUsers FROM r_events GROUP BY gameId, date
+),
+r_members AS (
+  SELECT DISTINCT gameId, date AS pivotDate, userId FROM r_events WHERE userId IS NOT NULL
+),
+r_grid AS (
+  SELECT gameId, pivotDate, newUsers, CAST(unnest(generate_series(1, {_N})) AS INTEGER) AS dayRetention
+  FROM r_new WHERE newUsers > 0
+)"""
+
+
+def _qa(name: str, body: str, extra: str = "") -> None:
+    _q(name, body, ANALYSIS + ("," + extra if extra else ""))
+
+
+_q("src_game_player_events", f"""
+SELECT userId, gameId, attribution, action, date FROM players
+WHERE {_GAME} AND {_month_sql('date', C.FILTER_MONTHS)}""")
+
+_q("src_game_daily", _seg_sql("daily", "date", _month_sql("date", C.FILTER_MONTHS), _GAME))
+
+_q("src_game_monthly", _seg_sql(
+    "monthly", "codMonth",
+    f"CAST(codMonth AS INTEGER) BETWEEN {C.FILTER_MONTHS.from_month} AND {C.FILTER_MONTHS.to_month}", _GAME))
+
+_q("src_game_cluster", f"""
+SELECT userId, gameId, numLevelsCompleted, numAdsWatched, numPurchasesDone, partOfDay,
+  partOfDayNumber, flagOrganic, cluster, date FROM game_labelled""",
+   f"""game_seg AS ({_seg_sql('daily', 'date', _month_sql('date', C.FILTER_MONTHS), _GAME)}),
+game_labelled AS ({_label_sql('game_seg')})""")
+
+_qa("seg_features", "SELECT * FROM seg")
+
+_qa("seg_scaled_features", """
+SELECT userId, gameId, date, partOfDay,
+  round(round(CASE WHEN coalesce(sd0, 0) = 0 THEN 0.0 ELSE numLevelsCompleted / sd0 END, 12), 6) AS s_numLevelsCompleted,
+  round(round(CASE WHEN coalesce(sd1, 0) = 0 THEN 0.0 ELSE numAdsWatched / sd1 END, 12), 6) AS s_numAdsWatched,
+  round(round(CASE WHEN coalesce(sd2, 0) = 0 THEN 0.0 ELSE numPurchasesDone / sd2 END, 12), 6) AS s_numPurchasesDone,
+  round(round(CASE WHEN coalesce(sd3, 0) = 0 THEN 0.0 ELSE partOfDayNumber / sd3 END, 12), 6) AS s_partOfDayNumber,
+  round(round(CASE WHEN coalesce(sd4, 0) = 0 THEN 0.0 ELSE flagOrganic / sd4 END, 12), 6) AS s_flagOrganic
+FROM seg, (SELECT stddev_samp(numLevelsCompleted) AS sd0, stddev_samp(numAdsWatched) AS sd1,
+                  stddev_samp(numPurchasesDone) AS sd2, stddev_samp(partOfDayNumber) AS sd3,
+                  stddev_samp(flagOrganic) AS sd4 FROM seg) s""")
+
+_qa("seg_assign_fixed", "SELECT * FROM labelled")
+
+_qa("cluster_users", """
+SELECT gameId, cluster, count(DISTINCT userId) AS numberOfUsers FROM clusters GROUP BY gameId, cluster""")
+
+_summary = ", ".join(
+    f"count({f}) AS {f}_count, min({f}) AS {f}_min, round(round(avg({f}), 12), 6) AS {f}_mean, max({f}) AS {f}_max"
+    for f in ("numLevelsCompleted", "numAdsWatched", "numPurchasesDone", "partOfDayNumber", "flagOrganic"))
+_qa("cluster_feature_summary", f"SELECT gameId, cluster, {_summary} FROM clusters GROUP BY gameId, cluster")
+
+_qa("cluster_active_players", """
+SELECT gameId, cluster, partOfDay, count(DISTINCT userId) AS activePlayers
+FROM clusters WHERE numLevelsCompleted > 0 GROUP BY gameId, cluster, partOfDay""")
+
+_qa("cluster_avg_levels", """
+SELECT gameId, cluster, partOfDay, round(round(avg(numLevelsCompleted), 12), 6) AS avgLevelsCompleted
+FROM clusters GROUP BY gameId, cluster, partOfDay""")
+
+_qa("cluster_avg_ads", """
+SELECT gameId, cluster, partOfDay, round(round(avg(numAdsWatched), 12), 6) AS avgAdsWatched
+FROM clusters GROUP BY gameId, cluster, partOfDay""")
+
+_qa("cluster_organic_users", """
+SELECT gameId, cluster, CASE flagOrganic WHEN 0 THEN 'not organic' WHEN 1 THEN 'organic' END AS organic,
+  count(DISTINCT userId) AS numberOfUsers
+FROM clusters GROUP BY gameId, cluster, flagOrganic""")
+
+_qa("cluster_ids", "SELECT DISTINCT gameId, cluster FROM clusters")
+
+_qa("cluster_sample", """
+SELECT * FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY gameId, cluster
+      ORDER BY userId ASC NULLS FIRST, date ASC NULLS FIRST, partOfDay ASC NULLS FIRST) AS INTEGER) AS rowInCluster
+  FROM clusters) t
+WHERE rowInCluster <= 20""")
+
+_qa("ltv_by_cluster", """
+SELECT gameId, cluster,
+  round(round(CASE WHEN count(DISTINCT userId) = 0 THEN NULL
+        ELSE CAST(sum(numAdsWatched) AS DOUBLE) * CAST(0.015 AS DOUBLE) / count(DISTINCT userId) END, 12), 6) AS ltv
+FROM clusters GROUP BY gameId, cluster""")
+
+_qa("ltv_user_day_revenue", "SELECT gameId, userId, date, lifetime, round(round(revenue, 12), 6) AS revenue FROM ltv_ud")
+_qa("ltv_active_per_day", "SELECT * FROM dau_flag")
+_qa("ltv_active_users_per_day", "SELECT * FROM dau_users")
+_qa("ltv_user_daily", "SELECT gameId, userId, round(round(ltv, 12), 6) AS ltv, date FROM ltv_daily")
+_qa("ltv_user_daily_active_users", "SELECT gameId, userId, round(round(ltv, 12), 6) AS ltv, date FROM ltv_daily_users")
+_qa("ltv_points_daily", """
+SELECT gameId, date, round(round(CAST(sum(CAST(ltv AS DECIMAL(38,18))) AS DOUBLE), 12), 6) AS sumLtv,
+  round(round(CAST(sum(CAST(ltv AS DECIMAL(38,18))) AS DOUBLE) / CAST(count(ltv) AS DOUBLE), 12), 6) AS avgLtv
+FROM ltv_daily GROUP BY gameId, date""")
+_qa("ltv_points_daily_by_cluster", """
+SELECT gameId, cluster, date, round(round(CAST(sum(CAST(ltv AS DECIMAL(38,18))) AS DOUBLE), 12), 6) AS sumLtv,
+  round(round(CAST(sum(CAST(ltv AS DECIMAL(38,18))) AS DOUBLE) / CAST(count(ltv) AS DOUBLE), 12), 6) AS avgLtv
+FROM ltv_daily_cluster GROUP BY gameId, cluster, date""")
+_qa("ltv_user_monthly", "SELECT gameId, userId, round(round(ltv, 12), 6) AS ltv, codMonth FROM ltv_monthly")
+_qa("ltv_points_monthly", """
+SELECT gameId, codMonth, round(round(CAST(sum(CAST(ltv AS DECIMAL(38,18))) AS DOUBLE), 12), 6) AS sumLtv,
+  round(round(CAST(sum(CAST(ltv AS DECIMAL(38,18))) AS DOUBLE) / CAST(count(ltv) AS DOUBLE), 12), 6) AS avgLtv
+FROM ltv_monthly GROUP BY gameId, codMonth""")
+
+_qa("retention_new_users", "SELECT * FROM r_new")
+_lo0, _hi0 = _act_range(0)
+_qa("retention_activity", f"""
+SELECT gameId, date, userId, CAST(sum(numLevelsCompleted) AS BIGINT) AS numLevelsCompleted,
+  CAST(sum(numLevelsStarted) AS BIGINT) AS numLevelsStarted
+FROM daily WHERE date BETWEEN DATE '{_lo0}' AND DATE '{_hi0}' GROUP BY gameId, date, userId""")
+_qa("retention_cohorts", "SELECT * FROM r_members")
+_lo3, _hi3 = _act_range(3)
+_qa("cohort_activity", f"""
+SELECT m.gameId, m.pivotDate, m.userId, a.date AS activityDate,
+  CAST(a.date - m.pivotDate AS INTEGER) AS daysAfterPivot
+FROM r_members m JOIN (
+  SELECT gameId, date, userId FROM daily WHERE date BETWEEN DATE '{_lo3}' AND DATE '{_hi3}'
+  GROUP BY gameId, date, userId HAVING sum(numLevelsStarted) > 0 OR sum(numLevelsCompleted) > 0) a
+  ON a.gameId = m.gameId AND a.userId = m.userId
+WHERE a.date - m.pivotDate BETWEEN 1 AND {_N + 3}""")
+_qa("retention_grid", "SELECT gameId, pivotDate, newUsers, dayRetention FROM r_grid")
+
+
+def _points_sql(idle: int, full: bool = False, members: str = "r_members", grid: str = "r_grid") -> str:
+    """Brute force of the definition: per pivot and offset, the window sums of each member."""
+    lo, hi = _act_range(idle, full)
+    return f"""(
+  SELECT g.gameId, g.pivotDate, g.dayRetention, g.pivotDate + g.dayRetention AS dateRetention,
+    g.newUsers, CAST(coalesce(h.activeUsers, 0) AS BIGINT) AS activeUsers,
+    CAST(coalesce(h.activeUsers, 0) AS DOUBLE) / g.newUsers * 100.0 AS retentionRate
+  FROM {grid} g LEFT JOIN (
+    SELECT gameId, pivotDate, dayRetention, count(*) AS activeUsers FROM (
+      SELECT g.gameId, g.pivotDate, g.dayRetention, m.userId
+      FROM {grid} g
+      JOIN {members} m ON m.gameId = g.gameId AND m.pivotDate = g.pivotDate
+      JOIN (SELECT gameId, date, userId, sum(numLevelsCompleted) AS c, sum(numLevelsStarted) AS s
+            FROM daily WHERE date BETWEEN DATE '{lo}' AND DATE '{hi}' GROUP BY gameId, date, userId) a
+        ON a.gameId = m.gameId AND a.userId = m.userId
+       AND a.date BETWEEN g.pivotDate + g.dayRetention AND g.pivotDate + g.dayRetention + {idle}
+      GROUP BY g.gameId, g.pivotDate, g.dayRetention, m.userId
+      HAVING sum(a.s) > 0 OR sum(a.c) > 0) w
+    GROUP BY gameId, pivotDate, dayRetention) h
+  ON h.gameId = g.gameId AND h.pivotDate = g.pivotDate AND h.dayRetention = g.dayRetention)"""
+
+
+_ROUND_POINTS = ("SELECT gameId, pivotDate, dayRetention, dateRetention, newUsers, activeUsers, "
+                 "round(round(retentionRate, 12), 6) AS retentionRate FROM ")
+_qa("retention_points", _ROUND_POINTS + _points_sql(0) + " p")
+_qa("retention_points_idle3", _ROUND_POINTS + _points_sql(3) + " p")
+_qa("retention_points_full_horizon", _ROUND_POINTS + _points_sql(3, True) + " p")
+_qa("retention_points_signup", _ROUND_POINTS + _points_sql(0, False, "s_members", "s_grid") + " p", """
+s_events AS (SELECT * FROM r_events WHERE action = 'SIGN_UP'),
+s_members AS (SELECT DISTINCT gameId, date AS pivotDate, userId FROM s_events WHERE userId IS NOT NULL),
+s_grid AS (
+  SELECT gameId, pivotDate, newUsers, CAST(unnest(generate_series(1, """ + str(_N) + """)) AS INTEGER) AS dayRetention
+  FROM (SELECT gameId, date AS pivotDate, count(DISTINCT userId) AS newUsers FROM s_events GROUP BY gameId, date) n
+  WHERE newUsers > 0
+)""")
+_qa("retention_monthly_avg", f"""
+SELECT gameId, dayRetention, round(round(CAST(sum(CAST(retentionRate AS DECIMAL(38,18))) AS DOUBLE) / {float(_N)}, 12), 6) AS avgRetentionRate
+FROM {_points_sql(0)} p GROUP BY gameId, dayRetention""")
+_qa("retention_monthly_avg_cohorts", f"""
+SELECT gameId, dayRetention, round(round(CAST(sum(CAST(retentionRate AS DECIMAL(38,18))) AS DOUBLE) / CAST(count(retentionRate) AS DOUBLE), 12), 6) AS avgRetentionRate
+FROM {_points_sql(3)} p GROUP BY gameId, dayRetention""")
