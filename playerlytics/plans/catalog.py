@@ -453,3 +453,38 @@ def q_retention_monthly_avg(spark, sf_dir):
 @query("retention_monthly_avg_cohorts")
 def q_retention_monthly_avg_cohorts(spark, sf_dir):
     return stable(retention.monthly_average(_points(spark, sf_dir, 3), RETENTION_START, "cohorts"))
+
+
+# --- sinks (S9, S10) ---------------------------------------------------------------------
+# Written under the cluster's shared checkpoint folder (spark.checkpoint.dir), a fresh
+# path per call, then read back with the declared read schema.
+
+REWRITE_MONTH = T.MonthRange.one("202401")
+
+
+@query("sink_roundtrip")
+def q_sink_roundtrip(spark, sf_dir):
+    from ..session import scratch_path
+    from ..sources import sinks
+    from ..sources.schemas import DAILY_TABLE, TABLE_PARTITIONS
+    base = scratch_path(spark, "roundtrip")
+    sinks.write_partitioned(daily(spark, sf_dir), tables.table_path(base, DAILY_TABLE),
+                            TABLE_PARTITIONS[DAILY_TABLE], "static")
+    return stable(tables.read_rollup(spark, base, "daily"))
+
+
+@query("sink_dynamic_overwrite")
+def q_sink_dynamic_overwrite(spark, sf_dir):
+    """Write all days, then re-run January for one game only with dynamic overwrite:
+    January partitions the re-run touches are replaced, all others are kept."""
+    from ..session import scratch_path
+    from ..sources import sinks
+    from ..sources.schemas import DAILY_TABLE, TABLE_PARTITIONS
+    base = scratch_path(spark, "dynamic")
+    path = tables.table_path(base, DAILY_TABLE)
+    parts = TABLE_PARTITIONS[DAILY_TABLE]
+    full = daily(spark, sf_dir)
+    sinks.write_partitioned(full, path, parts, "dynamic")
+    rerun = full.where(REWRITE_MONTH.date_filter(F.col("date")) & (F.col("gameId") == GAME))
+    sinks.write_partitioned(rerun, path, parts, "dynamic")
+    return stable(tables.read_rollup(spark, base, "daily"))

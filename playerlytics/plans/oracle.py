@@ -567,3 +567,14 @@ FROM {_points_sql(0)} p GROUP BY gameId, dayRetention""")
 _qa("retention_monthly_avg_cohorts", f"""
 SELECT gameId, dayRetention, round(round(CAST(sum(CAST(retentionRate AS DECIMAL(38,18))) AS DOUBLE) / CAST(count(retentionRate) AS DOUBLE), 12), 6) AS avgRetentionRate
 FROM {_points_sql(3)} p GROUP BY gameId, dayRetention""")
+
+_DAILY_READ = f"""userId, gameId, flagOrganic, dateRegistration, {_MEASURE_COLS}, partOfDay, date"""
+_q("sink_roundtrip", f"SELECT {_DAILY_READ} FROM daily")
+_q("sink_dynamic_overwrite", f"""
+SELECT {_DAILY_READ} FROM rerun
+UNION ALL
+SELECT {_DAILY_READ} FROM daily d
+WHERE NOT EXISTS (SELECT 1 FROM rerun r WHERE r.date = d.date AND r.partOfDay = d.partOfDay)""",
+   f"""rerun AS (
+  SELECT * FROM daily WHERE {_month_sql('date', C.REWRITE_MONTH)} AND gameId = '{C.GAME}'
+)""")
