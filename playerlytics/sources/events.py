@@ -45,8 +45,10 @@ def behavior_source(events: DataFrame, months: T.MonthRange | None = None,
     """Level, ad and purchase events with a cleaned ``timezone``, a UTC ``datetime``
     (TIMESTAMP_NTZ) and ``date``, limited to ``months``.
 
-    The month range is applied twice: on ``date`` (exact) and on the raw ``timestamp``
-    bounds, which a columnar source can push down to its scan.
+    The month range is applied to the raw ``timestamp`` only: [first instant, first
+    instant after) in epoch ms, which a columnar source pushes down to its scan (row
+    groups and files outside the range are skipped). As ``date`` is the UTC day of
+    ``timestamp``, this is exactly "date within the months".
     ``on_bad_timezone``: "error" (an unknown zone fails the job) or "utc" (treat it as UTC).
     """
     if on_bad_timezone not in ("error", "utc"):
@@ -59,7 +61,4 @@ def behavior_source(events: DataFrame, months: T.MonthRange | None = None,
     if on_bad_timezone == "utc":
         tz = F.when(T.valid_timezone(tz), tz).otherwise(F.lit(T.DEFAULT_TIMEZONE))
     clock = T.utc_wall_clock(F.col("timestamp"))
-    df = df.withColumns({"timezone": tz, "datetime": clock, "date": T.date_of(clock)})
-    if months is not None:
-        df = df.where(months.date_filter(F.col("date")))
-    return df
+    return df.withColumns({"timezone": tz, "datetime": clock, "date": T.date_of(clock)})

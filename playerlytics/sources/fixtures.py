@@ -21,10 +21,19 @@ TIMEZONES_BY_K6 = (None, "+02.00", "-05:00", "+05.30", "+00:00", "-03.00")
 GAMES = ("GAME_A", "GAME_B")
 
 
-def _epoch_micros(ts: Column, is_ntz: bool) -> Column:
-    if is_ntz:
-        return F.timestamp_diff("MICROSECOND", F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")), ts)
-    return F.unix_micros(ts)
+def _epoch_parts(ts: Column, is_ntz: bool) -> tuple[Column, Column, Column]:
+    """(epoch day, hour, epoch ms) of ``ts`` read as a UTC wall clock.
+
+    Built from calendar parts of a TIMESTAMP_NTZ (date, hour, minute, fractional second),
+    which involve no time zone; a TIMESTAMP column is first taken as its UTC wall clock.
+    """
+    if not is_ntz:
+        ts = F.convert_timezone(F.lit("UTC"), F.lit("UTC"), ts)
+    day = F.unix_date(F.to_date(ts)).cast("long")
+    hour = F.hour(ts).cast("long")
+    millis = (day * F.lit(86_400_000) + hour * F.lit(3_600_000) + F.minute(ts).cast("long") * F.lit(60_000)
+              + F.floor(F.date_part(F.lit("SECOND"), ts) * F.lit(1000)).cast("long"))
+    return day, hour, millis
 
 
 def game_events(events: DataFrame, slotted: bool = True) -> DataFrame:
@@ -35,15 +44,14 @@ def game_events(events: DataFrame, slotted: bool = True) -> DataFrame:
     """
     is_ntz = isinstance(events.schema["ts"].dataType, TimestampNTZType)
     k = F.regexp_extract("props", r"([0-9]+)", 1).cast("int")
-    micros = _epoch_micros(F.col("ts"), is_ntz)
-    day_ms = F.floor(micros / F.lit(86_400_000_000)) * F.lit(86_400_000)
-    hour = F.floor(micros / F.lit(3_600_000_000)) % 24
+    day, hour, millis = _epoch_parts(F.col("ts"), is_ntz)
+    day_ms = day * F.lit(86_400_000)
     etype = F.col("event_type")
     uid = F.col("user_id")
 
     base = events.select(F.col("event_id").alias("eventId"), etype.alias("etype"),
                          uid.alias("uid"), F.col("value").alias("value"), k.alias("k"),
-                         day_ms.alias("day_ms"), hour.alias("h"), micros.alias("micros"))
+                         day_ms.alias("day_ms"), hour.alias("h"), millis.alias("millis"))
     k, etype, uid = F.col("k"), F.col("etype"), F.col("uid")
 
     is_signup = etype == "signup"
@@ -71,9 +79,9 @@ def game_events(events: DataFrame, slotted: bool = True) -> DataFrame:
         "attribution": F.when(is_signup & (uid % 7 != 0),
                               F.when(uid % 3 == 0, "organic").otherwise("paid_ads")),
         "action": F.when(is_signup, F.when(k % 10 == 9, "LOGIN").otherwise("SIGN_UP")),
-        "timestamp": ((F.col("day_ms") + F.floor(F.col("h") / 6) * F.lit(SLOT_MS)
+        "timestamp": ((F.col("day_ms") + (F.col("h") / 6).cast("long") * F.lit(SLOT_MS)
                        + F.when(F.col("eventId") % 3 == 0, F.lit(MONTH_SHIFT_MS)).otherwise(F.lit(0)))
-                      if slotted else F.floor(F.col("micros") / 1000)).cast("long"),
+                      if slotted else F.col("millis")).cast("long"),
         "timezone": tz,
         "levelId": F.when(is_level, F.concat(F.lit("L"), (k % 20).cast("string"))),
         "levelDifficulty": F.when(is_level, F.lit("easy")),

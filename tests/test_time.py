@@ -77,3 +77,18 @@ def test_behavior_month_filter_inclusive(spark):
             for t in ("2023-12-31 23:59:59", "2024-01-01 00:00:00", "2024-02-29 23:59:59", "2024-03-01 00:00:00")]
     b = behavior_source(events_df(spark, rows), T.MonthRange("202401", "202402"))
     assert sorted(r.date for r in b.collect()) == [dt.date(2024, 1, 1), dt.date(2024, 2, 29)]
+
+
+def test_adapter_is_session_zone_free(spark):
+    from conftest import SF_SMALL
+    from playerlytics.sources.fixtures import load_game_events, game_events
+    raw = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    a = sorted(load_game_events(spark, SF_SMALL).collect())
+    b0 = sorted(game_events(raw, slotted=False).select("eventId", "timestamp").collect())
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        assert sorted(load_game_events(spark, SF_SMALL).collect()) == a
+        assert sorted(game_events(raw, slotted=False).select("eventId", "timestamp").collect()) == b0
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
