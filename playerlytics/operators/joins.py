@@ -1,10 +1,17 @@
 """Joining a small per-period table onto per-player rows.
 
 The per-period side (one row per game x period [x cluster]) is usually tiny, but its
-size depends on how many games and clusters the input holds, so it is counted before it
-is broadcast. Beyond the limit the join is salted: the per-period rows are replicated
-``salts`` times and each per-player row takes one salt from a hash of its ``userId``,
-so no (game, period) key -- a handful of values -- lands in a single task.
+size depends on how many games and clusters the input holds, so it is never broadcast
+blindly:
+
+* with adaptive execution on (the default), Spark materialises the small side first and
+  broadcasts it only if its measured size is under
+  ``spark.sql.adaptive.autoBroadcastJoinThreshold``; otherwise the join stays a
+  sort-merge join and AQE splits the skewed (game, period) partitions;
+* without it, the small side is counted: broadcast up to ``max_broadcast_rows`` rows,
+  else a salted join -- the per-period rows are replicated ``salts`` times and each
+  per-player row takes one salt from a hash of its ``userId``, so no (game, period)
+  key, a handful of values, lands in a single task.
 """
 
 from __future__ import annotations
@@ -16,13 +23,25 @@ DEFAULT_MAX_BROADCAST_ROWS = 1_000_000
 DEFAULT_SALTS = 64
 
 
+def _adaptive(df: DataFrame) -> bool:
+    conf = df.sparkSession.conf
+    return (conf.get("spark.sql.adaptive.enabled", "true").lower() == "true"
+            and conf.get("spark.sql.adaptive.skewJoin.enabled", "true").lower() == "true")
+
+
 def join_small_side(large: DataFrame, small: DataFrame, keys: list[str], how: str = "left",
                     max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS, salts: int = DEFAULT_SALTS,
-                    salt_from: str = "userId") -> DataFrame:
-    """``large`` joined to ``small`` on ``keys``: broadcast when ``small`` has at most
-    ``max_broadcast_rows`` rows (counted), else a salted shuffle join."""
+                    salt_from: str = "userId", adaptive: bool | None = None) -> DataFrame:
+    """``large`` joined to ``small`` on ``keys`` with a size-checked broadcast (see above).
+
+    ``adaptive=None`` follows the session (AQE with skew joins on -> runtime check).
+    """
     if how not in ("left", "inner"):
         raise ValueError("how must be 'left' or 'inner'")
+    if adaptive is None:
+        adaptive = _adaptive(large)
+    if adaptive:
+        return large.join(small, keys, how)
     if small.count() <= max_broadcast_rows:
         return large.join(F.broadcast(small), keys, how)
     salt = F.pmod(F.xxhash64(F.col(salt_from)), F.lit(salts)).cast("int")

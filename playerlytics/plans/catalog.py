@@ -58,8 +58,15 @@ def stable(df: DataFrame, places: int = 6) -> DataFrame:
 
 # --- shared inputs ------------------------------------------------------------------------
 
+_EVENTS: dict[tuple[int, str], DataFrame] = {}
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load_game_events(spark, sf_dir)
+    """The adapter's raw game events, built once per session and folder."""
+    key = (id(spark), sf_dir)
+    if key not in _EVENTS:
+        _EVENTS[key] = load_game_events(spark, sf_dir)
+    return _EVENTS[key]
 
 
 def player_info(spark: SparkSession, sf_dir: str) -> DataFrame:

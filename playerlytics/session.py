@@ -46,7 +46,12 @@ def local_session(cores: int | str = "*", shuffle_partitions: int | None = None,
                .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
                .config("spark.sql.adaptive.skewJoin.enabled", "true")
                .config("spark.sql.session.timeZone", "UTC")
-               .config("spark.driver.memory", "8g"))
+               .config("spark.driver.memory", "8g")
+               # let HotSpot JIT-compile large generated stage methods (wide CASE/aggregate
+               # stages); on a cluster set the same in spark.executor.extraJavaOptions
+               .config("spark.driver.extraJavaOptions", "-XX:-DontCompileHugeMethods")
+               # no Python call-site capture per Column call (a debugging aid)
+               .config("spark.python.sql.dataFrameDebugging.enabled", "false"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark

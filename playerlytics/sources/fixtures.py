@@ -8,8 +8,7 @@ of ``FIXTURES.md`` section 4. It is a plain projection (no shuffle), so it scale
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import TimestampNTZType
 
 from .schemas import EVENT_SCHEMA
@@ -21,19 +20,48 @@ TIMEZONES_BY_K6 = (None, "+02.00", "-05:00", "+05.30", "+00:00", "-03.00")
 GAMES = ("GAME_A", "GAME_B")
 
 
-def _epoch_parts(ts: Column, is_ntz: bool) -> tuple[Column, Column, Column]:
-    """(epoch day, hour, epoch ms) of ``ts`` read as a UTC wall clock.
-
-    Built from calendar parts of a TIMESTAMP_NTZ (date, hour, minute, fractional second),
-    which involve no time zone; a TIMESTAMP column is first taken as its UTC wall clock.
-    """
-    if not is_ntz:
-        ts = F.convert_timezone(F.lit("UTC"), F.lit("UTC"), ts)
-    day = F.unix_date(F.to_date(ts)).cast("long")
-    hour = F.hour(ts).cast("long")
-    millis = (day * F.lit(86_400_000) + hour * F.lit(3_600_000) + F.minute(ts).cast("long") * F.lit(60_000)
-              + F.floor(F.date_part(F.lit("SECOND"), ts) * F.lit(1000)).cast("long"))
-    return day, hour, millis
+_LEVEL = "(etype = 'click' OR (etype = 'purchase' AND k % 2 = 0))"
+_AD = "(etype = 'view' OR (etype = 'click' AND k % 4 = 1))"
+_PURCHASE = "(etype = 'purchase')"
+
+# One SQL expression per raw-event field (FIXTURES.md section 4), over the columns
+# eventId, etype, uid, value, k (props number), day (epoch day), h (UTC hour), millis.
+_RULES = {
+    "userId": "CASE WHEN k = 99 THEN NULL WHEN k % 5 = 0 THEN concat(' u', uid, ' ') ELSE concat('u', uid) END",
+    "gameId": f"CASE WHEN uid % 4 = 0 THEN '{GAMES[1]}' ELSE '{GAMES[0]}' END",
+    "attribution": ("CASE WHEN etype = 'signup' AND uid % 7 <> 0 "
+                    "THEN CASE WHEN uid % 3 = 0 THEN 'organic' ELSE 'paid_ads' END END"),
+    "action": "CASE WHEN etype = 'signup' THEN CASE WHEN k % 10 = 9 THEN 'LOGIN' ELSE 'SIGN_UP' END END",
+    "timestamp": (f"day * 86400000 + CAST(h / 6 AS BIGINT) * {SLOT_MS} "
+                  f"+ CASE WHEN eventId % 3 = 0 THEN {MONTH_SHIFT_MS} ELSE 0 END"),
+    "timezone": "CASE k % 6 " + " ".join(f"WHEN {i} THEN '{z}'" for i, z in enumerate(TIMEZONES_BY_K6) if z)
+                + " END",
+    "levelId": f"CASE WHEN {_LEVEL} THEN concat('L', k % 20) END",
+    "levelDifficulty": f"CASE WHEN {_LEVEL} THEN 'easy' END",
+    "levelProgress": f"CASE WHEN {_LEVEL} THEN '50' END",
+    "status": ("CASE etype "
+               "WHEN 'click' THEN CASE WHEN k % 4 = 1 THEN 'WATCHED' WHEN k % 3 = 0 THEN 'STARTED' ELSE 'COMPLETED' END "
+               "WHEN 'view' THEN CASE k % 3 WHEN 0 THEN 'WATCHED' WHEN 1 THEN 'IGNORED' ELSE 'PROPOSED' END "
+               "WHEN 'purchase' THEN CASE k % 3 WHEN 0 THEN 'DONE' WHEN 1 THEN 'REJECTED' ELSE 'CANCELED' END END"),
+    "placementId": f"CASE WHEN {_AD} THEN 'top' END",
+    "adType": f"CASE WHEN {_AD} THEN CASE WHEN k % 2 = 0 THEN 'rewarded' ELSE 'banner' END END",
+    "itemId": f"CASE WHEN {_PURCHASE} THEN concat('I', k % 7) END",
+    "category": f"CASE WHEN {_PURCHASE} THEN 'coins' END",
+    "amount": f"CASE WHEN {_PURCHASE} THEN value END",
+    "currency": f"CASE WHEN {_PURCHASE} THEN 'USD' END",
+}
+
+
+def _time_parts(is_ntz: bool) -> list[str]:
+    """Epoch day, UTC hour and epoch ms of ``ts``, with no session time zone involved:
+    calendar parts of a TIMESTAMP_NTZ, or arithmetic on the instant of a TIMESTAMP."""
+    if is_ntz:
+        return ["CAST(unix_date(to_date(ts)) AS BIGINT) AS day", "CAST(hour(ts) AS BIGINT) AS h",
+                "CAST(unix_date(to_date(ts)) AS BIGINT) * 86400000 + hour(ts) * 3600000 + minute(ts) * 60000"
+                " + CAST(floor(date_part('SECOND', ts) * 1000) AS BIGINT) AS millis"]
+    return ["CAST(floor(unix_micros(ts) / 86400000000) AS BIGINT) AS day",
+            "CAST(pmod(floor(unix_micros(ts) / 3600000000), 24) AS BIGINT) AS h",
+            "CAST(floor(unix_micros(ts) / 1000) AS BIGINT) AS millis"]
 
 
 def game_events(events: DataFrame, slotted: bool = True) -> DataFrame:
@@ -43,59 +71,13 @@ def game_events(events: DataFrame, slotted: bool = True) -> DataFrame:
     no slots, no month shift); used to check the time functions on every hour.
     """
     is_ntz = isinstance(events.schema["ts"].dataType, TimestampNTZType)
-    k = F.regexp_extract("props", r"([0-9]+)", 1).cast("int")
-    day, hour, millis = _epoch_parts(F.col("ts"), is_ntz)
-    day_ms = day * F.lit(86_400_000)
-    etype = F.col("event_type")
-    uid = F.col("user_id")
-
-    base = events.select(F.col("event_id").alias("eventId"), etype.alias("etype"),
-                         uid.alias("uid"), F.col("value").alias("value"), k.alias("k"),
-                         day_ms.alias("day_ms"), hour.alias("h"), millis.alias("millis"))
-    k, etype, uid = F.col("k"), F.col("etype"), F.col("uid")
-
-    is_signup = etype == "signup"
-    is_level = (etype == "click") | ((etype == "purchase") & (k % 2 == 0))
-    is_ad = (etype == "view") | ((etype == "click") & (k % 4 == 1))
-    is_purchase = etype == "purchase"
-
-    tz = None
-    for i, name in enumerate(TIMEZONES_BY_K6):
-        if name is not None:
-            tz = F.when(k % 6 == i, F.lit(name)) if tz is None else tz.when(k % 6 == i, F.lit(name))
-
-    status = (F.when(etype == "click",
-                     F.when(k % 4 == 1, "WATCHED").when(k % 3 == 0, "STARTED").otherwise("COMPLETED"))
-              .when(etype == "view",
-                    F.when(k % 3 == 0, "WATCHED").when(k % 3 == 1, "IGNORED").otherwise("PROPOSED"))
-              .when(is_purchase,
-                    F.when(k % 3 == 0, "DONE").when(k % 3 == 1, "REJECTED").otherwise("CANCELED")))
-
-    cols = {
-        "userId": F.when(k == 99, F.lit(None).cast("string"))
-                   .when(k % 5 == 0, F.concat(F.lit(" u"), uid.cast("string"), F.lit(" ")))
-                   .otherwise(F.concat(F.lit("u"), uid.cast("string"))),
-        "gameId": F.when(uid % 4 == 0, F.lit(GAMES[1])).otherwise(F.lit(GAMES[0])),
-        "attribution": F.when(is_signup & (uid % 7 != 0),
-                              F.when(uid % 3 == 0, "organic").otherwise("paid_ads")),
-        "action": F.when(is_signup, F.when(k % 10 == 9, "LOGIN").otherwise("SIGN_UP")),
-        "timestamp": ((F.col("day_ms") + (F.col("h") / 6).cast("long") * F.lit(SLOT_MS)
-                       + F.when(F.col("eventId") % 3 == 0, F.lit(MONTH_SHIFT_MS)).otherwise(F.lit(0)))
-                      if slotted else F.col("millis")).cast("long"),
-        "timezone": tz,
-        "levelId": F.when(is_level, F.concat(F.lit("L"), (k % 20).cast("string"))),
-        "levelDifficulty": F.when(is_level, F.lit("easy")),
-        "levelProgress": F.when(is_level, F.lit("50")),
-        "status": status,
-        "placementId": F.when(is_ad, F.lit("top")),
-        "adType": F.when(is_ad, F.when(k % 2 == 0, "rewarded").otherwise("banner")),
-        "itemId": F.when(is_purchase, F.concat(F.lit("I"), (k % 7).cast("string"))),
-        "category": F.when(is_purchase, F.lit("coins")),
-        "amount": F.when(is_purchase, F.col("value")),
-        "currency": F.when(is_purchase, F.lit("USD")),
-    }
-    return base.select(F.col("eventId"),
-                       *[cols[f.name].cast(f.dataType).alias(f.name) for f in EVENT_SCHEMA.fields])
+    base = events.selectExpr("event_id AS eventId", "event_type AS etype", "user_id AS uid", "value",
+                             "CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k", *_time_parts(is_ntz))
+    rules = dict(_RULES)
+    if not slotted:
+        rules["timestamp"] = "millis"
+    return base.selectExpr("eventId", *[f"CAST({rules[f.name]} AS {f.dataType.simpleString()}) AS `{f.name}`"
+                                        for f in EVENT_SCHEMA.fields])
 
 
 def load_game_events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,6 +49,8 @@ def test_salted_fallback_equals_broadcast(spark):
     from playerlytics.operators.joins import join_small_side
     big = spark.range(0, 2000).selectExpr("cast(id as string) as userId", "id % 3 as g", "id as v")
     small = spark.range(0, 3).selectExpr("id as g", "id * 10 as w")
-    a = join_small_side(big, small, ["g"], "left")
-    b = join_small_side(big, small, ["g"], "left", max_broadcast_rows=1, salts=7)
+    a = join_small_side(big, small, ["g"], "left", adaptive=False)
+    b = join_small_side(big, small, ["g"], "left", max_broadcast_rows=1, salts=7, adaptive=False)
+    c = join_small_side(big, small, ["g"], "left", adaptive=True)
+    assert sorted(a.collect()) == sorted(c.select(*a.columns).collect())
     assert sorted(a.collect()) == sorted(b.select(*a.columns).collect())
