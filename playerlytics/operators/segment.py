@@ -10,6 +10,7 @@ centres with plain column expressions, for deterministic labels.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
@@ -68,18 +69,27 @@ def scaled(features: DataFrame) -> DataFrame:
 
 
 def elbow(features: DataFrame, k_from: int = 3, k_to: int = 25, max_iter: int = DEFAULT_MAX_ITER,
-          seed: int = DEFAULT_SEED) -> DataFrame:
+          seed: int = DEFAULT_SEED, parallelism: int = 4) -> DataFrame:
     """Training cost for each k in [k_from, k_to] (M6).
 
     The scaler is fitted once and the scaled rows are persisted for all fits; each fit
-    is a distributed MLlib job. Returns (kCluster, costTraining), one row per k.
+    is a distributed MLlib job. Fits for different k are independent and seeded, so up to
+    ``parallelism`` of them are submitted concurrently (as ``CrossValidator`` does):
+    their short iteration jobs share the executors instead of running one after another.
+    Returns (kCluster, costTraining), one row per k.
     """
     if k_from < 2 or k_to < k_from:
         raise ValueError("need 2 <= k_from <= k_to")
     data = scaled(features).select(SCALED_COL).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def cost(k: int) -> tuple[int, float]:
+        return k, float(kmeans(k, max_iter, seed).fit(data).summary.trainingCost)
+
     try:
-        costs = [(k, float(kmeans(k, max_iter, seed).fit(data).summary.trainingCost))
-                 for k in range(k_from, k_to + 1)]
+        data.count()   # materialise the persisted rows once, before concurrent fits read them
+        ks = list(range(k_from, k_to + 1))
+        with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(ks)))) as pool:
+            costs = list(pool.map(cost, ks))
     finally:
         data.unpersist()
     schema = StructType([StructField("kCluster", IntegerType(), False),
