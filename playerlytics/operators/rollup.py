@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions import predicates as P
 from ..functions import time as T
 from ..sources.schemas import MEASURES
-from .clean import clean_ads, clean_levels, clean_players, clean_purchases
+from .clean import FAMILY_TABLES, clean_ads, clean_levels, clean_players, clean_purchases, family_rows
 
 USER_KEYS = ("userId", "gameId")
 HOUR_KEYS = ("userId", "gameId", "date", "hourOfDay")
@@ -94,14 +94,18 @@ def hourly_measures(behavior: DataFrame, driver: str = "levels") -> DataFrame:
     With "levels", ads and purchases of a row whose key has a null part are not counted:
     in the per-family form such rows could never join their level group.
     """
-    if driver not in ("levels", "any"):
-        raise ValueError("driver must be 'levels' or 'any'")
     rows = behavior.select(
         F.trim("userId").alias("userId"), F.trim("gameId").alias("gameId"), "date",
         T.local_hour(F.col("datetime"), F.col("timezone")).alias("hourOfDay"),
         F.trim("status").alias("status"), "amount",
         P.is_family("level").alias("_level"), P.is_family("ad").alias("_ad"),
         P.is_family("purchase").alias("_purchase"))
+    return _hourly_agg(rows, driver)
+
+
+def _hourly_agg(rows: DataFrame, driver: str) -> DataFrame:
+    if driver not in ("levels", "any"):
+        raise ValueError("driver must be 'levels' or 'any'")
     if driver == "levels":
         keyed = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in HOUR_KEYS])
         in_family = {"level": F.col("_level"), "ad": F.col("_ad") & keyed,
@@ -123,6 +127,23 @@ def hourly_rollup(player_info: DataFrame, behavior: DataFrame, driver: str = "le
     return finish_hourly(joined)
 
 
+def hourly_rollup_from_clean(cleaned: DataFrame, months: T.MonthRange | None = None,
+                             driver: str = "levels") -> DataFrame:
+    """The hourly rollup from the one-table cleaned families (``clean.clean_events``),
+    e.g. read back from the raw table: one row per (event, family), keys already
+    trimmed, so the three families' counters come from one ``groupBy`` as well."""
+    fam = F.col("family")
+    beh = cleaned.where(fam != F.lit(FAMILY_TABLES["player"]))
+    if months is not None:
+        beh = beh.where(months.date_filter(F.col("date")))
+    rows = beh.select("userId", "gameId", "date", "hourOfDay", "status", "amount",
+                      (fam == F.lit(FAMILY_TABLES["level"])).alias("_level"),
+                      (fam == F.lit(FAMILY_TABLES["ad"])).alias("_ad"),
+                      (fam == F.lit(FAMILY_TABLES["purchase"])).alias("_purchase"))
+    reg = registration(family_rows(cleaned, "player"))
+    return finish_hourly(_hourly_agg(rows, driver).join(reg, list(USER_KEYS), "left"))
+
+
 def hourly_rollup_joined(player_info: DataFrame, behavior: DataFrame) -> DataFrame:
     """The per-family form: levels left-joined to registration, ads, purchases."""
     levels = family_hourly(clean_levels(behavior), "level")

@@ -16,8 +16,7 @@ from ..functions import time as T
 from ..operators import clean, ltv, profile, retention, rollup, segment
 from ..sources import sinks, tables
 from ..sources.events import behavior_source, player_info_source
-from ..sources.schemas import (DAILY_TABLE, HOURLY_TABLE, MONTHLY_TABLE, RAW_TABLES,
-                               TABLE_PARTITIONS)
+from ..sources.schemas import DAILY_TABLE, HOURLY_TABLE, MONTHLY_TABLE, RAW_TABLE, TABLE_PARTITIONS
 
 GRANULARITIES = ("daily", "monthly", "both")
 
@@ -35,9 +34,13 @@ def run_enrich(spark: SparkSession, events: DataFrame, out: str, months: T.Month
     """Clean the events, roll them up and write the tables.
 
     ``granularity``: "daily" writes the hourly and daily rollups, "monthly" the monthly
-    one, "both" all three. With ``write_raw`` the four cleaned families are written by
-    date as well (the player table feeds retention). ``overwrite="dynamic"`` (default)
-    replaces only the days/months of this run.
+    one, "both" all three. ``overwrite="dynamic"`` (default) replaces only the
+    days/months of this run.
+
+    With ``write_raw`` (default) the source is read once: the four cleaned families are
+    written as one table partitioned by (family, date), and the rollups are computed from
+    that table read back (lineage cut; family and date partitions pruned). Without it
+    the rollups read the source directly (player and behaviour scans).
     """
     if granularity not in GRANULARITIES:
         raise ValueError(f"granularity must be one of {GRANULARITIES}")
@@ -45,11 +48,13 @@ def run_enrich(spark: SparkSession, events: DataFrame, out: str, months: T.Month
     behavior = behavior_source(events, months, on_bad_timezone)
     res = EnrichResult()
 
-    def write(name: str, df: DataFrame, partitions) -> DataFrame:
+    def write(name: str, df: DataFrame, partitions, rebalance: bool = True) -> DataFrame:
         path = tables.table_path(out, name)
-        sinks.write_partitioned(df, path, list(partitions), overwrite)
+        sinks.write_partitioned(df, path, list(partitions), overwrite, rebalance)
         res.tables[name] = path
         back = tables.read_table(spark, path)
+        if name == RAW_TABLE:
+            return back
         period = partitions[0]
         if period == "date":
             back = back.where(months.date_filter(F.col("date")))
@@ -59,12 +64,13 @@ def run_enrich(spark: SparkSession, events: DataFrame, out: str, months: T.Month
         return back
 
     if write_raw:
-        families = {"player": clean.clean_players(info), "level": clean.clean_levels(behavior),
-                    "ad": clean.clean_ads(behavior), "purchase": clean.clean_purchases(behavior)}
-        for fam, df in families.items():
-            write(RAW_TABLES[fam], df, ("date",))
-
-    hourly = rollup.hourly_rollup(info, behavior, driver)
+        # no rebalance: raw files are written where they are read (no extra shuffle of the
+        # largest table); each task writes the few (family, date) pairs of its input split
+        raw_back = write(RAW_TABLE, clean.clean_events(events, months, on_bad_timezone),
+                         TABLE_PARTITIONS[RAW_TABLE], rebalance=False)
+        hourly = rollup.hourly_rollup_from_clean(raw_back, months, driver)
+    else:
+        hourly = rollup.hourly_rollup(info, behavior, driver)
     if granularity in ("daily", "both"):
         hourly_back = write(HOURLY_TABLE, hourly, TABLE_PARTITIONS[HOURLY_TABLE])
         daily_back = write(DAILY_TABLE, rollup.daily_rollup(hourly_back), TABLE_PARTITIONS[DAILY_TABLE])

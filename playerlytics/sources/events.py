@@ -24,7 +24,8 @@ def read_events(spark: SparkSession, path: str, fmt: str = "parquet",
     return reader.load(path)
 
 
-def _project(events: DataFrame, schema: StructType) -> DataFrame:
+def project_schema(events: DataFrame, schema: StructType) -> DataFrame:
+    """``events`` with exactly ``schema``'s columns (missing ones null, all cast)."""
     have = set(events.columns)
     return events.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
                            for f in schema.fields])
@@ -35,7 +36,7 @@ def player_info_source(events: DataFrame) -> DataFrame:
 
     Not date-filtered: registration needs the player's whole history.
     """
-    return (_project(events, PLAYER_INFO_SCHEMA)
+    return (project_schema(events, PLAYER_INFO_SCHEMA)
             .where(is_family("player"))
             .withColumn("date", T.date_from_epoch_ms(F.col("timestamp"))))
 
@@ -53,7 +54,7 @@ def behavior_source(events: DataFrame, months: T.MonthRange | None = None,
     """
     if on_bad_timezone not in ("error", "utc"):
         raise ValueError("on_bad_timezone must be 'error' or 'utc'")
-    df = _project(events, BEHAVIOR_SCHEMA).where(is_behavior())
+    df = project_schema(events, BEHAVIOR_SCHEMA).where(is_behavior())
     if months is not None:
         lo, hi = months.epoch_ms_bounds()
         df = df.where((F.col("timestamp") >= F.lit(lo)) & (F.col("timestamp") < F.lit(hi)))

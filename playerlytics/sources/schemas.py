@@ -48,11 +48,6 @@ BEHAVIOR_SCHEMA = merge_schemas([LEVEL_EVENT, AD_EVENT, PURCHASE_EVENT])
 EVENT_SCHEMA = merge_schemas([PLAYER_EVENT, LEVEL_EVENT, AD_EVENT, PURCHASE_EVENT])
 
 # Measures of the rollups, in table order. Counters are sums of 0/1, amounts sums of money.
-COUNTERS = ("numLevelsCompleted", "numLevelsStarted", "numAdsWatched", "numAdsIgnored",
-            "numAdsProposed", "numPurchasesDone")
-PURCHASE_MEASURES = (("numPurchasesDone", "amountPurchasesDoneDol"),
-                     ("numPurchasesRejected", "amountPurchasesRejectedDol"),
-                     ("numPurchasesCanceled", "amountPurchasesCanceledDol"))
 MEASURES = ("numLevelsCompleted", "numLevelsStarted", "numAdsWatched", "numAdsIgnored",
             "numAdsProposed", "numPurchasesDone", "amountPurchasesDoneDol",
             "numPurchasesRejected", "amountPurchasesRejectedDol", "numPurchasesCanceled",
@@ -74,10 +69,10 @@ MONTHLY_ROLLUP_SCHEMA = _struct(("userId", S), ("gameId", S), ("flagOrganic", I)
 HOURLY_TABLE = "hh_playerbehavior"
 DAILY_TABLE = "hd_playerbehavior"
 MONTHLY_TABLE = "hm_playerbehavior"
-CLUSTER_TABLE = "cluster-data"
-RAW_TABLES = {"player": "raw-data/playerEvent", "level": "raw-data/levelEvent",
-              "ad": "raw-data/adEvent", "purchase": "raw-data/purchaseEvent"}
+# The four cleaned families live in one table partitioned by (family, date).
+RAW_TABLE = "raw-data"
 TABLE_PARTITIONS = {
+    RAW_TABLE: ("family", "date"),
     HOURLY_TABLE: ("date", "hourOfDay"),
     DAILY_TABLE: ("date", "partOfDay"),
     MONTHLY_TABLE: ("codMonth", "partOfDay"),

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import time as T
-from .schemas import GRANULARITY_TABLE, RAW_TABLES
+from .schemas import GRANULARITY_TABLE, RAW_TABLE
 
 SEGMENT_COLUMNS = ("userId", "gameId", "numLevelsStarted", "numLevelsCompleted", "numAdsWatched",
                    "numPurchasesDone", "partOfDay", "partOfDayNumber", "flagOrganic")
@@ -36,8 +36,14 @@ def read_rollup(spark: SparkSession, base: str, granularity: str = "daily") -> D
     return spark.read.schema(schema).parquet(table_path(base, table))
 
 
+def read_raw_family(spark: SparkSession, base: str, family: str) -> DataFrame:
+    """One cleaned family from the raw table (prunes the ``family`` partition)."""
+    from ..operators.clean import family_rows
+    return family_rows(read_table(spark, table_path(base, RAW_TABLE)), family)
+
+
 def read_raw_players(spark: SparkSession, base: str) -> DataFrame:
-    return spark.read.parquet(table_path(base, RAW_TABLES["player"]))
+    return read_raw_family(spark, base, "player")
 
 
 def _period_filter(granularity: str, months: T.MonthRange | None):

@@ -123,3 +123,23 @@ def test_preview_latest(spark):
     assert len(p) == 15
     assert p[0].date == d.agg(F.max("date")).first()[0]
     assert [r.date for r in p] == sorted([r.date for r in p], reverse=True)
+
+
+def test_one_scan_cleaning_matches_family_cleaning(spark):
+    ev = load_game_events(spark, SF_SMALL)
+    months = T.MonthRange("202401", "202403")
+    cleaned = clean.clean_events(ev, months)
+    info, beh = player_info_source(ev), behavior_source(ev, months)
+    pairs = {"player": clean.clean_players(info), "level": clean.clean_levels(beh),
+             "ad": clean.clean_ads(beh), "purchase": clean.clean_purchases(beh)}
+    for fam, want in pairs.items():
+        got = clean.family_rows(cleaned, fam)
+        assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0, fam
+    a = rollup.hourly_rollup_from_clean(cleaned, months)
+    b = rollup.hourly_rollup(info, beh)
+    rnd = [F.round(c, 9).alias(c) if c.startswith("amount") else F.col(c) for c in a.columns]
+    assert a.select(*rnd).exceptAll(b.select(*rnd)).count() == 0
+    assert b.select(*rnd).exceptAll(a.select(*rnd)).count() == 0
+    # the source is scanned once
+    plan = cleaned._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 1 and "Generate inline" in plan
