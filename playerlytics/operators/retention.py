@@ -108,13 +108,17 @@ def retention_points(players_clean: DataFrame, daily: DataFrame, start_month: st
     lo, hi = activity_range(start_month, idle, full_horizon)
     events = cohort_events(players_clean, start_month, cohort)
     activity = daily_activity(daily.where(F.col("date").between(F.lit(lo), F.lit(hi))))
-    hits = cohort_activity(cohort_members(events), activity, n, idle)
+    members = cohort_members(events)
+    hits = cohort_activity(members, activity, n, idle)
     d = F.col("daysAfterPivot")
     offsets = F.sequence(F.greatest(F.lit(1), d - F.lit(idle)), F.least(F.lit(n), d))
     active = (hits.select("gameId", "pivotDate", "userId", F.explode(offsets).alias("dayRetention"))
               .groupBy("gameId", "pivotDate", "dayRetention")
               .agg(F.count_distinct("userId").alias("activeUsers")))
-    grid = retention_grid(new_users(events), n)
+    # cohort sizes from the distinct members the join already uses (same exchange, reused);
+    # equal to ``new_users`` on every cohort the grid keeps (null players never count)
+    sizes = members.groupBy("gameId", "pivotDate").agg(F.count("userId").alias("newUsers"))
+    grid = retention_grid(sizes, n)
     active_users = F.coalesce(F.col("activeUsers"), F.lit(0))
     return (grid.join(active, ["gameId", "pivotDate", "dayRetention"], "left")
             .select("gameId", "pivotDate", "dayRetention",
