@@ -58,15 +58,20 @@ def stable(df: DataFrame, places: int = 6) -> DataFrame:
 
 # --- shared inputs ------------------------------------------------------------------------
 
-_EVENTS: dict[tuple[int, str], DataFrame] = {}
+_EVENTS: dict[str, tuple[SparkSession, DataFrame]] = {}
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The adapter's raw game events, built once per session and folder."""
-    key = (id(spark), sf_dir)
-    if key not in _EVENTS:
-        _EVENTS[key] = load_game_events(spark, sf_dir)
-    return _EVENTS[key]
+    """The adapter's raw game events (two SQL projections of ``events``).
+
+    Reused within one session (saves re-listing the folder when a query needs the
+    events twice); a different session object always gets a fresh DataFrame.
+    """
+    cached = _EVENTS.get(sf_dir)
+    if cached is None or cached[0] is not spark:
+        cached = (spark, load_game_events(spark, sf_dir))
+        _EVENTS[sf_dir] = cached
+    return cached[1]
 
 
 def player_info(spark: SparkSession, sf_dir: str) -> DataFrame:
