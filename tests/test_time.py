@@ -92,3 +92,19 @@ def test_adapter_is_session_zone_free(spark):
         assert sorted(game_events(raw, slotted=False).select("eventId", "timestamp").collect()) == b0
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_one_scan_cleaning_bad_zone_scope(spark):
+    from playerlytics.operators.clean import clean_events, family_rows
+    jan = T.MonthRange.one("202401")
+    ok_rows = [event(ts=ms("2024-01-05 10:00:00"), tz="bogus", attribution="organic", action="SIGN_UP"),
+               event(ts=ms("2023-12-05 10:00:00"), tz="bogus", levelId="L1", status="STARTED"),
+               event(ts=ms("2024-01-05 10:00:00"), tz="+02.00", levelId="L1", status="STARTED")]
+    cleaned = clean_events(events_df(spark, ok_rows), jan)
+    assert family_rows(cleaned, "player").count() == 1
+    assert [r.hourOfDay for r in family_rows(cleaned, "level").collect()] == [12]
+    bad = ok_rows + [event(ts=ms("2024-01-06 10:00:00"), tz="bogus", adType="banner", status="WATCHED")]
+    with pytest.raises(Exception):
+        clean_events(events_df(spark, bad), jan).collect()
+    ads = family_rows(clean_events(events_df(spark, bad), jan, on_bad_timezone="utc"), "ad").first()
+    assert ads.timezone == "+00:00" and ads.hourOfDay == 10
