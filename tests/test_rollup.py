@@ -143,3 +143,20 @@ def test_one_scan_cleaning_matches_family_cleaning(spark):
     # the source is scanned once
     plan = cleaned._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Scan parquet") == 1 and "Generate inline" in plan
+
+
+def test_irrelevant_columns_and_json_source(spark, tmp_path):
+    from playerlytics.sources.events import read_events
+    ev = load_game_events(spark, SF_SMALL)
+    noisy = ev.withColumn("deviceModel", F.lit("x")).withColumn("sessionLength", F.lit(3.5))
+    path = str(tmp_path / "raw-json")
+    noisy.drop("currency").write.json(path)          # one declared field missing entirely
+    back = read_events(spark, path, fmt="json")
+    months = T.MonthRange("202401", "202403")
+    a = rollup.hourly_rollup(player_info_source(back), behavior_source(back, months))
+    b = rollup.hourly_rollup(player_info_source(ev), behavior_source(ev, months))
+    from playerlytics.sources.schemas import EVENT_SCHEMA
+    assert back.columns == EVENT_SCHEMA.fieldNames()
+    assert back.where(F.col("currency").isNotNull()).count() == 0
+    rnd = [F.round(c, 9).alias(c) if c.startswith("amount") else F.col(c) for c in a.columns]
+    assert a.select(*rnd).exceptAll(b.select(*rnd)).count() == 0 and a.count() == b.count() == 307
