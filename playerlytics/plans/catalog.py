@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -260,9 +261,7 @@ def q_seg_features(spark, sf_dir):
 @query("seg_scaled_features")
 def q_seg_scaled_features(spark, sf_dir):
     sc = segment.scaled(seg_input(spark, sf_dir))
-    arr = F.col(segment.SCALED_COL)
-    from pyspark.ml.functions import vector_to_array
-    sc = sc.withColumn("_s", vector_to_array(arr))
+    sc = sc.withColumn("_s", vector_to_array(F.col(segment.SCALED_COL)))
     return stable(sc.select("userId", "gameId", "date", "partOfDay",
                             *[F.col("_s")[i].alias(f"s_{f}") for i, f in enumerate(segment.FEATURES)]))
 
