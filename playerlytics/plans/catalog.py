@@ -68,10 +68,11 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     Reused within one session (saves re-listing the folder when a query needs the
     events twice); a different session object always gets a fresh DataFrame.
     """
-    cached = _EVENTS.get(sf_dir)
+    key = str(sf_dir)
+    cached = _EVENTS.get(key)
     if cached is None or cached[0] is not spark:
-        cached = (spark, load_game_events(spark, sf_dir))
-        _EVENTS[sf_dir] = cached
+        cached = (spark, load_game_events(spark, key))
+        _EVENTS[key] = cached
     return cached[1]
 
 
@@ -95,7 +96,7 @@ def daily(spark: SparkSession, sf_dir: str, months: T.MonthRange = ENRICH_MONTHS
 
 @query("fn_time")
 def q_fn_time(spark, sf_dir):
-    raw = game_events(spark.read.parquet(f"{sf_dir}/events.parquet"), slotted=False)
+    raw = game_events(spark.read.parquet(f"{str(sf_dir).rstrip('/')}/events.parquet"), slotted=False)
     clock = T.utc_wall_clock(F.col("timestamp"))
     tz = T.clean_timezone(F.col("timezone"))
     hour = T.local_hour(clock, tz)

@@ -82,4 +82,4 @@ def game_events(events: DataFrame, slotted: bool = True) -> DataFrame:
 
 def load_game_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw game events derived from ``{sf_dir}/events.parquet``."""
-    return game_events(spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet"))
+    return game_events(spark.read.parquet(f"{str(sf_dir).rstrip('/')}/events.parquet"))
