@@ -103,3 +103,16 @@ def test_activity_range():
     assert retention.activity_range("202401", 0) == (dt.date(2024, 1, 1), dt.date(2024, 2, 29))
     assert retention.activity_range("202401", 0, True) == (dt.date(2024, 1, 1), dt.date(2024, 3, 2))
     assert retention.activity_range("202402", 31) == (dt.date(2024, 2, 1), dt.date(2024, 4, 30))
+
+
+def test_mask_and_offset_paths_agree(spark, inputs):
+    players, daily, _, _ = inputs
+    n = 31
+    for idle in (0, 3, 31):
+        lo, hi = retention.activity_range("202401", idle)
+        act = retention.daily_activity(daily.where(F.col("date").between(F.lit(lo), F.lit(hi))))
+        hits = retention.cohort_activity(retention.cohort_members(
+            retention.cohort_events(players, "202401", "any")), act, n, idle)
+        a = retention.active_by_mask(hits, n, idle).where("activeUsers > 0")
+        b = retention.active_by_offsets(hits, n, idle)
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0 and b.count() > 0
