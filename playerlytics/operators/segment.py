@@ -41,8 +41,15 @@ def kmeans(k: int, max_iter: int = DEFAULT_MAX_ITER, seed: int = DEFAULT_SEED) -
 
 def fit_segmentation(features: DataFrame, k: int, max_iter: int = DEFAULT_MAX_ITER,
                      seed: int = DEFAULT_SEED) -> PipelineModel:
-    """Fit assembler + scaler + k-means (M1-M3)."""
-    return Pipeline(stages=[assembler(), scaler(), kmeans(k, max_iter, seed)]).fit(features)
+    """Fit assembler + scaler + k-means (M1-M3).
+
+    The input is persisted for the fit, so the scaler's pass and k-means' iterations read
+    it once from its source."""
+    cached = features.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return Pipeline(stages=[assembler(), scaler(), kmeans(k, max_iter, seed)]).fit(cached)
+    finally:
+        cached.unpersist()
 
 
 def label(model: PipelineModel, features: DataFrame) -> DataFrame:
@@ -80,18 +87,26 @@ def elbow(features: DataFrame, k_from: int = 3, k_to: int = 25, max_iter: int =
     """
     if k_from < 2 or k_to < k_from:
         raise ValueError("need 2 <= k_from <= k_to")
-    data = scaled(features).select(SCALED_COL).persist(StorageLevel.MEMORY_AND_DISK)
+    # one pass over the input: the scaler fit fills the cache of assembled vectors, the
+    # scaled rows are computed from that cache
+    assembled = assembler().transform(features).select(FEATURE_COL).persist(StorageLevel.MEMORY_AND_DISK)
+    data = None
+    try:
+        data = (scaler().fit(assembled).transform(assembled).select(SCALED_COL)
+                .persist(StorageLevel.MEMORY_AND_DISK))
+        data.count()   # materialise once, before the concurrent fits read it
+        assembled.unpersist()
 
-    def cost(k: int) -> tuple[int, float]:
-        return k, float(kmeans(k, max_iter, seed).fit(data).summary.trainingCost)
+        def cost(k: int) -> tuple[int, float]:
+            return k, float(kmeans(k, max_iter, seed).fit(data).summary.trainingCost)
 
-    try:
-        data.count()   # materialise the persisted rows once, before concurrent fits read them
         ks = list(range(k_from, k_to + 1))
         with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(ks)))) as pool:
             costs = list(pool.map(cost, ks))
     finally:
-        data.unpersist()
+        assembled.unpersist()
+        if data is not None:
+            data.unpersist()
     schema = StructType([StructField("kCluster", IntegerType(), False),
                          StructField("costTraining", DoubleType(), False)])
     return features.sparkSession.createDataFrame(costs, schema)
