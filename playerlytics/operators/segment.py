@@ -45,11 +45,13 @@ def fit_segmentation(features: DataFrame, k: int, max_iter: int = DEFAULT_MAX_IT
 
     The input is persisted for the fit, so the scaler's pass and k-means' iterations read
     it once from its source."""
-    cached = features.persist(StorageLevel.MEMORY_AND_DISK)
+    ours = features.storageLevel == StorageLevel.NONE   # leave a caller's cache alone
+    cached = features.persist(StorageLevel.MEMORY_AND_DISK) if ours else features
     try:
         return Pipeline(stages=[assembler(), scaler(), kmeans(k, max_iter, seed)]).fit(cached)
     finally:
-        cached.unpersist()
+        if ours:
+            cached.unpersist()
 
 
 def label(model: PipelineModel, features: DataFrame) -> DataFrame:
