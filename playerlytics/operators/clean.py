@@ -95,16 +95,16 @@ def clean_events(events: DataFrame, months: T.MonthRange, on_bad_timezone: str =
     for family, cols in FAMILY_COLUMNS.items():
         keep = is_family(family) if family == "player" else is_family(family) & F.col("_inRange")
         trimmed = {name: t for name, t in cols}
-        fields = [F.lit(FAMILY_TABLES[family]).alias("family"), keep.alias("_keep")]
+        fields = [F.lit(FAMILY_TABLES[family]).alias("family")]
         for name in CLEAN_COLUMNS:
             if name in trimmed:
                 c = F.trim(F.col(name)) if trimmed[name] else F.col(name)
             else:
                 c = F.lit(None).cast(types[name])
             fields.append(c.alias(name))
-        structs.append(F.struct(*fields))
-    return (prepared.select(F.inline(F.array(*structs)))
-            .where(F.col("_keep")).drop("_keep"))
+        # a family's struct is built only for events of that family
+        structs.append(F.when(keep, F.struct(*fields)))
+    return prepared.select(F.inline(F.array_compact(F.array(*structs))))
 
 
 def family_rows(cleaned: DataFrame, family: str) -> DataFrame:
