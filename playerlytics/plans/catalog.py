@@ -500,3 +500,9 @@ def q_sink_dynamic_overwrite(spark, sf_dir):
     rerun = full.where(REWRITE_MONTH.date_filter(F.col("date")) & (F.col("gameId") == GAME))
     sinks.write_partitioned(rerun, path, parts, "dynamic")
     return stable(tables.read_rollup(spark, base, "daily"))
+
+
+@query("rollup_hourly_any")
+def q_rollup_hourly_any(spark, sf_dir):
+    """Hourly rollup keeping every hour with any behaviour event (``driver="any"``)."""
+    return stable(rollup.hourly_rollup(player_info(spark, sf_dir), behavior(spark, sf_dir), driver="any"))

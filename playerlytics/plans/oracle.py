@@ -578,3 +578,29 @@ WHERE NOT EXISTS (SELECT 1 FROM rerun r WHERE r.date = d.date AND r.partOfDay =
    f"""rerun AS (
   SELECT * FROM daily WHERE {_month_sql('date', C.REWRITE_MONTH)} AND gameId = '{C.GAME}'
 )""")
+
+# driver="any": every (user, game, date, hour) with a level, ad or purchase; the families are
+# joined null-safely (rows with a null key part still form one group per key).
+_NS = "{a}.userId IS NOT DISTINCT FROM {b}.userId AND {a}.gameId IS NOT DISTINCT FROM {b}.gameId " \
+      "AND {a}.date IS NOT DISTINCT FROM {b}.date AND {a}.hourOfDay IS NOT DISTINCT FROM {b}.hourOfDay"
+_q("rollup_hourly_any", f"""
+SELECT k.userId, k.gameId, coalesce(reg.flagOrganic, 0) AS flagOrganic, reg.dateRegistration,
+  coalesce(lv.numLevelsCompleted, 0) AS numLevelsCompleted, coalesce(lv.numLevelsStarted, 0) AS numLevelsStarted,
+  coalesce(ad.numAdsWatched, 0) AS numAdsWatched, coalesce(ad.numAdsIgnored, 0) AS numAdsIgnored,
+  coalesce(ad.numAdsProposed, 0) AS numAdsProposed, coalesce(pu.numPurchasesDone, 0) AS numPurchasesDone,
+  round(round(coalesce(pu.amountPurchasesDoneDol, 0), 12), 6) AS amountPurchasesDoneDol,
+  coalesce(pu.numPurchasesRejected, 0) AS numPurchasesRejected,
+  round(round(coalesce(pu.amountPurchasesRejectedDol, 0), 12), 6) AS amountPurchasesRejectedDol,
+  coalesce(pu.numPurchasesCanceled, 0) AS numPurchasesCanceled,
+  round(round(coalesce(pu.amountPurchasesCanceledDol, 0), 12), 6) AS amountPurchasesCanceledDol,
+  k.hourOfDay,
+  CASE WHEN k.hourOfDay >= 5 AND k.hourOfDay < 12 THEN 'morning'
+       WHEN k.hourOfDay >= 12 AND k.hourOfDay < 17 THEN 'afternoon'
+       WHEN k.hourOfDay >= 17 AND k.hourOfDay < 21 THEN 'evening' ELSE 'night' END AS partOfDay,
+  CAST(dayofweek(k.date) + 1 AS INTEGER) AS dayOfWeek, k.date
+FROM (SELECT userId, gameId, date, hourOfDay FROM lv UNION SELECT userId, gameId, date, hourOfDay FROM ad
+      UNION SELECT userId, gameId, date, hourOfDay FROM pu) k
+LEFT JOIN reg ON k.userId = reg.userId AND k.gameId = reg.gameId
+LEFT JOIN lv ON {_NS.format(a='k', b='lv')}
+LEFT JOIN ad ON {_NS.format(a='k', b='ad')}
+LEFT JOIN pu ON {_NS.format(a='k', b='pu')}""")
