@@ -21,9 +21,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
+# The five k-means features in assembly order, the output column names,
+# the k-means seed and iteration count, and the default elbow range of k.
 FEATURES = ("numLevelsCompleted", "numAdsWatched", "numPurchasesDone", "partOfDayNumber", "flagOrganic")
 FEATURE_COL, SCALED_COL, CLUSTER_COL = "featureVector", "scaledFeatures", "cluster"
 DEFAULT_SEED, DEFAULT_MAX_ITER = 1, 30
+DEFAULT_ELBOW_K = (3, 25)
 
 
 def assembler(handle_invalid: str = "error") -> VectorAssembler:
@@ -77,7 +80,8 @@ def scaled(features: DataFrame) -> DataFrame:
     return scaler().fit(assembled).transform(assembled)
 
 
-def elbow(features: DataFrame, k_from: int = 3, k_to: int = 25, max_iter: int = DEFAULT_MAX_ITER,
+def elbow(features: DataFrame, k_from: int = DEFAULT_ELBOW_K[0], k_to: int = DEFAULT_ELBOW_K[1],
+          max_iter: int = DEFAULT_MAX_ITER,
           seed: int = DEFAULT_SEED, parallelism: int = 4) -> DataFrame:
     """Training cost for each k in [k_from, k_to] (M6).
 

@@ -92,7 +92,8 @@ def _features(spark: SparkSession, base: str, game_id: str | None, months: T.Mon
 
 
 def run_elbow(spark: SparkSession, base: str, game_id: str | None, months: T.MonthRange,
-              k_from: int = 3, k_to: int = 25, granularity: str = "daily") -> DataFrame:
+              k_from: int = segment.DEFAULT_ELBOW_K[0], k_to: int = segment.DEFAULT_ELBOW_K[1],
+              granularity: str = "daily") -> DataFrame:
     """Training cost for each k over one game's rollup rows."""
     return segment.elbow(_features(spark, base, game_id, months, granularity), k_from, k_to)
 
