@@ -4,8 +4,9 @@ Env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8).
 Each query is materialised in full through the ``noop`` sink (every row computed,
 nothing collected to the driver), three times: ``queries`` reports the fastest run (steady
 state, generated code compiled), ``first_run`` the first one. The session is warmed up
-on one query first so JVM start-up is not counted. ``reference_shaped`` times the per-family three-join form of the
-hourly rollup on the same data, for comparison with the single-pass plan.
+on one query first so JVM start-up is not counted. ``reference_shaped`` times the
+per-family three-join form of the hourly rollup on the same data, for comparison with the
+single-pass plan.
 """
 
 from __future__ import annotations

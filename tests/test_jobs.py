@@ -78,3 +78,18 @@ def test_monthly_cluster_table_refused_by_ltv(spark, enriched, tmp_path):
                                 str(tmp_path / "m"), str(tmp_path / "c"), granularity="monthly")
     with pytest.raises(ValueError):
         jobs.run_ltv(spark, seg.clusters_path, "GAME_A", T.MonthRange("202401", "202403"), "cluster")
+
+
+def test_partitioned_writes_make_few_files(spark, enriched):
+    import pathlib
+    out, res = enriched
+    from collections import Counter
+    for table in (HOURLY_TABLE, DAILY_TABLE):
+        per_dir = Counter(f.parent for f in pathlib.Path(res.tables[table]).rglob("*.parquet"))
+        assert per_dir and max(per_dir.values()) <= 2, (table, max(per_dir.values()))
+
+
+def test_preview_is_distributed_top_k(spark, enriched):
+    out, res = enriched
+    plan = res.previews[DAILY_TABLE]._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan
