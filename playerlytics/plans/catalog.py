@@ -506,3 +506,16 @@ def q_sink_dynamic_overwrite(spark, sf_dir):
 def q_rollup_hourly_any(spark, sf_dir):
     """Hourly rollup keeping every hour with any behaviour event (``driver="any"``)."""
     return stable(rollup.hourly_rollup(player_info(spark, sf_dir), behavior(spark, sf_dir), driver="any"))
+
+
+@query("src_monthly_rollup")
+def q_src_monthly_rollup(spark, sf_dir):
+    """Monthly rollup written by (codMonth, partOfDay), read back with its declared schema:
+    ``codMonth`` is text when built and an int when read (S2, S16)."""
+    from ..session import scratch_path
+    from ..sources import sinks
+    from ..sources.schemas import MONTHLY_TABLE, TABLE_PARTITIONS
+    base = scratch_path(spark, "monthly")
+    sinks.write_partitioned(rollup.monthly_rollup(daily(spark, sf_dir)), tables.table_path(base, MONTHLY_TABLE),
+                            TABLE_PARTITIONS[MONTHLY_TABLE], "static")
+    return stable(tables.read_rollup(spark, base, "monthly"))

@@ -604,3 +604,7 @@ LEFT JOIN reg ON k.userId = reg.userId AND k.gameId = reg.gameId
 LEFT JOIN lv ON {_NS.format(a='k', b='lv')}
 LEFT JOIN ad ON {_NS.format(a='k', b='ad')}
 LEFT JOIN pu ON {_NS.format(a='k', b='pu')}""")
+
+_q("src_monthly_rollup", f"""
+SELECT userId, gameId, flagOrganic, dateRegistration, {_MEASURE_COLS}, partOfDay,
+  CAST(codMonth AS INTEGER) AS codMonth FROM monthly""")
