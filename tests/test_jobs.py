@@ -93,3 +93,14 @@ def test_preview_is_distributed_top_k(spark, enriched):
     out, res = enriched
     plan = res.previews[DAILY_TABLE]._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan
+
+
+def test_monthly_only_enrich(spark, tmp_path):
+    from playerlytics import MonthRange, run_enrich
+    out = str(tmp_path / "monthly")
+    res = run_enrich(spark, load_game_events(spark, SF_SMALL), out, MonthRange("202401", "202403"), "monthly")
+    assert set(res.tables) == {RAW_TABLE, MONTHLY_TABLE}
+    preview = res.previews[MONTHLY_TABLE].collect()
+    assert len(preview) == 15 and preview[0].codMonth == 202403
+    assert [r.codMonth for r in preview] == sorted((r.codMonth for r in preview), reverse=True)
+    assert res.counts[MONTHLY_TABLE] == tables.read_rollup(spark, out, "monthly").count()
