@@ -168,7 +168,11 @@ def daily_rollup(hourly: DataFrame) -> DataFrame:
 
 
 def monthly_rollup(daily: DataFrame) -> DataFrame:
-    """Per (userId, gameId, codMonth, partOfDay) from the daily rollup."""
+    """Per (userId, gameId, codMonth, partOfDay) from the daily rollup.
+
+    The hourly rollup works as input too, with the same result (measures are sums, the
+    flag a max and registration a min), saving the daily aggregation and its shuffle.
+    """
     return (daily.withColumn("codMonth", T.cod_month(F.col("date")))
             .groupBy(*MONTH_KEYS).agg(*_period_aggs()))
 
