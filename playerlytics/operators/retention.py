@@ -140,7 +140,8 @@ def retention_points(players_clean: DataFrame, daily: DataFrame, start_month: st
     """Retention curve of every cohort of ``start_month`` (R2).
 
     ``players_clean``: cleaned player events (gameId, date, userId, action);
-    ``daily``: daily rollup rows (gameId, date, userId, numLevelsCompleted, numLevelsStarted).
+    ``daily``: daily (or hourly) rollup rows with gameId, date, userId, numLevelsCompleted,
+    numLevelsStarted -- only their per-day sums are used.
     ``cohort="any"`` (as the batch job): any player event on the pivot date makes a
     member; ``"signup"``: only sign-ups. Returns (gameId, pivotDate, dayRetention,
     dateRetention, newUsers, activeUsers, retentionRate in percent).

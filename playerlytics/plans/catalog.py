@@ -434,7 +434,9 @@ def q_retention_grid(spark, sf_dir):
 
 
 def _points(spark, sf_dir, idle, **kw):
-    return retention.retention_points(players_clean(spark, sf_dir), daily(spark, sf_dir),
+    # activity is a per-day sum of level counters: hourly rows give the same sums as the
+    # daily rollup without its aggregation (the oracle goes through days)
+    return retention.retention_points(players_clean(spark, sf_dir), hourly(spark, sf_dir),
                                       RETENTION_START, idle, **kw)
 
 
