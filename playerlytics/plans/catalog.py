@@ -17,10 +17,11 @@ from pyspark.sql.types import DoubleType
 
 from ..functions import time as T
 from ..operators import clean, ltv, profile, retention, rollup, segment
-from ..sources import tables
+from ..session import scratch_path
+from ..sources import sinks, tables
 from ..sources.events import behavior_source, player_info_source
 from ..sources.fixtures import game_events, load_game_events
-from ..sources.schemas import EVENT_SCHEMA
+from ..sources.schemas import DAILY_TABLE, EVENT_SCHEMA, MONTHLY_TABLE, TABLE_PARTITIONS
 
 # Parameters of the registered queries. The enrich range covers every month present in
 # the adapter's data (2024-01-01 .. 2024-03-01), so the rollups run over whole tables.
@@ -479,9 +480,6 @@ REWRITE_MONTH = T.MonthRange.one("202401")
 
 @query("sink_roundtrip")
 def q_sink_roundtrip(spark, sf_dir):
-    from ..session import scratch_path
-    from ..sources import sinks
-    from ..sources.schemas import DAILY_TABLE, TABLE_PARTITIONS
     base = scratch_path(spark, "roundtrip")
     sinks.write_partitioned(daily(spark, sf_dir), tables.table_path(base, DAILY_TABLE),
                             TABLE_PARTITIONS[DAILY_TABLE], "static")
@@ -492,9 +490,6 @@ def q_sink_roundtrip(spark, sf_dir):
 def q_sink_dynamic_overwrite(spark, sf_dir):
     """Write all days, then re-run January for one game only with dynamic overwrite:
     January partitions the re-run touches are replaced, all others are kept."""
-    from ..session import scratch_path
-    from ..sources import sinks
-    from ..sources.schemas import DAILY_TABLE, TABLE_PARTITIONS
     base = scratch_path(spark, "dynamic")
     path = tables.table_path(base, DAILY_TABLE)
     parts = TABLE_PARTITIONS[DAILY_TABLE]
@@ -515,9 +510,6 @@ def q_rollup_hourly_any(spark, sf_dir):
 def q_src_monthly_rollup(spark, sf_dir):
     """Monthly rollup written by (codMonth, partOfDay), read back with its declared schema:
     ``codMonth`` is text when built and an int when read (S2, S16)."""
-    from ..session import scratch_path
-    from ..sources import sinks
-    from ..sources.schemas import MONTHLY_TABLE, TABLE_PARTITIONS
     base = scratch_path(spark, "monthly")
     sinks.write_partitioned(rollup.monthly_rollup(daily(spark, sf_dir)), tables.table_path(base, MONTHLY_TABLE),
                             TABLE_PARTITIONS[MONTHLY_TABLE], "static")
