@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import packing, simhash, topk
 from .tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,8 +19,20 @@ def query(f):
     return f
 
 
+@query
+def op1_exact_topk(spark, sf_dir):
+    """Ten highest integer inner products of every hundredth vector against all others."""
+    return topk.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
+
+
 @query
 def op3_simhash_near_dedup(spark, sf_dir):
     """Three-word shingles, links at three differing bits or fewer."""
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=3, max_bits=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op10_packing(spark, sf_dir):
+    """Sequences of 2048 ids of the word tokenizer, id 1 after each document."""
+    return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048, end_id=1)

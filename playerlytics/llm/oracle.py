@@ -1,3 +1,17 @@
 """DuckDB SQL of the registered queries that SQL can express."""
 
 ORACLE: dict[str, str] = {}
+
+ORACLE["op1_exact_topk"] = """
+WITH v AS (
+  SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS c
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, e.vec_id AS vec_id,
+         CAST(list_sum([q.c[i] * e.c[i] FOR i IN range(1, len(q.c) + 1)]) AS BIGINT) AS score
+  FROM v q JOIN v e ON q.vec_id % 100 = 0 AND q.vec_id <> e.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 10
+"""
