@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, simhash, topk
+from . import edited, packing, simhash, topk
 from .tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,14 @@ def op1_exact_topk(spark, sf_dir):
     return topk.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
 
 
+@query
+def op2_document_fingerprints(spark, sf_dir):
+    """Bottom-128 sketches of five-word shingles, of the texts and of the edited texts."""
+    found = edited.fingerprints_beside(read(spark, sf_dir, "documents"), shingle=5, k=128)
+    return found.select("doc_id", "n_chars", "edited_sha256", F.base64("sketch").alias("fingerprint"),
+                        F.base64("edited_sketch").alias("edited_fingerprint"), "near_edited", "near_next")
+
+
 @query
 def op3_simhash_near_dedup(spark, sf_dir):
     """Three-word shingles, links at three differing bits or fewer."""
