@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import edited, packing, simhash, topk
+from . import edited, packing, secrets, simhash, spans, topk
 from .tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +40,12 @@ def op3_simhash_near_dedup(spark, sf_dir):
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query
+def op7_secret_scan(spark, sf_dir):
+    """Base kinds by pattern; keys and signed tokens as far as their structure confirms them."""
+    return spans.digest(secrets.scan_secrets(read(spark, sf_dir, "documents")), secrets.BASE)
+
+
 @query
 def op10_packing(spark, sf_dir):
     """Sequences of 2048 ids of the word tokenizer, id 1 after each document."""

@@ -1,0 +1,93 @@
+"""Secret scan: base kinds against the plain patterns, confirmed kinds on built keys and tokens."""
+
+import base64
+import hashlib
+import json
+import re
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from playerlytics.llm import secrets, spans
+
+from .conftest import docs_df
+
+
+def brute(text):
+    out = []
+    kw = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in
+                  ("password", "passwd", "secret", "token", "api_?key"))
+    for i, (kind, pat, ok) in enumerate((
+            ("assign", rf"""({kw})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 12),
+            ("access", r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 18),
+            ("hex", r"[0-9a-f]+", lambda m: len(m[0]) >= 16))):
+        out += [(m.start(), i, m.end(), kind) for m in re.finditer(pat, text) if ok(m)]
+    return [(k, s, e) for s, _, e, k in sorted(out)]
+
+
+PARTS = st.sampled_from(["token", "Secret", "pass", "word", "PASSWD", "api", "_", "key", "Key", "ſecret", "=", ":", " ", '"', "'",
+                         "AKIA", "AKIAAKIA", "ABCDEFGH1234", "0123456789abcdef", "deadbeef", "-", ".", "é", "𝒳", "\n", "x/y+z="])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(PARTS, max_size=25))
+def test_base_kinds_are_the_patterns(parts):
+    text = "".join(parts)
+    got = spans.in_order([s for s in secrets.find(text) if s[0] in secrets.BASE], secrets.KINDS)
+    assert [(s["kind"], s["start"], s["end"]) for s in got] == brute(text)
+
+
+def tlv(tag, body):
+    n = len(body)
+    head = bytes([n]) if n < 128 else bytes([0x80 + (n.bit_length() + 7) // 8]) + n.to_bytes((n.bit_length() + 7) // 8, "big")
+    return bytes([tag]) + head + body
+
+
+def integer(n):
+    return tlv(2, n.to_bytes(n.bit_length() // 8 + 1, "big"))
+
+
+RSA = tlv(0x30, integer(0) + b"".join(integer(3 ** (40 + i)) for i in range(8)))
+PKCS8 = tlv(0x30, integer(0) + tlv(0x30, tlv(6, b"\x2a\x86\x48") + b"\x05\0") + tlv(4, RSA))
+EC = tlv(0x30, integer(1) + tlv(4, bytes(range(32))) + tlv(0xA0, tlv(6, b"\x2b\x81\x04\0\x22")))
+
+
+def ssh():
+    s = lambda b: len(b).to_bytes(4, "big") + b
+    return b"openssh-key-v1\0" + s(b"none") + s(b"none") + s(b"") + (1).to_bytes(4, "big") + s(b"k" * 51) + s(b"p" * 120)
+
+
+@pytest.mark.parametrize("raw", [RSA, PKCS8, EC])
+def test_der_keys_in_base64_hex_and_pem(raw):
+    b64 = base64.b64encode(raw).decode()
+    assert ("der", 4, 4 + len(b64)) in secrets.find(f"key {b64} end")
+    assert ("der", 4, 4 + 2 * len(raw)) in secrets.find(f"key {raw.hex().upper()} end")
+    pem = "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(re.findall(".{1,64}", b64)) + "\n-----END RSA PRIVATE KEY-----"
+    found = secrets.find(f"é {pem} x")
+    assert ("pem", 2, 2 + len(pem)) in found and not any(k == "der" for k, _, _ in found)
+    for broken in (raw[:-1], raw + b"\0", raw[:1] + bytes([raw[1] ^ 1]) + raw[2:]):
+        assert not [k for k, _, _ in secrets.find(f"key {base64.b64encode(broken).decode()} end") if k == "der"]
+
+
+def test_openssh_and_signed_tokens():
+    b64 = base64.b64encode(ssh()).decode()
+    assert ("ssh", 0, len(b64)) in secrets.find(b64)
+    assert not [s for s in secrets.find(base64.b64encode(ssh()[:-3]).decode()) if s[0] == "ssh"]
+    enc = lambda x: base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=")
+    jwt = f"{enc({'alg': 'HS256'})}.{enc({'sub': 1})}.c2ln"
+    assert ("jwt", 5, 5 + len(jwt)) in secrets.find(f"see: {jwt} ")
+    assert not [s for s in secrets.find(f"{enc({'x': 1})}.{enc({})}.c2ln {enc({'alg': 'x'})}.zz.yy") if s[0] == "jwt"]
+
+
+def test_operator_and_digest(spark):
+    text = 'é token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" AKIA' + "Z" * 16
+    rows = [(1, text), (2, None), (None, "clean"), (3, "ab " * 40_000), (1, text), (4, "M" * 200_000), (5, "eyJ." * 50_000)]
+    found = secrets.scan_secrets(docs_df(spark, rows, "spans"))
+    got = sorted((r.asDict() for r in spans.digest(found, secrets.BASE).collect()), key=str)
+    assert len(got) == len(rows) and spans.digest(secrets.scan_secrets(docs_df(spark, [])), secrets.BASE).count() == 0
+    one = [r for r in got if r["doc_id"] == 1]
+    want = ",".join(f"{k}:{s}:{e}" for k, s, e in brute(text))
+    assert one[0] == one[1] and one[0]["spans"] == want and one[0]["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
+    assert (one[0]["n_assign"], one[0]["n_access"], one[0]["n_hex"]) == (1, 1, 1)
+    assert [r["spans"] for r in got if r["doc_id"] in (2, 3, 5, None)] == [""] * 4
