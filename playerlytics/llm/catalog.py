@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import edited, packing, secrets, simhash, spans, topk
+from . import edited, packing, pii, secrets, simhash, spans, topk
 from .tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,6 +46,13 @@ def op7_secret_scan(spark, sf_dir):
     return spans.digest(secrets.scan_secrets(read(spark, sf_dir, "documents")), secrets.BASE)
 
 
+@query
+def op8_personal_data(spark, sf_dir):
+    """Direct identifiers, and terms near them that reveal 0.8 of their information or more."""
+    found = pii.scan_personal_data(read(spark, sf_dir, "documents"), window=8, threshold=0.8, support=2)
+    return spans.digest(found, pii.BASE)
+
+
 @query
 def op10_packing(spark, sf_dir):
     """Sequences of 2048 ids of the word tokenizer, id 1 after each document."""

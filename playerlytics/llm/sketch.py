@@ -43,27 +43,28 @@ def _mix(h: np.ndarray) -> np.ndarray:
 class Shingles:
     """Hashes of all shingles of many texts at once; the power tables grow with the longest step."""
 
-    def __init__(self, words: int):
-        self.words, self.up, self.down = words, _powers(BYTE_BASE, 0), _powers(BYTE_BASE, 0)
+    def __init__(self, words: int, inside: np.ndarray = ~_SPACE):
+        """``inside`` tells for each byte whether it is part of a word."""
+        self.words, self.inside, self.up, self.down = words, inside, _powers(BYTE_BASE, 0), _powers(BYTE_BASE, 0)
         self.turn = _powers(WORD_BASE, words)
 
-    def word_hashes(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and hash of each word: a polynomial of its lower-cased bytes, the same wherever it stands."""
+    def word_hashes(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, end and hash of each word: a polynomial of its lower-cased bytes, the same wherever it stands."""
         if len(raw) + 1 > len(self.up):
             n = 1 << int(len(raw) + 1).bit_length()
             self.up, self.down = _powers(BYTE_BASE, n), _powers(pow(BYTE_BASE, -1, 1 << 64), n)
-        inside = np.concatenate([[False], ~_SPACE[raw], [False]])
+        inside = np.concatenate([[False], self.inside[raw], [False]])
         edges = np.flatnonzero(inside[1:] != inside[:-1])
         starts, ends = edges[::2], edges[1::2]
         sums = np.concatenate([np.zeros(1, np.uint64),
                                np.cumsum((_LOWER[raw].astype(np.uint64) + np.uint64(1)) * self.up[:len(raw)], dtype=np.uint64)])
-        return starts, _mix((sums[ends] - sums[starts]) * self.down[starts])
+        return starts, ends, _mix((sums[ends] - sums[starts]) * self.down[starts])
 
     def of(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         """The shingle hashes of each text, repeats included; a text of fewer words is one shingle."""
         raw = np.frombuffer(b" ".join(texts), np.uint8)
         offsets = np.cumsum([0] + [len(t) + 1 for t in texts])
-        starts, words = self.word_hashes(raw)
+        starts, _, words = self.word_hashes(raw)
         bounds = np.searchsorted(starts, offsets)
         n = max(0, len(words) - self.words + 1)
         rows = sum((words[j:j + n] * self.turn[j] for j in range(self.words)), np.zeros(n, np.uint64))
