@@ -8,8 +8,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Runs that a worker remembers between steps, and the longest that it remembers.
-MEMO_RUNS, MEMO_CHARS = 200_000, 48
+#: Bytes of text that are split at once: the more, the fewer distinct runs a byte.
+RUN_STEP = 16 << 20
+#: Words that a worker remembers between steps, and the longest that it remembers.
+MEMO_WORDS, MEMO_CHARS = 600_000, 48
 
 
 def runs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -21,20 +23,22 @@ def runs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
 
 
 class Memo:
-    """Ids of runs by ``encode`` (a list of runs to lists of ids), remembered for short runs."""
+    """Ids of words by ``encode`` (a list of words to lists of ids), remembered for short words."""
 
     def __init__(self, encode: Callable[[list[str]], list[list[int]]]):
-        self.encode, self.known = encode, {}
-
-    def ids(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, run after run, and the number of ids of each run."""
-        if len(self.known) > MEMO_RUNS:
-            self.known = {}
-        found = [self.known.get(r) for r in distinct]
-        new = [i for i, x in enumerate(found) if x is None]
-        for i, x in zip(new, self.encode([distinct[i] for i in new])) if new else ():
-            found[i] = x
-            if len(distinct[i]) <= MEMO_CHARS:
-                self.known[distinct[i]] = x
+        self.encode, self.known = encode, {"": []}
+
+    def ids(self, runs: list[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of runs of two words (the second may be empty), run after run, and each run's number of ids."""
+        if len(self.known) > MEMO_WORDS:
+            self.known = {"": []}
+        known = self.known
+        new = [w for w in dict.fromkeys(w for run in runs for w in run) if w not in known]
+        if new:
+            known.update(zip(new, self.encode(new)))
+        found = [known[a] + known[b] if b else known[a] for a, b in runs]
+        for w in new:
+            if len(w) > MEMO_CHARS:
+                del known[w]
         counts = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter((y for x in found for y in x), np.int32, int(counts.sum())), counts

@@ -15,28 +15,46 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .chunks import Memo, runs
+from .chunks import RUN_STEP, Memo, runs
 from .tables import ragged_take, stored, text_steps
 
 #: Pieces of one length that are ranked in one task; longer bins are split into parts of this size.
-PART_ROWS = 50_000
+PART_ROWS = 20_000
 
 
 def tokenizer(path: str) -> Memo:
-    """Ids of blank-free runs by the tokenizer file at ``path``."""
+    """Ids of words by the tokenizer file at ``path``."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(path)
     return Memo(lambda texts: [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)])
 
 
+#: Marks that the tokenizer splits off a word before them.
+MARKS = ".,;:!?"
+
+
+def _words(run: str) -> tuple[str, str]:
+    """A run without its closing marks, and these; not split unless the marks follow an ASCII letter or digit."""
+    word = run.rstrip(MARKS)
+    return (word, run[len(word):]) if word and word[-1].isascii() and word[-1].isalnum() else (run, "")
+
+
 def token_ids(texts: pa.Array, memo: Memo, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-    """All documents' ids, each document's followed by ``end_id``, and the bounds of the documents."""
+    """All documents' ids, each document's followed by ``end_id``, and the bounds of the documents.
+
+    The tokenizer lower-cases, drops white space and starts a new word at closing marks, so runs
+    that differ in case or marks share their words (texts with its special tokens keep their case).
+    """
+    texts = pc.replace_substring(texts.cast(pa.large_string()), "\n", " ")
+    if not pc.any(pc.match_substring(texts, "<|")).as_py():
+        texts = pc.ascii_lower(texts)
     bounds, codes, distinct = runs(texts)
-    ids, counts = memo.ids(distinct)
+    ids, counts = memo.ids([_words(r) for r in distinct])
     starts = np.cumsum(counts) - counts
     flat = ids[ragged_take(starts[codes], counts[codes])]
     ends = np.concatenate([[0], np.cumsum(counts[codes])])[bounds]
@@ -53,7 +71,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, max_tokens: int = 2048, end_id:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = tokenizer(tokenizer_path)
         for batch in batches:
-            for part in text_steps(batch, "text"):
+            for part in text_steps(batch, "text", RUN_STEP):
                 ids, bounds = token_ids(part.column("text"), memo, end_id)
                 n = np.diff(bounds)
                 per = -(-n // max_tokens)

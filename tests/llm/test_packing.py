@@ -77,7 +77,7 @@ def test_pieces_are_the_tokenizers_ids(spark):
     check_packs([(r.length, r.sequence_id, r.offset) for r in got], 256)
 
 
-@pytest.mark.parametrize("part_rows", [7, 50_000])
+@pytest.mark.parametrize("part_rows", [7, 20_000])
 def test_places_are_gapless_with_split_bins(spark, monkeypatch, part_rows):
     monkeypatch.setattr(packing, "PART_ROWS", part_rows)
     rng = np.random.default_rng(5)
@@ -92,3 +92,15 @@ def test_places_are_gapless_with_split_bins(spark, monkeypatch, part_rows):
 
 def test_empty_table(spark):
     assert packing.pack(docs_df(spark, []), PATH).count() == 0
+
+
+def test_case_and_marks_share_words(spark):
+    tok = Tokenizer.from_file(PATH)
+    texts = ["Word word, WORD! It's IT'S, A\u030a. a\u030a İ. 7. ٣, x_! \u0301, b\u0301.", "one\ntwo.\n\n Three", "Ⅳ. ⅳ, K, ſ!"]
+    memo = packing.tokenizer(PATH)
+    import pyarrow as pa
+    for group in ([t] for t in texts), (texts,):
+        for part in group:
+            ids, bounds = packing.token_ids(pa.array(part), memo, 1)
+            for t, i, e in zip(part, bounds[:-1], bounds[1:]):
+                assert ids[i:e].tolist() == tok.encode(t, add_special_tokens=False).ids + [1]
