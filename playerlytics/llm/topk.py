@@ -19,8 +19,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of an index block, quantised values of a dimension, and rounds between proofs.
-BLOCK_ROWS, LEVELS, ROUNDS = 8192, 64, 8
+from .tables import run_bounds
+
+#: Rows of an index block, and quantised values of a dimension.
+BLOCK_ROWS, LEVELS = 8192, 64
+#: A proof is tried when all segments with more than this share of the greatest impact are processed.
+SHARES = (1 / 2, 1 / 4, 1 / 8, 1 / 16, 1 / 32, 0)
 
 
 class Block:
@@ -28,56 +32,62 @@ class Block:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.x = ids, vectors
-        n, dims = vectors.shape
-        self.order = np.argsort(vectors, axis=0, kind="stable")
-        by_value = np.take_along_axis(vectors, self.order, axis=0)
-        width = max(1, -(-int(by_value[-1].max() - by_value[0].min() + 1) // LEVELS))
+        self.columns = np.ascontiguousarray(vectors.T)
+        self.order = np.argsort(self.columns, axis=1, kind="stable")  # of a dimension: rows by value
+        width = max(1, -(-int(vectors.max(initial=0) - vectors.min(initial=0) + 1) // LEVELS))
         self.segments = []  # of a dimension: bounds in its order, smallest and largest value of each
-        for d in range(dims):
-            level = by_value[:, d] // width
-            bounds = np.concatenate([[0], np.flatnonzero(level[1:] != level[:-1]) + 1, [n]])
-            self.segments.append((bounds, by_value[bounds[:-1], d], by_value[bounds[1:] - 1, d]))
+        for values, order in zip(self.columns, self.order):
+            values = values[order]
+            bounds = run_bounds(values // width)
+            self.segments.append((bounds, values[bounds[:-1]], values[bounds[1:] - 1]))
+
+    def _bounds(self, work: list, done: np.ndarray, ahead: np.ndarray) -> np.ndarray:
+        """Of each row, the most that the dimensions add in which it is not yet seen."""
+        most = np.zeros(len(self.ids), np.int64)
+        for (d, up, bounds, _, _), to, impact in zip(work, done.tolist(), ahead.tolist()):
+            if impact and to:
+                last = self.columns[d][self.order[d][bounds[to] if up else bounds[to] - 1]]
+                unseen = self.columns[d] < last if up else self.columns[d] > last
+                most += impact * unseen
+            else:
+                most += impact
+        return most
 
     def search(self, own: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and exact scores of the k best rows for ``q`` but those with id ``own``."""
         dims = self.x.shape[1]
         q = np.concatenate([q, np.zeros(max(0, dims - len(q)), np.int64)])[:dims]
         mine = self.ids != own
-        used = np.flatnonzero(q)
-        work, error, floor = [], 0, 0
-        for d in used.tolist():
+        work, error = [], 0
+        for d in np.flatnonzero(q).tolist():
             bounds, low, high = self.segments[d]
-            least, most = (q[d] * low, q[d] * high) if q[d] > 0 else (q[d] * high, q[d] * low)
-            if q[d] > 0:  # by descending impact: from the end
+            up = bool(q[d] > 0)
+            least, most = (q[d] * low, q[d] * high) if up else (q[d] * high, q[d] * low)
+            if up:  # by descending impact: from the end
                 bounds, least, most = bounds[::-1], least[::-1], most[::-1]
-            base = least.min()
-            floor += int(base)
             error += int((most - least).max())
-            work.append((d, bounds, least - base, most - base))
+            work.append((d, up, bounds, least - least.min(), most - least.min()))
         acc = np.where(mine, 0, np.iinfo(np.int64).min // 2)
-        seen = np.zeros((len(acc), len(work)), np.float64)
-        ahead = np.array([w[3][0] for w in work], np.int64) if work else np.zeros(0, np.int64)
         done = np.zeros(len(work), np.int64)
-        top = int(ahead.max(initial=0))
-        possible = mine
-        for r in range(1, ROUNDS + 1):
-            limit = top * (ROUNDS - r) // ROUNDS
-            for j, (d, bounds, least, most) in enumerate(work):
-                to = len(most) if r == ROUNDS else int(np.count_nonzero(most > limit))
+        ahead = np.array([w[4][0] for w in work], np.int64)
+        top, possible = int(ahead.max(initial=0)), mine
+        for share in SHARES if len(acc) > 4 * k else ():
+            for j, (d, up, bounds, least, most) in enumerate(work):
+                to = int(np.count_nonzero(most > share * top)) if share else len(most)
                 if to > done[j]:
                     i, e = bounds[done[j]], bounds[to]
                     gain = np.repeat(least[done[j]:to], np.abs(np.diff(bounds[done[j]:to + 1])))
-                    rows = self.order[i:e, d] if i < e else self.order[e:i, d][::-1]
-                    acc[rows] += gain
-                    seen[rows, j] = 1
+                    if up:
+                        acc[self.order[d][e:i]] += gain[::-1]
+                    else:
+                        acc[self.order[d][i:e]] += gain
                     done[j] = to
                 ahead[j] = most[to] if to < len(most) else 0
-            if len(acc) <= k:
-                break
             bar = np.partition(acc, len(acc) - k)[len(acc) - k]
-            bound = acc + (error + int(ahead.sum()) + 1 - (seen @ ahead).astype(np.int64))
-            possible = mine & (bound >= bar)
-            if np.count_nonzero(possible) <= max(4 * k, len(acc) // 64):
+            if share and bar - np.median(acc) < ahead.sum() // 4:
+                continue  # most rows are still in reach: no proof yet
+            possible = mine & (acc + self._bounds(work, done, ahead) + error >= bar)
+            if np.count_nonzero(possible) <= max(4 * k, len(acc) // 8):
                 break  # proven: no other row reaches the k best
         rows = np.flatnonzero(possible)
         scores = self.x[rows] @ q
