@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import edited, packing, pii, secrets, simhash, spans, topk
+from . import edited, licenses, packing, pii, secrets, simhash, spans, topk
 from .tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +40,12 @@ def op3_simhash_near_dedup(spark, sf_dir):
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query
+def op6_license_scan(spark, sf_dir):
+    """Base phrases and all signature rules, overlapping detections resolved by priority."""
+    return licenses.summary(licenses.scan_licenses(read(spark, sf_dir, "documents")))
+
+
 @query
 def op7_secret_scan(spark, sf_dir):
     """Base kinds by pattern; keys and signed tokens as far as their structure confirms them."""
