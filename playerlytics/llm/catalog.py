@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import edited, licenses, packing, pii, secrets, simhash, spans, topk
+from . import edited, langid, licenses, packing, pii, secrets, simhash, spans, topk
 from .tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,6 +59,13 @@ def op8_personal_data(spark, sf_dir):
     return spans.digest(found, pii.BASE)
 
 
+@query
+def op9_language_id(spark, sf_dir):
+    """Text, declared language (lang) and host (source) of every document; rejected ones are marked."""
+    found = langid.identify(read(spark, sf_dir, "documents"), per_language=2000)
+    return found.select("doc_id", "language", F.round("confidence", 6).alias("confidence"), "text_language", "accepted")
+
+
 @query
 def op10_packing(spark, sf_dir):
     """Sequences of 2048 ids of the word tokenizer, id 1 after each document."""
