@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import edited, langid, licenses, packing, pii, secrets, simhash, spans, topk
+from . import edited, langid, licenses, packing, pieces, pii, secrets, simhash, spans, topk
 from .tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +40,13 @@ def op3_simhash_near_dedup(spark, sf_dir):
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query
+def op5_sentencepiece(spark, sf_dir):
+    """Ids of the 32k BPE model for every whole text, and the hash of what they decode to."""
+    found = pieces.encode(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), check=True)
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded_sha256", "round_trip")
+
+
 @query
 def op6_license_scan(spark, sf_dir):
     """Base phrases and all signature rules, overlapping detections resolved by priority."""
