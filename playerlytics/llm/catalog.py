@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import edited, langid, licenses, packing, pieces, pii, secrets, simhash, spans, topk
+from . import edited, langid, licenses, packing, pieces, pii, secrets, simhash, spans, topk, urls
 from .tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +40,17 @@ def op3_simhash_near_dedup(spark, sf_dir):
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: The given rules of op4: verdict, then host and path prefix.
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+@query
+def op4_url_filter(spark, sf_dir):
+    """Given rules first; rules mined from the urls that they decide judge the others."""
+    found = urls.judge(read(spark, sf_dir, "pages"), URL_RULES, min_support=0.002, min_confidence=0.8)
+    return found.select("page_id", "host", "path", "rule", "verdict", "mined", "confidence")
+
+
 @query
 def op5_sentencepiece(spark, sf_dir):
     """Ids of the 32k BPE model for every whole text, and the hash of what they decode to."""
