@@ -17,8 +17,9 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .components import components
 from .tables import cut, run_bounds, text_steps
@@ -61,9 +62,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.record_batch({"doc_id": part.column("doc_id"),
                                        "fp": pa.array(np.array(fps, np.uint64).view(np.int64))})
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return (docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-            .mapInArrow(run, f"doc_id {kind}, fp long"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], T.StructField("fp", T.LongType())]))
 
 
 def half_masks(max_bits: int) -> list[int]:
@@ -135,7 +135,7 @@ def links(fps: DataFrame, max_bits: int = 3) -> DataFrame:
 
 
 def classes(docs_fp: DataFrame, max_bits: int = 3) -> DataFrame:
-    """(fp, component_id): the smallest doc_id that each distinct fingerprint reaches.
+    """(fp, root, component_id): the smallest fingerprint and doc_id that each distinct fingerprint reaches.
 
     ``docs_fp`` has doc_id and fp; null ids give way to others (null only if all are).
     """
@@ -144,7 +144,7 @@ def classes(docs_fp: DataFrame, max_bits: int = 3) -> DataFrame:
     rooted = (least.join(roots, F.col("fp") == F.col("node"), "left")
               .select("fp", "least", F.coalesce("root", "fp").alias("root")))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return cut(rooted.select("fp", "root").join(smallest, "root").select("fp", "component_id"))
+    return cut(rooted.select("fp", "root").join(smallest, "root").select("fp", "root", "component_id"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
@@ -157,3 +157,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     docs_fp = cut(fingerprints(docs, id_col, text_col, shingle))
     return docs_fp.join(classes(docs_fp, max_bits), "fp").select("doc_id", "fp", "component_id")
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 3) -> DataFrame:
+    """The rows of ``docs`` with all columns, one of each group of near-duplicates: of the smallest id.
+
+    Where several texts of a group share that id, the one of the smallest fingerprint (then text
+    hash) stays; of rows that repeat id and text, any one. A group of null ids keeps one row.
+    """
+    text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    key = F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("-")), text_hash)
+    keyed = docs.withColumn("_kept", key)
+    docs_fp = cut(fingerprints(keyed.select(F.struct(id_col, "_kept").alias("doc_id"), F.col(text_col).alias("text")),
+                               "doc_id", "text", shingle).select(f"doc_id.{id_col}", "doc_id._kept", "fp")
+                  .toDF("doc_id", "_kept", "fp"))
+    least = docs_fp.join(classes(docs_fp, max_bits), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = least.groupBy("root").agg(F.min(F.struct("fp", "_kept")).alias("one")).select("one._kept")
+    one = Window.partitionBy("_kept").orderBy("_kept")
+    return (keyed.join(kept, "_kept").withColumn("_n", F.row_number().over(one)).where("_n = 1")
+            .select(*[F.col(f"`{c}`") for c in docs.columns]))
