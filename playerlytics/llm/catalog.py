@@ -27,8 +27,8 @@ def op1_exact_topk(spark, sf_dir):
 
 @query
 def op2_document_fingerprints(spark, sf_dir):
-    """Bottom-128 sketches of five-word shingles, of the texts and of the edited texts."""
-    found = edited.fingerprints_beside(read(spark, sf_dir, "documents"), shingle=5, k=128)
+    """Bottom-256 sketches of five-word shingles, of the texts and of the edited texts."""
+    found = edited.fingerprints_beside(read(spark, sf_dir, "documents"), shingle=5, k=256)
     return found.select("doc_id", "n_chars", "edited_sha256", F.base64("sketch").alias("fingerprint"),
                         F.base64("edited_sketch").alias("edited_fingerprint"), "near_edited", "near_next")
 

@@ -51,7 +51,7 @@ def beside_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                                        "doc_id": extra.column("doc_id"), "text": extra.column("text")})
 
     dealt = rows.mapInArrow(deal, "part int, lead boolean, doc_id long, text string")
-    return dealt.repartition("part").sortWithinPartitions("part", "lead", F.desc_nulls_last("doc_id"), "text")
+    return dealt.repartitionById(n, "part").sortWithinPartitions("part", "lead", F.desc_nulls_last("doc_id"), "text")
 
 
 def _edited(text: str, following: str) -> str:
