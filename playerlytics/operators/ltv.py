@@ -9,12 +9,13 @@ values of ``numLevelsCompleted > 0`` in the period, i.e. 1 or 2. ``active="users
 counts distinct players with a completed level. A zero count gives a null LTV
 (``try_divide``), never a division error.
 
-The active count is one row per (game, period[, cluster]). It is counted and broadcast
-to the per-player side when small (the usual case: days in range x clusters), and joined
-with salted keys otherwise (``operators.joins``), so the few (game, date) keys never
-pull all players of a day into one task.
-The per-cluster series (L6) adds ``cluster`` to every key, the per-cluster loop of the
-batch job becomes one plan.
+The series (L5, L6, L8) need no join: from one row per (game[, cluster], player, period) with its
+revenue, lifetime and whether it has completed levels, one aggregation per period gives the sum of
+revenue x lifetime and the active count, and the sum and mean of LTV by division. For LTV per
+player (L4, L7) the active counts, one row per game and period, are written under
+``spark.checkpoint.dir`` and joined from there, so that the engine knows their size: it broadcasts
+them if small, and otherwise can split a hot period, as both sides of the join are plain shuffles.
+The per-cluster series (L6) adds ``cluster`` to every key.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions import time as T
 from ..functions.aggregates import exact_avg, exact_sum
-from .joins import join_small_side
+from ..session import scratch_path
 
 # Fixed value: revenue per watched ad, in dollars.
 AD_VALUE = 0.015
@@ -61,12 +62,31 @@ def active_per_day(rows: DataFrame, by: tuple[str, ...] = (), active: str = "fla
 
 
 def _ltv(per_user: DataFrame, per_period: DataFrame, keys: list[str], period: str) -> DataFrame:
-    joined = join_small_side(per_user, per_period, keys, "left")
+    spark = per_user.sparkSession
+    path = scratch_path(spark, "active")
+    per_period.write.parquet(path)
+    joined = per_user.join(spark.read.schema(per_period.schema).parquet(path), keys, "left")
     ltv = F.try_divide(F.col("revenue"), F.col("activeUsersPerPeriod")) * F.col("lifetime")
     extra = [c for c in keys if c not in ("gameId", period)]
     return joined.select("gameId", *extra, "userId", ltv.alias("ltv"), period)
 
 
+def _series(rows: DataFrame, keys: list[str], lifetime: Column, active: str, ad_value: float) -> DataFrame:
+    """Sum and mean LTV per period without a join (see above)."""
+    if active not in ("flag", "users"):
+        raise ValueError("active must be 'flag' or 'users'")
+    done = F.col("numLevelsCompleted") > 0
+    per_user = rows.groupBy(*keys, "userId").agg(
+        lifetime.alias("lifetime"), _revenue(ad_value),
+        F.max(done.cast("int")).alias("some"), F.max((~done).cast("int")).alias("idle"))
+    value = F.col("revenue") * F.col("lifetime")
+    count = (F.coalesce(F.max("some"), F.lit(0)) + F.coalesce(F.max("idle"), F.lit(0)) if active == "flag"
+             else F.sum(F.when(F.col("userId").isNotNull(), F.col("some")).otherwise(F.lit(0))))
+    per_period = per_user.groupBy(*keys).agg(exact_sum(value).alias("total"), F.count(value).alias("n"), count.alias("active"))
+    total = F.try_divide(F.col("total"), F.col("active").cast("double"))
+    return per_period.select(*keys, total.alias("sumLtv"), F.try_divide(total, F.col("n").cast("double")).alias("avgLtv")).orderBy(*keys)
+
+
 def ltv_user_daily(rows: DataFrame, by: tuple[str, ...] = (), active: str = "flag",
                    ad_value: float = AD_VALUE) -> DataFrame:
     """LTV per player and date (L4); ``by=("cluster",)`` computes it within each cluster."""
@@ -75,7 +95,7 @@ def ltv_user_daily(rows: DataFrame, by: tuple[str, ...] = (), active: str = "fla
 
 
 def ltv_points(ltv: DataFrame, period: str = "date", by: tuple[str, ...] = ()) -> DataFrame:
-    """Sum and mean LTV per period, ordered."""
+    """Sum and mean per period of given LTV rows, ordered (of a stored table: L8)."""
     keys = ["gameId", *by, period]
     return (ltv.groupBy(*keys)
             .agg(exact_sum(F.col("ltv")).alias("sumLtv"), exact_avg(F.col("ltv")).alias("avgLtv"))
@@ -83,13 +103,12 @@ def ltv_points(ltv: DataFrame, period: str = "date", by: tuple[str, ...] = ()) -
 
 
 def ltv_points_daily(rows: DataFrame, active: str = "flag", ad_value: float = AD_VALUE) -> DataFrame:
-    return ltv_points(ltv_user_daily(rows, (), active, ad_value), "date")
+    return _series(rows, ["gameId", "date"], F.count("partOfDay"), active, ad_value)
 
 
 def ltv_points_daily_by_cluster(rows: DataFrame, active: str = "flag", ad_value: float = AD_VALUE) -> DataFrame:
     """The daily series of each cluster, active count taken within the cluster."""
-    by = ("cluster",)
-    return ltv_points(ltv_user_daily(rows, by, active, ad_value), "date", by)
+    return _series(rows, ["gameId", "cluster", "date"], F.count("partOfDay"), active, ad_value)
 
 
 def with_month(rows: DataFrame) -> DataFrame:
@@ -113,4 +132,4 @@ def ltv_user_monthly(rows: DataFrame, active: str = "flag", ad_value: float = AD
 
 
 def ltv_points_monthly(rows: DataFrame, active: str = "flag", ad_value: float = AD_VALUE) -> DataFrame:
-    return ltv_points(ltv_user_monthly(rows, active, ad_value), "codMonth")
+    return _series(with_month(rows), ["gameId", "codMonth"], F.count_distinct("date"), active, ad_value)

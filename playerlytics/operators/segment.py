@@ -16,7 +16,7 @@ from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
@@ -119,7 +119,14 @@ def elbow(features: DataFrame, k_from: int = DEFAULT_ELBOW_K[0], k_to: int = DEF
 
 
 def pca_points(labelled: DataFrame, k: int = 2) -> DataFrame:
-    """2-D projection of the scaled features with the cluster of each row."""
+    """2-D projection of the scaled features with the cluster of each row.
+
+    Takes freshly labelled rows or the stored cluster table, where vectors are arrays. The rows are
+    read for the fit and again for the projection: pass a stored or persisted table.
+    """
+    if labelled.schema[SCALED_COL].dataType.typeName() == "array":
+        labelled = labelled.withColumn(SCALED_COL, array_to_vector(F.col(SCALED_COL)))
+    labelled = labelled.select(SCALED_COL, CLUSTER_COL)
     model = PCA(k=k, inputCol=SCALED_COL, outputCol="pcaFeatures").fit(labelled)
     return (model.transform(labelled)
             .select(vector_to_array(F.col("pcaFeatures")).alias("points"), F.col(CLUSTER_COL)))

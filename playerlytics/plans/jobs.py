@@ -1,8 +1,7 @@
 """End-to-end jobs (E1-E5) on the caller's SparkSession, with typed parameters.
 
-Each written table is read back before the next stage uses it, so every stage starts
-from files (a lineage cut: a lost executor re-reads Parquet instead of recomputing the
-events) and the daily/monthly rollups read only the partitions of the run's months.
+Each stage starts from files that the run itself wrote (a lineage cut: a lost executor
+re-reads Parquet instead of recomputing the events).
 """
 
 from __future__ import annotations
@@ -11,12 +10,13 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions import time as T
 from ..operators import clean, ltv, profile, retention, rollup, segment
+from ..session import scratch
 from ..sources import sinks, tables
-from ..sources.events import behavior_source, player_info_source
-from ..sources.schemas import DAILY_TABLE, HOURLY_TABLE, MONTHLY_TABLE, RAW_TABLE, TABLE_PARTITIONS
+from ..sources.schemas import DAILY_TABLE, HOURLY_TABLE, MONTHLY_TABLE, RAW_TABLE, TABLE_PARTITIONS, TABLE_SCHEMAS
 
 GRANULARITIES = ("daily", "monthly", "both")
 
@@ -28,70 +28,75 @@ class EnrichResult:
     previews: dict[str, DataFrame] = field(default_factory=dict)  # latest 15 rows (T1)
 
 
+def _months_of(df: DataFrame, months: T.MonthRange, period: str) -> DataFrame:
+    return df.where(months.date_filter(F.col("date")) if period == "date" else months.code_filter(F.col("codMonth")))
+
+
 def run_enrich(spark: SparkSession, events: DataFrame, out: str, months: T.MonthRange,
                granularity: str = "daily", driver: str = "levels", on_bad_timezone: str = "error",
-               overwrite: str = "dynamic", write_raw: bool = True) -> EnrichResult:
+               overwrite: str = "period", write_raw: bool = True) -> EnrichResult:
     """Clean the events, roll them up and write the tables.
 
     ``granularity``: "daily" writes the hourly and daily rollups, "monthly" the monthly
-    one, "both" all three. ``overwrite="dynamic"`` (default) replaces only the
-    days/months of this run.
-
-    With ``write_raw`` (default) the source is read once: the four cleaned families are
-    written as one table partitioned by (family, date), and the rollups are computed from
-    that table read back (lineage cut; family and date partitions pruned). Without it
-    the rollups read the source directly (player and behaviour scans).
+    one, "both" all three. Every table is derived from this run's own rows, which are kept in
+    a scratch folder under ``spark.checkpoint.dir`` until the tables are published; what older
+    runs left in the tables is never read. ``overwrite="period"`` (default) replaces the
+    run's months in the rollup tables, partitions that have no rows any more included;
+    ``"dynamic"`` replaces only the partitions that this run has rows for.
+
+    The source is read once: the four cleaned families are written as one table (published
+    with ``write_raw``, partitioned by (family, date)), and the rollups read it. Months
+    without events give tables without rows.
     """
     if granularity not in GRANULARITIES:
         raise ValueError(f"granularity must be one of {GRANULARITIES}")
-    info = player_info_source(events)
-    behavior = behavior_source(events, months, on_bad_timezone)
+    if overwrite not in ("period", "dynamic", "static"):
+        raise ValueError("overwrite must be 'period', 'dynamic' or 'static'")
     res = EnrichResult()
 
-    def write(name: str, df: DataFrame, partitions, rebalance: bool = True) -> DataFrame:
+    def own(work: str, name: str, df: DataFrame) -> DataFrame:
+        """This run's rows of a table, written once."""
+        path = f"{work}/{name}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    def publish(name: str, rows: DataFrame) -> None:
         path = tables.table_path(out, name)
-        sinks.write_partitioned(df, path, list(partitions), overwrite, rebalance)
+        partitions, schema = list(TABLE_PARTITIONS[name]), TABLE_SCHEMAS[name]
+        sinks.write_partitioned(rows, path, partitions, "static" if overwrite == "static" else "dynamic")
         res.tables[name] = path
-        back = tables.read_table(spark, path)
         if name == RAW_TABLE:
-            return back
-        period = partitions[0]
-        if period == "date":
-            back = back.where(months.date_filter(F.col("date")))
-        elif period == "codMonth":
-            back = back.where(months.code_filter(F.col("codMonth")))
-        res.counts[name] = back.count()
-        return back
-
-    if write_raw:
-        # no rebalance: raw files are written where they are read (no extra shuffle of the
-        # largest table); each task writes the few (family, date) pairs of its input split
-        raw_back = write(RAW_TABLE, clean.clean_events(events, months, on_bad_timezone),
-                         TABLE_PARTITIONS[RAW_TABLE], rebalance=False)
-        hourly = rollup.hourly_rollup_from_clean(raw_back, months, driver)
-    else:
-        hourly = rollup.hourly_rollup(info, behavior, driver)
-    if granularity in ("daily", "both"):
-        hourly_back = write(HOURLY_TABLE, hourly, TABLE_PARTITIONS[HOURLY_TABLE])
-        daily_back = write(DAILY_TABLE, rollup.daily_rollup(hourly_back), TABLE_PARTITIONS[DAILY_TABLE])
-        res.previews[HOURLY_TABLE] = rollup.preview_latest(hourly_back)
-        res.previews[DAILY_TABLE] = rollup.preview_latest(daily_back)
-        daily_src = daily_back
-    else:
-        daily_src = hourly   # months straight from hours: same sums, one shuffle fewer
-    if granularity in ("monthly", "both"):
-        monthly_back = write(MONTHLY_TABLE, rollup.monthly_rollup(daily_src), TABLE_PARTITIONS[MONTHLY_TABLE])
-        res.previews[MONTHLY_TABLE] = rollup.preview_latest(monthly_back)
+            return
+        if overwrite == "period":
+            kept = _months_of(tables.read_table(spark, path, schema), months, partitions[0])
+            sinks.drop_stale_partitions(path, kept, rows.select(*[F.col(c).cast(schema[c].dataType) for c in partitions]), partitions)
+        res.counts[name] = rows.count()
+        latest = rollup.preview_latest(rows.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields]))
+        res.previews[name] = spark.createDataFrame(latest.collect(), schema)   # 15 rows
+
+    with scratch(spark, "enrich") as work:
+        cleaned = own(work, RAW_TABLE, clean.clean_events(events, months, on_bad_timezone))
+        if write_raw:
+            publish(RAW_TABLE, cleaned)
+        hourly = own(work, HOURLY_TABLE, rollup.hourly_rollup_from_clean(cleaned, months, driver))
+        if granularity in ("daily", "both"):
+            publish(HOURLY_TABLE, hourly)
+            publish(DAILY_TABLE, own(work, DAILY_TABLE, rollup.daily_rollup(hourly)))
+        if granularity in ("monthly", "both"):
+            # months straight from hours: the same sums as through days, one shuffle fewer
+            publish(MONTHLY_TABLE, own(work, MONTHLY_TABLE, rollup.monthly_rollup(hourly)))
     return res
 
 
-def _features(spark: SparkSession, base: str, game_id: str | None, months: T.MonthRange,
+def _features(spark: SparkSession, base: str, game_id: str, months: T.MonthRange,
               granularity: str) -> DataFrame:
+    if not game_id:
+        raise ValueError("a model is fitted on one game: game_id is required")
     rollup_df = tables.read_rollup(spark, base, granularity)
     return tables.segmentation_input(rollup_df, granularity, game_id, months)
 
 
-def run_elbow(spark: SparkSession, base: str, game_id: str | None, months: T.MonthRange,
+def run_elbow(spark: SparkSession, base: str, game_id: str, months: T.MonthRange,
               k_from: int = segment.DEFAULT_ELBOW_K[0], k_to: int = segment.DEFAULT_ELBOW_K[1],
               granularity: str = "daily") -> DataFrame:
     """Training cost for each k over one game's rollup rows."""
@@ -107,7 +112,7 @@ class SegmentationResult:
     profiles: dict[str, DataFrame]
 
 
-def run_segmentation(spark: SparkSession, base: str, game_id: str | None, months: T.MonthRange, k: int,
+def run_segmentation(spark: SparkSession, base: str, game_id: str, months: T.MonthRange, k: int,
                      model_out: str, clusters_out: str, granularity: str = "daily") -> SegmentationResult:
     """Fit k-means, save the model and the labelled rows, return cluster profiles."""
     features = _features(spark, base, game_id, months, granularity)
@@ -116,7 +121,7 @@ def run_segmentation(spark: SparkSession, base: str, game_id: str | None, months
     period = tables.period_column(granularity)
     labelled = segment.vectors_as_arrays(segment.label(model, features))
     sinks.write_partitioned(labelled, clusters_out, [period, "partOfDay"], "static")
-    back = tables.read_table(spark, clusters_out)
+    back = tables.read_clusters(spark, clusters_out, granularity)
     rows = tables.cluster_input(back, granularity, game_id, months)
     profiles = {
         "users": profile.users_per_cluster(rows),
@@ -130,6 +135,11 @@ def run_segmentation(spark: SparkSession, base: str, game_id: str | None, months
     return SegmentationResult(model_out, clusters_out, segment.cluster_centers(model), back, profiles)
 
 
+def run_projection(spark: SparkSession, clusters_path: str, k: int = 2) -> DataFrame:
+    """PCA of the stored cluster table: ``points`` and ``cluster`` of each row."""
+    return segment.pca_points(tables.read_clusters(spark, clusters_path), k)
+
+
 def run_ltv(spark: SparkSession, clusters_path: str, game_id: str | None, months: T.MonthRange,
             attribute: str = "cluster", granularity: str = "daily", active: str = "flag",
             monthly_out: str | None = None) -> dict[str, DataFrame]:
@@ -154,7 +164,8 @@ def run_ltv(spark: SparkSession, clusters_path: str, game_id: str | None, months
     per_user = ltv.ltv_user_monthly(rows, active)
     if monthly_out is not None:
         sinks.write_partitioned(per_user, monthly_out, ["codMonth"], "static")
-        per_user = tables.read_table(spark, monthly_out)
+        schema = StructType([f if f.name != "codMonth" else StructField("codMonth", IntegerType()) for f in per_user.schema.fields])
+        per_user = tables.read_table(spark, monthly_out, schema)
     return {"ltv_user_monthly": per_user, "ltv_points_monthly": ltv.ltv_points(per_user, "codMonth")}
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -35,6 +36,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/scratch-{name}-{uuid.uuid4().hex}"
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder through Spark's file systems (nothing if it is not there)."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession, name: str):
+    """A scratch path for the time of a job; its folder is deleted afterwards."""
+    path = scratch_path(spark, name)
+    try:
+        yield path
+    finally:
+        remove_path(spark, path)
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int | None = None,
                   app: str = "playerlytics") -> SparkSession:
     """A local session for tests and benches (UI off, AQE on, UTC)."""

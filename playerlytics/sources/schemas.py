@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import (DataType, DateType, DoubleType, IntegerType, LongType,
+from pyspark.sql.types import (ArrayType, DataType, DateType, DoubleType, IntegerType, LongType,
                                StringType, StructField, StructType)
 
 
@@ -65,6 +65,23 @@ MONTHLY_ROLLUP_SCHEMA = _struct(("userId", S), ("gameId", S), ("flagOrganic", I)
                                 ("dateRegistration", DT), *_MEASURE_FIELDS, ("partOfDay", S),
                                 ("codMonth", I))
 
+# The hourly table as written, and the raw table: one row per (event, family).
+HOURLY_ROLLUP_SCHEMA = _struct(("userId", S), ("gameId", S), ("flagOrganic", I), ("dateRegistration", DT),
+                               *_MEASURE_FIELDS, ("partOfDay", S), ("dayOfWeek", I), ("date", DT), ("hourOfDay", I))
+RAW_SCHEMA = _struct(("userId", S), ("gameId", S), ("attribution", S), ("action", S), ("levelId", S),
+                     ("levelDifficulty", S), ("levelProgress", S), ("status", S), ("timezone", S), ("hourOfDay", I),
+                     ("placementId", S), ("adType", S), ("itemId", S), ("category", S), ("amount", D), ("currency", S),
+                     ("family", S), ("date", DT))
+
+
+def cluster_schema(period: str) -> StructType:
+    """A segmentation's labelled rows: features, vectors as arrays, the cluster, and the period columns."""
+    vectors = (("featureVector", ArrayType(D)), ("scaledFeatures", ArrayType(D)))
+    return _struct(("userId", S), ("gameId", S), ("numLevelsStarted", L), ("numLevelsCompleted", L), ("numAdsWatched", L),
+                   ("numPurchasesDone", L), ("partOfDayNumber", I), ("flagOrganic", I), *vectors, ("cluster", I),
+                   (period, DT if period == "date" else I), ("partOfDay", S))
+
+
 # Table names of the rollups and their partition columns.
 HOURLY_TABLE = "hh_playerbehavior"
 DAILY_TABLE = "hd_playerbehavior"
@@ -77,5 +94,7 @@ TABLE_PARTITIONS = {
     DAILY_TABLE: ("date", "partOfDay"),
     MONTHLY_TABLE: ("codMonth", "partOfDay"),
 }
+TABLE_SCHEMAS = {RAW_TABLE: RAW_SCHEMA, HOURLY_TABLE: HOURLY_ROLLUP_SCHEMA, DAILY_TABLE: DAILY_ROLLUP_SCHEMA,
+                 MONTHLY_TABLE: MONTHLY_ROLLUP_SCHEMA}
 GRANULARITY_TABLE = {"daily": (DAILY_TABLE, "date", DAILY_ROLLUP_SCHEMA),
                      "monthly": (MONTHLY_TABLE, "codMonth", MONTHLY_ROLLUP_SCHEMA)}

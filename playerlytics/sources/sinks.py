@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 
+from ..session import remove_path
+
 
 def write_partitioned(df: DataFrame, path: str, partitions: Sequence[str], overwrite: str = "static",
                       rebalance: bool = True) -> None:
@@ -35,6 +37,19 @@ def write_partitioned(df: DataFrame, path: str, partitions: Sequence[str], overw
         .parquet(path))
 
 
+def drop_stale_partitions(path: str, existing: DataFrame, rows: DataFrame, partitions: Sequence[str]) -> None:
+    """Delete the partitions of ``existing`` (the table's rows of a period) of which ``rows`` has none.
+
+    Both sides are lists of partition values: as many as a period has days and hours or parts of day.
+    """
+    spark = rows.sparkSession
+    stale = existing.select(*partitions).distinct().exceptAll(rows.select(*partitions).distinct())
+    for r in stale.collect():
+        values = ["__HIVE_DEFAULT_PARTITION__" if v is None else v for v in r]
+        remove_path(spark, "/".join([path.rstrip("/"), *(f"{c}={v}" for c, v in zip(partitions, values))]))
+    spark.catalog.refreshByPath(path)
+
+
 def save_model(model: PipelineModel, path: str) -> None:
     """Save a fitted pipeline, replacing what is there."""
     model.write().overwrite().save(path)

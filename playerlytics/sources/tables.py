@@ -11,23 +11,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import time as T
-from .schemas import GRANULARITY_TABLE, RAW_TABLE
-
-SEGMENT_COLUMNS = ("userId", "gameId", "numLevelsStarted", "numLevelsCompleted", "numAdsWatched",
-                   "numPurchasesDone", "partOfDay", "partOfDayNumber", "flagOrganic")
-CLUSTER_COLUMNS = ("userId", "gameId", "numLevelsCompleted", "numAdsWatched", "numPurchasesDone",
-                   "partOfDay", "partOfDayNumber", "flagOrganic", "cluster")
-
+from .schemas import GRANULARITY_TABLE, RAW_TABLE, TABLE_SCHEMAS, cluster_schema
 
 def table_path(base: str, table: str) -> str:
     return f"{base.rstrip('/')}/{table}"
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet read with the stored schema (S3)."""
-    return spark.read.parquet(path)
+def read_table(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
+    """Parquet read with a declared schema (S3); without one, with the stored schema of a table that has rows."""
+    return (spark.read.schema(schema) if schema is not None else spark.read).parquet(path)
+
+
+def read_clusters(spark: SparkSession, path: str, granularity: str | None = None) -> DataFrame:
+    """A segmentation's labelled rows; ``granularity`` declares their schema (needed where there may be no rows)."""
+    return read_table(spark, path, cluster_schema(period_column(granularity)) if granularity else None)
 
 
 def read_rollup(spark: SparkSession, base: str, granularity: str = "daily") -> DataFrame:
@@ -39,7 +39,7 @@ def read_rollup(spark: SparkSession, base: str, granularity: str = "daily") -> D
 def read_raw_family(spark: SparkSession, base: str, family: str) -> DataFrame:
     """One cleaned family from the raw table (prunes the ``family`` partition)."""
     from ..operators.clean import family_rows
-    return family_rows(read_table(spark, table_path(base, RAW_TABLE)), family)
+    return family_rows(read_table(spark, table_path(base, RAW_TABLE), TABLE_SCHEMAS[RAW_TABLE]), family)
 
 
 def read_raw_players(spark: SparkSession, base: str) -> DataFrame:
@@ -72,15 +72,15 @@ def segmentation_input(rollup: DataFrame, granularity: str = "daily", game_id: s
                        months: T.MonthRange | None = None) -> DataFrame:
     """Feature rows of a rollup: five k-means features plus keys."""
     period = period_column(granularity)
-    cols = [F.col(c) for c in SEGMENT_COLUMNS if c != "partOfDayNumber"]
-    cols.insert(7, T.part_of_day_number(F.col("partOfDay")).alias("partOfDayNumber"))
-    return rollup.select(*cols, F.col(period)).where(_game_filter(game_id) & _period_filter(granularity, months))
+    return rollup.select("userId", "gameId", "numLevelsStarted", "numLevelsCompleted", "numAdsWatched", "numPurchasesDone",
+                         "partOfDay", T.part_of_day_number(F.col("partOfDay")).alias("partOfDayNumber"), "flagOrganic",
+                         period).where(_game_filter(game_id) & _period_filter(granularity, months))
 
 
 def cluster_input(labelled: DataFrame, granularity: str = "daily", game_id: str | None = None,
                   months: T.MonthRange | None = None) -> DataFrame:
     """Cluster-labelled rows of one game and range."""
     period = period_column(granularity)
-    cols = [F.col(c) for c in CLUSTER_COLUMNS if c != "partOfDayNumber"]
-    cols.insert(6, T.part_of_day_number(F.col("partOfDay")).alias("partOfDayNumber"))
-    return labelled.select(*cols, F.col(period)).where(_game_filter(game_id) & _period_filter(granularity, months))
+    return labelled.select("userId", "gameId", "numLevelsCompleted", "numAdsWatched", "numPurchasesDone", "partOfDay",
+                           T.part_of_day_number(F.col("partOfDay")).alias("partOfDayNumber"), "flagOrganic", "cluster",
+                           period).where(_game_filter(game_id) & _period_filter(granularity, months))

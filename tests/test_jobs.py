@@ -1,12 +1,12 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from conftest import SF_SMALL, event, events_df, ms
 from playerlytics.functions import time as T
 from playerlytics.plans import jobs
 from playerlytics.sources import tables
 from playerlytics.sources.fixtures import load_game_events
-from playerlytics.sources.schemas import DAILY_TABLE, HOURLY_TABLE, MONTHLY_TABLE, RAW_TABLE
+from playerlytics.sources.schemas import DAILY_TABLE, HOURLY_TABLE, MONTHLY_TABLE, RAW_TABLE, TABLE_SCHEMAS
 
 
 @pytest.fixture(scope="module")
@@ -20,7 +20,7 @@ def enriched(spark, tmp_path_factory):
 def test_enrich_writes_all_tables(spark, enriched):
     out, res = enriched
     assert set(res.tables) == {HOURLY_TABLE, DAILY_TABLE, MONTHLY_TABLE, RAW_TABLE}
-    fams = {r.family: r[1] for r in tables.read_table(spark, res.tables[RAW_TABLE]).groupBy("family").count().collect()}
+    fams = {r.family: r[1] for r in tables.read_table(spark, res.tables[RAW_TABLE], TABLE_SCHEMAS[RAW_TABLE]).groupBy("family").count().collect()}
     assert set(fams) == {"playerEvent", "levelEvent", "adEvent", "purchaseEvent"}
     assert res.counts[HOURLY_TABLE] == 307
     d = tables.read_rollup(spark, out, "daily")
@@ -89,10 +89,81 @@ def test_partitioned_writes_make_few_files(spark, enriched):
         assert per_dir and max(per_dir.values()) <= 2, (table, max(per_dir.values()))
 
 
-def test_preview_is_distributed_top_k(spark, enriched):
-    out, res = enriched
-    plan = res.previews[DAILY_TABLE]._jdf.queryExecution().executedPlan().toString()
-    assert "TakeOrderedAndProject" in plan
+def _level(user, when, tz="+00:00"):
+    return event(user=user, ts=ms(when), tz=tz, levelId="L1", status="COMPLETED")
+
+
+def _ad(user, when):
+    return event(user=user, ts=ms(when), adType="banner", status="WATCHED")
+
+
+@pytest.mark.parametrize("write_raw", [True, False])
+@pytest.mark.parametrize("overwrite", ["period", "dynamic"])
+def test_rerun_with_fewer_events(spark, tmp_path, write_raw, overwrite):
+    """A re-run is computed from its own rows, never from partitions that an older run left."""
+    out, jan = str(tmp_path / "t"), T.MonthRange.one("202401")
+    def run(rows):
+        return jobs.run_enrich(spark, events_df(spark, rows), out, jan, "both", overwrite=overwrite, write_raw=write_raw)
+
+    early, late = _level("u1", "2024-01-05 06:10:00"), _level("u1", "2024-01-05 08:10:00")
+    run([early, late, _ad("u1", "2024-01-05 06:20:00")])
+    res = run([early])
+    day = tables.read_rollup(spark, out, "daily").collect()
+    month = tables.read_rollup(spark, out, "monthly").collect()
+    assert [(r.numLevelsCompleted, r.numAdsWatched) for r in day] == [(1, 0)]
+    assert [(r.numLevelsCompleted, r.numAdsWatched) for r in month] == [(1, 0)]
+    assert res.counts == {HOURLY_TABLE: 1, DAILY_TABLE: 1, MONTHLY_TABLE: 1}
+    hours = tables.read_table(spark, res.tables[HOURLY_TABLE], TABLE_SCHEMAS[HOURLY_TABLE]).select("hourOfDay").collect()
+    assert sorted(r.hourOfDay for r in hours) == ([6] if overwrite == "period" else [6, 8])
+
+
+def test_months_without_events_give_empty_tables(spark, tmp_path):
+    out = str(tmp_path / "t")
+    signup = event(user="u1", ts=ms("2024-01-05 06:10:00"), attribution="organic", action="SIGN_UP")
+    res = jobs.run_enrich(spark, events_df(spark, [signup]), out, T.MonthRange.one("202401"), "both")
+    assert set(res.counts.values()) == {0} and all(p.count() == 0 for p in res.previews.values())
+    for name in (HOURLY_TABLE, DAILY_TABLE, MONTHLY_TABLE):
+        assert tables.read_table(spark, res.tables[name], TABLE_SCHEMAS[name]).count() == 0
+    assert tables.read_raw_players(spark, out).count() == 1
+    # and a period that loses all its events loses its rows
+    jan = T.MonthRange.one("202401")
+    jobs.run_enrich(spark, events_df(spark, [_level("u1", "2024-01-05 06:10:00")]), out, jan, "both")
+    assert tables.read_rollup(spark, out, "daily").count() == 1
+    jobs.run_enrich(spark, events_df(spark, [signup]), out, jan, "both")
+    assert tables.read_rollup(spark, out, "daily").count() == 0 == tables.read_rollup(spark, out, "monthly").count()
+
+
+def test_raw_table_has_few_files_whatever_the_tasks(spark, tmp_path):
+    import pathlib
+    from collections import Counter
+    ev = load_game_events(spark, SF_SMALL).repartition(32)
+    res = jobs.run_enrich(spark, ev, str(tmp_path / "t"), T.MonthRange("202401", "202403"), "daily")
+    per_dir = Counter(f.parent for f in pathlib.Path(res.tables[RAW_TABLE]).rglob("*.parquet"))
+    assert len(per_dir) > 50 and max(per_dir.values()) <= 2
+
+
+def test_scratch_is_deleted(spark, tmp_path):
+    import pathlib
+    from playerlytics.session import checkpoint_dir
+    base = pathlib.Path(checkpoint_dir(spark).removeprefix("file:"))
+    jobs.run_enrich(spark, load_game_events(spark, SF_SMALL), str(tmp_path / "t"), T.MonthRange.one("202401"), "daily")
+    assert not list(base.glob("scratch-enrich-*"))
+
+
+def test_a_model_needs_a_game(spark, enriched, tmp_path):
+    out, _ = enriched
+    with pytest.raises(ValueError):
+        jobs.run_elbow(spark, out, None, T.MonthRange.one("202401"), 2, 3)
+    with pytest.raises(ValueError):
+        jobs.run_segmentation(spark, out, None, T.MonthRange.one("202401"), 2, str(tmp_path / "m"), str(tmp_path / "c"))
+
+
+def test_projection_of_the_stored_clusters(spark, enriched, tmp_path):
+    out, _ = enriched
+    seg = jobs.run_segmentation(spark, out, "GAME_A", T.MonthRange("202401", "202403"), 3, str(tmp_path / "m"), str(tmp_path / "c"))
+    points = jobs.run_projection(spark, seg.clusters_path).collect()
+    assert len(points) == seg.labelled.count() and all(len(r.points) == 2 for r in points)
+    assert {r.cluster for r in points} == {r.cluster for r in seg.labelled.select("cluster").distinct().collect()}
 
 
 def test_monthly_only_enrich(spark, tmp_path):

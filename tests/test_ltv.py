@@ -45,12 +45,29 @@ def test_monthly(spark):
     assert ltv.ltv_points_monthly(rows).first().codMonth == "202401"
 
 
-def test_salted_fallback_equals_broadcast(spark):
-    from playerlytics.operators.joins import join_small_side
-    big = spark.range(0, 2000).selectExpr("cast(id as string) as userId", "id % 3 as g", "id as v")
-    small = spark.range(0, 3).selectExpr("id as g", "id * 10 as w")
-    a = join_small_side(big, small, ["g"], "left", adaptive=False)
-    b = join_small_side(big, small, ["g"], "left", max_broadcast_rows=1, salts=7, adaptive=False)
-    c = join_small_side(big, small, ["g"], "left", adaptive=True)
-    assert sorted(a.collect()) == sorted(c.select(*a.columns).collect())
-    assert sorted(a.collect()) == sorted(b.select(*a.columns).collect())
+@pytest.mark.parametrize("active", ["flag", "users"])
+def test_series_hold_no_join_and_equal_the_sums_per_player(spark, active):
+    rows = _rows(spark).unionByName(spark.createDataFrame(
+        [(None, "G", 0, D1, "night", 3, 5), ("u4", "G", 0, D1, "night", None, None)], _rows(spark).schema))
+    for series, per_user, period, by in (
+            (ltv.ltv_points_daily(rows, active), ltv.ltv_user_daily(rows, active=active), "date", ()),
+            (ltv.ltv_points_daily_by_cluster(rows, active), ltv.ltv_user_daily(rows, ("cluster",), active), "date", ("cluster",)),
+            (ltv.ltv_points_monthly(rows, active), ltv.ltv_user_monthly(rows, active), "codMonth", ())):
+        want = ltv.ltv_points(per_user, period, by).collect()
+        got = series.collect()
+        assert [r[:-2] for r in got] == [r[:-2] for r in want]
+        assert [r[-2:] for r in got] == [pytest.approx(r[-2:]) if None not in r[-2:] else r[-2:] for r in want]
+        assert "Join" not in series._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_hot_date_is_reduced_before_its_shuffle(spark):
+    """98% of the players on one date: no task of the series receives them by date alone."""
+    rows = spark.range(0, 20_000).selectExpr(
+        "concat('u', id) AS userId", "'G' AS gameId", "0 AS cluster",
+        "IF(id % 50 = 0, DATE'2024-01-02', DATE'2024-01-01') AS date", "'night' AS partOfDay",
+        "id % 3 AS numLevelsCompleted", "id % 5 AS numAdsWatched")
+    plan = ltv.ltv_points_daily(rows)._jdf.queryExecution().executedPlan().toString()
+    shuffles = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(shuffles) == 2 and "userId" in shuffles[1] and "Join" not in plan
+    below = plan.splitlines()[[i for i, line in enumerate(plan.splitlines()) if "Exchange hashpartitioning" in line][0] + 1]
+    assert "HashAggregate" in below and "partial_" in below   # a row per date and task crosses it
