@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chunks import RUN_STEP, Memo, runs
-from .tables import ragged_take, stored, text_steps
+from .tables import gather, ragged_take, stored, text_steps
 
 #: Pieces of one length that are ranked in one task; longer bins are split into parts of this size.
 PART_ROWS = 20_000
@@ -56,7 +56,7 @@ def token_ids(texts: pa.Array, memo: Memo, end_id: int) -> tuple[np.ndarray, np.
     bounds, codes, distinct = runs(texts)
     ids, counts = memo.ids([_words(r) for r in distinct])
     starts = np.cumsum(counts) - counts
-    flat = ids[ragged_take(starts[codes], counts[codes])]
+    flat = gather(ids, starts[codes], counts[codes])
     ends = np.concatenate([[0], np.cumsum(counts[codes])])[bounds]
     return np.insert(flat, ends[1:], end_id), ends + np.arange(len(ends))
 

@@ -21,10 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import runs
-from .tables import ragged_take, text_steps
+from .tables import gather, ragged_take, text_steps
 
 #: Text bytes of a step, characters indexed at once, and the longest unit that is relaxed beside others.
-STEP, INDEXED, LONG_UNIT = 16 << 20, 1 << 20, 64
+STEP, INDEXED, LONG_UNIT = 8 << 20, 1 << 19, 64
 SPACE = "▁"
 
 
@@ -210,7 +210,8 @@ class Encoder:
         Strings are cut between characters that adjoin in no piece; each distinct cut is indexed once.
         """
         v = self.vocabulary
-        text = _codes("".join(distinct))
+        joined = "".join(distinct)
+        text = _codes(joined)
         ends = np.cumsum(np.fromiter(map(len, distinct), np.int64, len(distinct)))
         cut = np.ones(len(text) + 1, bool)
         if len(text):
@@ -220,9 +221,9 @@ class Encoder:
             i = np.minimum(np.searchsorted(v.pairs, pair), max(0, len(v.pairs) - 1))
             cut[1:-1] |= v.pairs[i] != pair
         at = np.flatnonzero(cut)
-        joined = "".join(distinct)
         words = pa.array([joined[i:e] for i, e in zip(at[:-1].tolist(), at[1:].tolist())], pa.large_string()).dictionary_encode()
         cuts = words.dictionary.to_pylist()
+        del text
         ids, counts = [], []
         sizes = np.fromiter(map(len, cuts), np.int64, len(cuts)) + 1
         total = np.cumsum(sizes)
@@ -240,7 +241,7 @@ class Encoder:
         counts = np.concatenate(counts) if counts else np.zeros(0, np.int64)
         which = np.asarray(words.indices)
         starts = np.cumsum(counts) - counts
-        flat = ids[ragged_take(starts[which], counts[which])]
+        flat = gather(ids, starts[which], counts[which])
         of = np.concatenate([[0], np.cumsum(counts[which])])[np.searchsorted(at, np.concatenate([[0], ends]))]
         return flat, np.diff(of)
 
@@ -265,7 +266,7 @@ class Encoder:
         keys, which = np.unique(codes[takes] * most + blanks, return_inverse=True)
         ids, counts = self.units([SPACE * int(k % most) + distinct[int(k // most)] for k in keys.tolist()])
         starts = np.cumsum(counts) - counts
-        flat = ids[ragged_take(starts[which], counts[which])]
+        flat = gather(ids, starts[which], counts[which])
         per = np.bincount(rows[takes], counts[which], len(texts)).astype(np.int64)
         return flat.astype(np.int32), np.concatenate([[0], np.cumsum(per)])
 
@@ -273,7 +274,7 @@ class Encoder:
         """The texts of ids; the blank that encoding puts first goes, wrong bytes become U+FFFD."""
         v = self.vocabulary
         n = v.raw_lengths[ids]
-        raw = v.raw[ragged_take(v.raw_starts[ids], n)].tobytes()
+        raw = gather(v.raw, v.raw_starts[ids], n).tobytes()
         at = np.concatenate([[0], np.cumsum(n)])[bounds].tolist()
         out = []
         for i, e in zip(at[:-1], at[1:]):

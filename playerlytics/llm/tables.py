@@ -75,3 +75,15 @@ def ragged_take(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     ends = np.cumsum(lengths)
     return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
+
+
+def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray, step: int = 1 << 20) -> np.ndarray:
+    """The stretches (start, length) of ``values``, one after the other; about ``step`` at a time, to keep indices small."""
+    ends = np.cumsum(lengths)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, values.dtype)
+    i = at = 0
+    while i < len(lengths):
+        j = max(i + 1, int(np.searchsorted(ends, at + step, side="right")))
+        out[at:ends[j - 1]] = values[ragged_take(starts[i:j], lengths[i:j])]
+        i, at = j, int(ends[j - 1])
+    return out
