@@ -13,7 +13,7 @@ import re
 from dataclasses import dataclass
 from datetime import date, datetime, timedelta, timezone
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 # Time zone used when an event carries none, and the parts of the day on
@@ -30,7 +30,7 @@ PARTS_OF_DAY = tuple(name for name, _, _ in PART_OF_DAY_WINDOWS)
 
 MS_PER_DAY = 86_400_000
 
-_OFFSET_RE = re.compile(r"^(?:UTC|GMT|UT)?[+-]\d{1,2}(?::?\d{2})?$")
+_OFFSET_RE = re.compile(r"^(?:UTC|GMT|UT)?[+-](?:(?:0?\d|1[0-7])(?::[0-5]\d)?|18(?::00)?)$")
 
 
 def utc_wall_clock(epoch_ms: Column) -> Column:
@@ -60,15 +60,14 @@ def clean_timezone(tz: Column) -> Column:
 
 
 def valid_timezone(tz: Column) -> Column:
-    """True when ``tz`` is an offset form or a region id known to the tz database.
+    """True when ``tz`` is a zone that Spark resolves: an offset up to 18 hours, or an id of its zone rules.
 
     Used only by the opt-in ``on_bad_timezone="utc"`` mode; the default mode lets Spark
     raise on an unknown zone, as the batch jobs always did.
     """
-    import zoneinfo
-
-    regions = sorted(z for z in zoneinfo.available_timezones() if "/" in z or z in ("UTC", "GMT"))
-    return tz.rlike(_OFFSET_RE.pattern) | tz.isin(regions)
+    zones = SparkSession.active()._jvm.java.time.ZoneId
+    ids = sorted({*zones.getAvailableZoneIds(), *zones.SHORT_IDS.keySet(), "Z"})
+    return tz.rlike(_OFFSET_RE.pattern) | tz.isin(ids)
 
 
 def local_hour(utc_clock: Column, tz: Column) -> Column:

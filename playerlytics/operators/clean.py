@@ -62,22 +62,24 @@ FAMILY_TABLES = {"player": "playerEvent", "level": "levelEvent", "ad": "adEvent"
 CLEAN_COLUMNS = tuple(dict.fromkeys(name for cols in FAMILY_COLUMNS.values() for name, _ in cols))
 
 
-def clean_events(events: DataFrame, months: T.MonthRange, on_bad_timezone: str = "error") -> DataFrame:
+def clean_events(events: DataFrame, months: T.MonthRange | None, on_bad_timezone: str = "error") -> DataFrame:
     """All four cleaned families from one scan of the raw collection.
 
     One row per (event, family it belongs to), with a ``family`` column holding the
     family table name and the union of the families' columns (null where a family has
     none). Player rows keep their whole history; level, ad and purchase rows are limited
-    to ``months``. The rows come from a single ``inline`` generator, so the source is
+    to ``months`` (None: all). The rows come from a single ``inline`` generator, so the source is
     read once however many families an event belongs to.
     """
     from ..sources.events import project_schema
     if on_bad_timezone not in ("error", "utc"):
         raise ValueError("on_bad_timezone must be 'error' or 'utc'")
-    lo, hi = months.epoch_ms_bounds()
     ev = project_schema(events, EVENT_SCHEMA)
     ts = F.col("timestamp")
-    in_range = (ts >= F.lit(lo)) & (ts < F.lit(hi))
+    in_range = ts.isNotNull()
+    if months is not None:
+        lo, hi = months.epoch_ms_bounds()
+        in_range = (ts >= F.lit(lo)) & (ts < F.lit(hi))
     ev = ev.where(is_family("player") | (is_behavior() & in_range))
     tz = T.clean_timezone(F.col("timezone"))
     if on_bad_timezone == "utc":

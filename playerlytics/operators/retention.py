@@ -12,10 +12,8 @@ cohort collected to the driver as an IN list). Here it is one plan:
 3. equi-join on (gameId, userId) keeping activity dates in (pivot, pivot + n + idle];
 4. a member is active for offset i iff one of its matched days d = activity - pivot
    lies in [i, i + idle] (window sum > 0 <=> some day > 0, counters being
-   non-negative). With n + idle <= 62 each member's days become one 64-bit mask and one
-   aggregation counts the members hitting each offset (``active_by_mask``); otherwise
-   each matched day expands to the offsets it hits and distinct members are counted
-   (``active_by_offsets``);
+   non-negative). Each member's days become a day mask and one aggregation counts the
+   members hitting each offset (``active_by_mask``);
 5. the counts are left-joined to the zero-filled grid.
 
 Both join sides are pre-aggregated to one row per (player, day), so the work per player
@@ -25,6 +23,7 @@ is bounded by (days in month) x (days in horizon) whatever the player's event co
 from __future__ import annotations
 
 from datetime import date, timedelta
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -87,39 +86,32 @@ def retention_grid(new_users_df: DataFrame, n: int) -> DataFrame:
                     F.explode(F.sequence(F.lit(1), F.lit(n))).alias("dayRetention")))
 
 
-# Days after the pivot that fit one 64-bit day mask (bit d = active d days after pivot).
-MASK_DAYS = 62
-
-
-def active_by_offsets(hits: DataFrame, n: int, idle: int) -> DataFrame:
-    """Active members per (gameId, pivotDate, dayRetention), any horizon: each matched
-    day d expands to the offsets it hits, i in [max(1, d - idle), min(n, d)], then
-    distinct members are counted per offset."""
-    d = F.col("daysAfterPivot")
-    offsets = F.sequence(F.greatest(F.lit(1), d - F.lit(idle)), F.least(F.lit(n), d))
-    return (hits.select("gameId", "pivotDate", "userId", F.explode(offsets).alias("dayRetention"))
-            .groupBy("gameId", "pivotDate", "dayRetention")
-            .agg(F.count_distinct("userId").alias("activeUsers")))
+# Days after the pivot that one word of a day mask holds.
+WORD_DAYS = 62
 
 
 def active_by_mask(hits: DataFrame, n: int, idle: int) -> DataFrame:
-    """Same result as ``active_by_offsets`` when n + idle <= 62, without expanding rows.
+    """Active members per (gameId, pivotDate, dayRetention).
 
-    Each member's active days after its pivot are folded into one long (``bit_or`` of
-    1 << d); offset i is hit iff the mask has a bit in [i, i + idle]. One aggregation
-    per (gameId, pivotDate) then counts the members hitting each offset, n ``count_if``
-    columns, turned back into rows. Work is linear in matched rows plus members x n bit
-    tests; no distinct aggregation, no explode of matched rows.
+    Each member's active days after its pivot are folded into a day mask of as many longs as
+    the horizon needs (``bit_or``); offset i is hit iff the mask has a bit in [i, i + idle]. One
+    aggregation per (gameId, pivotDate) then counts the members hitting each offset, n
+    ``count_if`` columns, turned back into rows. Work is linear in matched rows plus
+    members x n tests; no distinct aggregation, no explode of matched rows.
     """
-    if n + idle > MASK_DAYS:
-        raise ValueError(f"n + idle must be <= {MASK_DAYS} for the day mask")
-    day_bit = F.expr("shiftleft(CAST(1 AS BIGINT), daysAfterPivot)")
+    words = range((n + idle) // WORD_DAYS + 1)
+    day = F.col("daysAfterPivot")
+    bit = F.expr(f"shiftleft(CAST(1 AS BIGINT), daysAfterPivot % {WORD_DAYS})")
     members = (hits.groupBy("gameId", "pivotDate", "userId")
-               .agg(F.bit_or(day_bit).alias("_days")))
-    window = (1 << (idle + 1)) - 1
-    counts = [F.count_if(F.col("_days").bitwiseAND(F.lit(window << i)) != 0).alias(f"_hit{i}")
-              for i in range(1, n + 1)]
-    per_pivot = members.groupBy("gameId", "pivotDate").agg(*counts)
+               .agg(*[F.bit_or(F.when(F.floor(day / WORD_DAYS) == w, bit).otherwise(F.lit(0).cast("long"))).alias(f"_days{w}")
+                      for w in words]))
+
+    def hit(i: int):
+        wanted = [sum(1 << d % WORD_DAYS for d in range(i, i + idle + 1) if d // WORD_DAYS == w) for w in words]
+        tests = [F.col(f"_days{w}").bitwiseAND(F.lit(m).cast("long")) != 0 for w, m in zip(words, wanted) if m]
+        return reduce(lambda a, b: a | b, tests)
+
+    per_pivot = members.groupBy("gameId", "pivotDate").agg(*[F.count_if(hit(i)).alias(f"_hit{i}") for i in range(1, n + 1)])
     rows = F.array(*[F.struct(F.lit(i).alias("dayRetention"), F.col(f"_hit{i}").alias("activeUsers"))
                      for i in range(1, n + 1)])
     return per_pivot.select("gameId", "pivotDate", F.inline(rows))
@@ -152,10 +144,8 @@ def retention_points(players_clean: DataFrame, daily: DataFrame, start_month: st
     activity = daily_activity(daily.where(F.col("date").between(F.lit(lo), F.lit(hi))))
     members = cohort_members(events)
     hits = cohort_activity(members, activity, n, idle)
-    active = (active_by_mask(hits, n, idle) if n + idle <= MASK_DAYS
-              else active_by_offsets(hits, n, idle))
-    # cohort sizes from the distinct members the join already uses (same exchange, reused);
-    # equal to ``new_users`` on every cohort the grid keeps (null players never count)
+    active = active_by_mask(hits, n, idle)
+    # cohort sizes from the distinct members that the join uses; equal to ``new_users`` on every cohort the grid keeps (null players never count)
     sizes = members.groupBy("gameId", "pivotDate").agg(F.count("userId").alias("newUsers"))
     grid = retention_grid(sizes, n)
     active_users = F.coalesce(F.col("activeUsers"), F.lit(0))

@@ -4,9 +4,8 @@ monthly (A7) and the latest-rows preview (T1).
 The hourly rollup is built in one pass: a single ``groupBy`` of the behaviour events on
 (userId, gameId, date, hourOfDay) with conditional counters for all three families, then
 one left join to the registration table. This is equal, row for row, to aggregating each
-family on its own and left-joining ads and purchases to levels (``hourly_rollup_joined``
-keeps that form for checks), but scans and shuffles the events once instead of three
-times and needs one join instead of three.
+family on its own and left-joining ads and purchases to levels, but scans and shuffles the events once instead of three
+times and needs one join instead of three (``tests/joined_form.py`` checks it).
 """
 
 from __future__ import annotations
@@ -20,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import predicates as P
 from ..functions import time as T
 from ..sources.schemas import MEASURES
-from .clean import FAMILY_TABLES, clean_ads, clean_levels, clean_players, clean_purchases, family_rows
+from .clean import FAMILY_TABLES, clean_players, family_rows
 
 USER_KEYS = ("userId", "gameId")
 HOUR_KEYS = ("userId", "gameId", "date", "hourOfDay")
@@ -144,18 +143,6 @@ def hourly_rollup_from_clean(cleaned: DataFrame, months: T.MonthRange | None = N
     return finish_hourly(_hourly_agg(rows, driver).join(reg, list(USER_KEYS), "left"))
 
 
-def hourly_rollup_joined(player_info: DataFrame, behavior: DataFrame) -> DataFrame:
-    """The per-family form: levels left-joined to registration, ads, purchases."""
-    levels = family_hourly(clean_levels(behavior), "level")
-    ads = family_hourly(clean_ads(behavior), "ad")
-    purchases = family_hourly(clean_purchases(behavior), "purchase")
-    reg = registration(clean_players(player_info))
-    joined = (levels.join(reg, list(USER_KEYS), "left")
-              .join(ads, list(HOUR_KEYS), "left")
-              .join(purchases, list(HOUR_KEYS), "left"))
-    return finish_hourly(joined)
-
-
 def _period_aggs() -> list[Column]:
     return [F.max("flagOrganic").alias("flagOrganic"),
             F.min("dateRegistration").alias("dateRegistration"),
@@ -177,7 +164,10 @@ def monthly_rollup(daily: DataFrame) -> DataFrame:
             .groupBy(*MONTH_KEYS).agg(*_period_aggs()))
 
 
-def preview_latest(rollup: DataFrame, n: int = 15) -> DataFrame:
+PREVIEW_ROWS = 15
+
+
+def preview_latest(rollup: DataFrame, n: int = PREVIEW_ROWS) -> DataFrame:
     """Latest ``n`` rows by period, newest first, ties broken by the remaining keys."""
     period = "date" if "date" in rollup.columns else "codMonth"
     keys = [k for k in ("userId", "gameId", "hourOfDay", "partOfDay") if k in rollup.columns]

@@ -11,13 +11,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
 from pyspark import StorageLevel
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
@@ -25,6 +26,7 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 # the k-means seed and iteration count, and the default elbow range of k.
 FEATURES = ("numLevelsCompleted", "numAdsWatched", "numPurchasesDone", "partOfDayNumber", "flagOrganic")
 FEATURE_COL, SCALED_COL, CLUSTER_COL = "featureVector", "scaledFeatures", "cluster"
+WEIGHT_COL = "weight"
 DEFAULT_SEED, DEFAULT_MAX_ITER = 1, 30
 DEFAULT_ELBOW_K = (3, 25)
 
@@ -39,22 +41,39 @@ def scaler() -> StandardScaler:
 
 
 def kmeans(k: int, max_iter: int = DEFAULT_MAX_ITER, seed: int = DEFAULT_SEED) -> KMeans:
-    return KMeans(k=k, maxIter=max_iter, seed=seed, featuresCol=SCALED_COL, predictionCol=CLUSTER_COL)
+    return KMeans(k=k, maxIter=max_iter, seed=seed, featuresCol=SCALED_COL, predictionCol=CLUSTER_COL,
+                  weightCol=WEIGHT_COL)
 
 
-def fit_segmentation(features: DataFrame, k: int, max_iter: int = DEFAULT_MAX_ITER,
-                     seed: int = DEFAULT_SEED) -> PipelineModel:
-    """Fit assembler + scaler + k-means (M1-M3).
+def grouped(features: DataFrame) -> DataFrame:
+    """One row per distinct feature vector with its number of rows: the same cost on far fewer rows."""
+    return features.groupBy(*FEATURES).agg(F.count("*").cast("double").alias(WEIGHT_COL))
 
-    The input is persisted for the fit, so the scaler's pass and k-means' iterations read
-    it once from its source."""
-    ours = features.storageLevel == StorageLevel.NONE   # leave a caller's cache alone
-    cached = features.persist(StorageLevel.MEMORY_AND_DISK) if ours else features
+
+@contextmanager
+def _prepared(features: DataFrame):
+    """The scaler fitted on all rows, and the distinct vectors scaled and weighted; the input is read once."""
+    rows = features.select(*FEATURES).persist(StorageLevel.MEMORY_AND_DISK)
+    data = None
     try:
-        return Pipeline(stages=[assembler(), scaler(), kmeans(k, max_iter, seed)]).fit(cached)
+        assemble = assembler()
+        scale = scaler().fit(assemble.transform(rows).select(FEATURE_COL))
+        data = (scale.transform(assemble.transform(grouped(rows))).select(SCALED_COL, WEIGHT_COL)
+                .persist(StorageLevel.MEMORY_AND_DISK))
+        data.count()
+        rows.unpersist()
+        yield assemble, scale, data
     finally:
-        if ours:
-            cached.unpersist()
+        rows.unpersist()
+        if data is not None:
+            data.unpersist()
+
+
+def fit_segmentation(features: DataFrame, k: int, max_iter: int = DEFAULT_MAX_ITER,
+                     seed: int = DEFAULT_SEED) -> PipelineModel:
+    """Fit assembler + scaler + k-means (M1-M3); k-means runs on the distinct vectors, weighted."""
+    with _prepared(features) as (assemble, scale, data):
+        return PipelineModel([assemble, scale, kmeans(k, max_iter, seed).fit(data)])
 
 
 def label(model: PipelineModel, features: DataFrame) -> DataFrame:
@@ -80,44 +99,57 @@ def scaled(features: DataFrame) -> DataFrame:
     return scaler().fit(assembled).transform(assembled)
 
 
-def elbow(features: DataFrame, k_from: int = DEFAULT_ELBOW_K[0], k_to: int = DEFAULT_ELBOW_K[1],
-          max_iter: int = DEFAULT_MAX_ITER,
-          seed: int = DEFAULT_SEED, parallelism: int = 4) -> DataFrame:
-    """Training cost for each k in [k_from, k_to] (M6).
-
-    The scaler is fitted once and the scaled rows are persisted for all fits; each fit
-    is a distributed MLlib job. Fits for different k are independent and seeded, so up to
-    ``parallelism`` of them are submitted concurrently (as ``CrossValidator`` does):
-    their short iteration jobs share the executors instead of running one after another.
-    Returns (kCluster, costTraining), one row per k.
+def elbow_fits(features: DataFrame, k_from: int = DEFAULT_ELBOW_K[0], k_to: int = DEFAULT_ELBOW_K[1],
+               max_iter: int = DEFAULT_MAX_ITER, seed: int = DEFAULT_SEED, parallelism: int = 4,
+               check: bool = False) -> list[tuple]:
+    """(k, training cost) for each k; with ``check`` also the cost recomputed from the model's centres.
+
+    The scaler is fitted once on all rows; the fits share the scaled distinct vectors. Fits for
+    different k are independent and seeded, so up to ``parallelism`` of them are submitted at a time
+    (as ``CrossValidator`` does): their short iteration jobs share the executors.
     """
     if k_from < 2 or k_to < k_from:
         raise ValueError("need 2 <= k_from <= k_to")
-    # one pass over the input: the scaler fit fills the cache of assembled vectors, the
-    # scaled rows are computed from that cache
-    assembled = assembler().transform(features).select(FEATURE_COL).persist(StorageLevel.MEMORY_AND_DISK)
-    data = None
-    try:
-        data = (scaler().fit(assembled).transform(assembled).select(SCALED_COL)
-                .persist(StorageLevel.MEMORY_AND_DISK))
-        data.count()   # materialise once, before the concurrent fits read it
-        assembled.unpersist()
-
-        def cost(k: int) -> tuple[int, float]:
-            return k, float(kmeans(k, max_iter, seed).fit(data).summary.trainingCost)
+    with _prepared(features) as (_, _, data):
+        def fit(k: int) -> tuple:
+            model = kmeans(k, max_iter, seed).fit(data)
+            cost = float(model.summary.trainingCost)
+            if not check:
+                return k, cost
+            nearest = F.array_min(center_distances([list(map(float, c)) for c in model.clusterCenters()]))
+            again = (data.select(vector_to_array(F.col(SCALED_COL)).alias(SCALED_COL), WEIGHT_COL)
+                     .agg(F.sum(nearest * F.col(WEIGHT_COL))).first()[0])
+            return k, cost, again
 
         ks = list(range(k_from, k_to + 1))
         with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(ks)))) as pool:
-            costs = list(pool.map(cost, ks))
-    finally:
-        assembled.unpersist()
-        if data is not None:
-            data.unpersist()
+            return list(pool.map(fit, ks))
+
+
+def elbow(features: DataFrame, k_from: int = DEFAULT_ELBOW_K[0], k_to: int = DEFAULT_ELBOW_K[1],
+          max_iter: int = DEFAULT_MAX_ITER, seed: int = DEFAULT_SEED, parallelism: int = 4) -> DataFrame:
+    """(kCluster, costTraining) for each k in [k_from, k_to] (M6); see ``elbow_fits``."""
     schema = StructType([StructField("kCluster", IntegerType(), False),
                          StructField("costTraining", DoubleType(), False)])
+    costs = elbow_fits(features, k_from, k_to, max_iter, seed, parallelism)
     return features.sparkSession.createDataFrame(costs, schema)
 
 
+def center_distances(centers: Sequence[Sequence[float]], column: str = SCALED_COL) -> Column:
+    """Squared distances of an array column to each centre, in order of the centres."""
+    zero = F.lit(0.0)
+    return F.array(*[F.aggregate(F.zip_with(F.col(column), F.lit([float(x) for x in c]), lambda a, b: (a - b) * (a - b)),
+                                 zero, lambda s, x: s + x) for c in centers])
+
+
+def label_check(labelled: DataFrame, centers: Sequence[Sequence[float]]) -> DataFrame:
+    """Rows, rows whose label is not their nearest centre, and labels out of range, of rows with vectors as arrays."""
+    rows = labelled.withColumn("_d", center_distances(centers))
+    own = F.get("_d", F.col(CLUSTER_COL))
+    return rows.agg(F.count("*").alias("numRows"), F.count_if(own > F.array_min("_d") + F.lit(1e-9)).alias("notNearest"),
+                    F.count_if(~F.col(CLUSTER_COL).between(0, len(centers) - 1)).alias("badLabels"))
+
+
 def pca_points(labelled: DataFrame, k: int = 2) -> DataFrame:
     """2-D projection of the scaled features with the cluster of each row.
 

@@ -9,6 +9,7 @@ hashed against the SQL oracle; the library functions themselves never round.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -16,25 +17,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions import time as T
+from ..functions.bounded import bounded_rows
 from ..operators import clean, ltv, profile, retention, rollup, segment
 from ..session import scratch_path
 from ..sources import sinks, tables
 from ..sources.events import behavior_source, player_info_source
 from ..sources.fixtures import game_events, load_game_events
-from ..sources.schemas import DAILY_TABLE, EVENT_SCHEMA, MONTHLY_TABLE, TABLE_PARTITIONS
-
-# Parameters of the registered queries. The enrich range covers every month present in
-# the adapter's data (2024-01-01 .. 2024-03-01), so the rollups run over whole tables.
-ENRICH_MONTHS = T.MonthRange("202401", "202403")
-# Analyses run over every game (each game analysed on its own: gameId is a group key)
-# and every month; the game/range filter operators are checked with GAME over FILTER_MONTHS.
-ANALYSIS_MONTHS = T.MonthRange("202401", "202403")
+from ..sources.schemas import DAILY_TABLE, EVENT_SCHEMA, MONTHLY_TABLE, RAW_TABLE, TABLE_PARTITIONS
+from . import jobs
+
+# Parameters of the registered queries. Rollups and analyses run over all months and games
+# (gameId is a group key; models are fitted game by game); the game/range filter operators are
+# checked with GAME over FILTER_MONTHS.
 GAME = "GAME_A"
 FILTER_MONTHS = T.MonthRange("202401", "202402")
 # Given centres over the five raw features, for deterministic cluster labels.
 FIXED_CENTROIDS = ((0, 0, 0, 1, 0), (1, 0, 0, 2, 0), (1, 1, 1, 3, 1))
 KMEANS_K = 4
-ELBOW_K = (3, 6)
+# Games that one session fits models for, one after the other.
+MOST_GAMES = 1000
 RETENTION_START = "202401"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,15 +82,15 @@ def player_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     return player_info_source(events(spark, sf_dir))
 
 
-def behavior(spark: SparkSession, sf_dir: str, months: T.MonthRange = ENRICH_MONTHS) -> DataFrame:
+def behavior(spark: SparkSession, sf_dir: str, months: T.MonthRange | None = None) -> DataFrame:
     return behavior_source(events(spark, sf_dir), months)
 
 
-def hourly(spark: SparkSession, sf_dir: str, months: T.MonthRange = ENRICH_MONTHS) -> DataFrame:
+def hourly(spark: SparkSession, sf_dir: str, months: T.MonthRange | None = None) -> DataFrame:
     return rollup.hourly_rollup(player_info(spark, sf_dir), behavior(spark, sf_dir, months))
 
 
-def daily(spark: SparkSession, sf_dir: str, months: T.MonthRange = ENRICH_MONTHS) -> DataFrame:
+def daily(spark: SparkSession, sf_dir: str, months: T.MonthRange | None = None) -> DataFrame:
     return rollup.daily_rollup(hourly(spark, sf_dir, months))
 
 
@@ -223,11 +224,11 @@ def players_clean(spark, sf_dir):
     return clean.clean_players(player_info(spark, sf_dir))
 
 
-def seg_input(spark, sf_dir, game_id=None, months=ANALYSIS_MONTHS):
+def seg_input(spark, sf_dir, game_id=None, months=None):
     return tables.segmentation_input(daily(spark, sf_dir), "daily", game_id, months)
 
 
-def clusters(spark, sf_dir, game_id=None, months=ANALYSIS_MONTHS):
+def clusters(spark, sf_dir, game_id=None, months=None):
     """Cluster-labelled daily rows, labels from the fixed centres."""
     labelled = segment.assign_to_centroids(seg_input(spark, sf_dir, game_id, months), FIXED_CENTROIDS)
     return tables.cluster_input(labelled, "daily", game_id, months)
@@ -261,12 +262,33 @@ def q_seg_features(spark, sf_dir):
     return seg_input(spark, sf_dir)
 
 
+def _per_game(spark, sf_dir, analyse) -> DataFrame:
+    """``analyse(features)`` of every game, with its gameId first."""
+    features = seg_input(spark, sf_dir)
+    named = features.select("gameId").where("gameId IS NOT NULL").distinct().orderBy("gameId")
+    games = [r.gameId for r in bounded_rows(named, MOST_GAMES)]
+    parts = []
+    for game in games:
+        out = analyse(seg_input(spark, sf_dir, game))
+        rest = [F.col(c) for c in out.columns if c != "gameId"]
+        parts.append(out.select(F.lit(game).alias("gameId"), *rest))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once under the shared checkpoint folder and read back."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 @query("seg_scaled_features")
 def q_seg_scaled_features(spark, sf_dir):
-    sc = segment.scaled(seg_input(spark, sf_dir))
-    sc = sc.withColumn("_s", vector_to_array(F.col(segment.SCALED_COL)))
-    return stable(sc.select("userId", "gameId", "date", "partOfDay",
-                            *[F.col("_s")[i].alias(f"s_{f}") for i, f in enumerate(segment.FEATURES)]))
+    def scale(features):
+        rows = segment.scaled(features).withColumn("_s", vector_to_array(F.col(segment.SCALED_COL)))
+        return rows.select("userId", "gameId", "date", "partOfDay",
+                           *[F.col("_s")[i].alias(f"s_{f}") for i, f in enumerate(segment.FEATURES)])
+    return stable(_per_game(spark, sf_dir, scale))
 
 
 @query("seg_assign_fixed")
@@ -274,32 +296,59 @@ def q_seg_assign_fixed(spark, sf_dir):
     return segment.assign_to_centroids(seg_input(spark, sf_dir), FIXED_CENTROIDS)
 
 
-def _fitted(spark, sf_dir):
-    features = seg_input(spark, sf_dir)
-    return features, segment.fit_segmentation(features, KMEANS_K)
+def _labelled(features) -> tuple[DataFrame, list[list[float]]]:
+    """Labelled rows (vectors as arrays, stored) and the centres of one game's model."""
+    model = segment.fit_segmentation(features, KMEANS_K)
+    centers = [list(map(float, c)) for c in segment.kmeans_stage(model).clusterCenters()]
+    return _stored(segment.vectors_as_arrays(segment.label(model, features)), "labelled"), centers
 
 
 @query("seg_kmeans")
 def q_seg_kmeans(spark, sf_dir):
-    features, model = _fitted(spark, sf_dir)
-    return segment.label(model, features).drop(segment.FEATURE_COL, segment.SCALED_COL)
+    return _per_game(spark, sf_dir, lambda f: _labelled(f)[0].drop(segment.FEATURE_COL, segment.SCALED_COL))
 
 
 @query("seg_centers")
 def q_seg_centers(spark, sf_dir):
-    _, model = _fitted(spark, sf_dir)
-    return segment.cluster_centers(model)
+    return _per_game(spark, sf_dir, lambda f: segment.cluster_centers(segment.fit_segmentation(f, KMEANS_K)))
 
 
 @query("seg_elbow")
 def q_seg_elbow(spark, sf_dir):
-    return segment.elbow(seg_input(spark, sf_dir), *ELBOW_K)
+    return _per_game(spark, sf_dir, segment.elbow)
 
 
 @query("seg_pca")
 def q_seg_pca(spark, sf_dir):
-    features, model = _fitted(spark, sf_dir)
-    return segment.pca_points(segment.label(model, features))
+    return _per_game(spark, sf_dir, lambda f: segment.pca_points(_labelled(f)[0]))
+
+
+@query("seg_kmeans_check")
+def q_seg_kmeans_check(spark, sf_dir):
+    """Per game: rows, rows not at their nearest centre, labels out of range."""
+    return _per_game(spark, sf_dir, lambda f: segment.label_check(*_labelled(f)))
+
+
+@query("seg_elbow_check")
+def q_seg_elbow_check(spark, sf_dir):
+    """Per game and k: whether the training cost is the sum of squared distances to the model's centres."""
+    def check(features):
+        fits = segment.elbow_fits(features, check=True)
+        rows = [(k, abs(cost - again) <= 1e-6 * max(1.0, again)) for k, cost, again in fits]
+        return spark.createDataFrame(rows, "kCluster int, costMatches boolean")
+    return _per_game(spark, sf_dir, check)
+
+
+@query("seg_pca_check")
+def q_seg_pca_check(spark, sf_dir):
+    """Per game: rows, whether the two components are uncorrelated, and whether the first varies more."""
+    def check(features):
+        p = segment.pca_points(_labelled(features)[0])
+        x, y = F.col("points")[0], F.col("points")[1]
+        stats = p.agg(F.count("*").alias("numRows"), F.var_samp(x).alias("vx"), F.var_samp(y).alias("vy"), F.covar_samp(x, y).alias("xy"))
+        return stats.select("numRows", (F.abs("xy") <= 1e-6 * F.sqrt(F.col("vx") * F.col("vy")) + 1e-9).alias("uncorrelated"),
+                            (F.col("vx") >= F.col("vy")).alias("falling"))
+    return _per_game(spark, sf_dir, check)
 
 
 # --- cluster profiles (A13-A19, T3) ----------------------------------------------------------
@@ -493,7 +542,7 @@ def q_sink_dynamic_overwrite(spark, sf_dir):
     base = scratch_path(spark, "dynamic")
     path = tables.table_path(base, DAILY_TABLE)
     parts = TABLE_PARTITIONS[DAILY_TABLE]
-    full = daily(spark, sf_dir)
+    full = _stored(daily(spark, sf_dir), "daily")
     sinks.write_partitioned(full, path, parts, "dynamic")
     rerun = full.where(REWRITE_MONTH.date_filter(F.col("date")) & (F.col("gameId") == GAME))
     sinks.write_partitioned(rerun, path, parts, "dynamic")
@@ -514,3 +563,89 @@ def q_src_monthly_rollup(spark, sf_dir):
     sinks.write_partitioned(rollup.monthly_rollup(daily(spark, sf_dir)), tables.table_path(base, MONTHLY_TABLE),
                             TABLE_PARTITIONS[MONTHLY_TABLE], "static")
     return stable(tables.read_rollup(spark, base, "monthly"))
+
+
+# --- whole instants, and the jobs' written tables (E1, E3-E5) ---------------------------------------
+
+def _unslotted(spark, sf_dir) -> DataFrame:
+    """Hourly rollup of the events at their own instants."""
+    raw = game_events(spark.read.parquet(f"{str(sf_dir).rstrip('/')}/events.parquet"), slotted=False)
+    return rollup.hourly_rollup(player_info_source(raw), behavior_source(raw))
+
+
+@query("rollup_hourly_unslotted")
+def q_rollup_hourly_unslotted(spark, sf_dir):
+    return stable(_unslotted(spark, sf_dir))
+
+
+@query("rollup_daily_unslotted")
+def q_rollup_daily_unslotted(spark, sf_dir):
+    return stable(rollup.daily_rollup(_unslotted(spark, sf_dir)))
+
+
+_ENRICHED: dict[str, tuple[SparkSession, str]] = {}
+
+
+def _enriched(spark, sf_dir, fresh: bool = False) -> str:
+    """The tables of ``run_enrich`` over all events, under the shared checkpoint folder.
+
+    Written once per session for the queries that only read them; ``fresh`` gives tables of its own.
+    """
+    cached = _ENRICHED.get(str(sf_dir))
+    if not fresh and cached is not None and cached[0] is spark:
+        return cached[1]
+    base = scratch_path(spark, "enriched")
+    jobs.run_enrich(spark, events(spark, sf_dir), base, None, "daily")
+    if not fresh:
+        _ENRICHED[str(sf_dir)] = (spark, base)
+    return base
+
+
+@query("enrich_rerun_shrunk")
+def q_enrich_rerun_shrunk(spark, sf_dir):
+    """Enrich all events, then again without purchases and without the second half of every day."""
+    base = _enriched(spark, sf_dir, fresh=True)
+    hour = F.pmod(F.floor(F.col("timestamp") / 3_600_000), F.lit(24))
+    fewer = events(spark, sf_dir).where(F.col("amount").isNull() & (hour < 12))
+    jobs.run_enrich(spark, fewer, base, None, "daily")
+    return stable(tables.read_rollup(spark, base, "daily"))
+
+
+@query("raw_family_roundtrip")
+def q_raw_family_roundtrip(spark, sf_dir):
+    """Rows and distinct players of each cleaned family as the raw table holds them."""
+    base = scratch_path(spark, "raw")
+    sinks.write_partitioned(clean.clean_events(events(spark, sf_dir), None), tables.table_path(base, RAW_TABLE),
+                            TABLE_PARTITIONS[RAW_TABLE])
+    parts = [tables.read_raw_family(spark, base, f).agg(F.lit(f).alias("family"), F.count("*").alias("numRows"),
+                                                        F.count_distinct("userId").alias("numUsers"),
+                                                        F.count_distinct("date").alias("numDates")) for f in clean.FAMILY_TABLES]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("job_retention")
+def q_job_retention(spark, sf_dir):
+    """``run_retention`` of one game over the written tables."""
+    return stable(jobs.run_retention(spark, _enriched(spark, sf_dir), GAME, RETENTION_START, 3)["points"])
+
+
+def _cluster_table(spark, sf_dir) -> str:
+    """All games' daily rows of the written tables, labelled by the fixed centres and written."""
+    rows = tables.segmentation_input(tables.read_rollup(spark, _enriched(spark, sf_dir), "daily"), "daily")
+    path = scratch_path(spark, "clusters")
+    sinks.write_partitioned(segment.assign_to_centroids(rows, FIXED_CENTROIDS), path, ["date", "partOfDay"])
+    return path
+
+
+@query("job_ltv_daily")
+def q_job_ltv_daily(spark, sf_dir):
+    """``run_ltv`` per player and day over a written cluster table: the series of each cluster."""
+    found = jobs.run_ltv(spark, _cluster_table(spark, sf_dir), None, None, "user", "daily")
+    return stable(found["ltv_points_daily_by_cluster"])
+
+
+@query("job_cluster_profile")
+def q_job_cluster_profile(spark, sf_dir):
+    """The feature summary over a written cluster table."""
+    rows = tables.cluster_input(tables.read_table(spark, _cluster_table(spark, sf_dir)), "daily")
+    return stable(profile.feature_summary(rows))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions import time as T
+from ..functions.bounded import bounded_rows
 from ..operators import clean, ltv, profile, retention, rollup, segment
 from ..session import scratch
 from ..sources import sinks, tables
@@ -28,16 +29,16 @@ class EnrichResult:
     previews: dict[str, DataFrame] = field(default_factory=dict)  # latest 15 rows (T1)
 
 
-def _months_of(df: DataFrame, months: T.MonthRange, period: str) -> DataFrame:
-    return df.where(months.date_filter(F.col("date")) if period == "date" else months.code_filter(F.col("codMonth")))
+def _months_of(df: DataFrame, months: T.MonthRange | None, period: str) -> DataFrame:
+    return df if months is None else df.where(months.date_filter(F.col("date")) if period == "date" else months.code_filter(F.col("codMonth")))
 
 
-def run_enrich(spark: SparkSession, events: DataFrame, out: str, months: T.MonthRange,
+def run_enrich(spark: SparkSession, events: DataFrame, out: str, months: T.MonthRange | None,
                granularity: str = "daily", driver: str = "levels", on_bad_timezone: str = "error",
                overwrite: str = "period", write_raw: bool = True) -> EnrichResult:
     """Clean the events, roll them up and write the tables.
 
-    ``granularity``: "daily" writes the hourly and daily rollups, "monthly" the monthly
+    ``months`` limits the behaviour events (None: all). ``granularity``: "daily" writes the hourly and daily rollups, "monthly" the monthly
     one, "both" all three. Every table is derived from this run's own rows, which are kept in
     a scratch folder under ``spark.checkpoint.dir`` until the tables are published; what older
     runs left in the tables is never read. ``overwrite="period"`` (default) replaces the
@@ -72,7 +73,7 @@ def run_enrich(spark: SparkSession, events: DataFrame, out: str, months: T.Month
             sinks.drop_stale_partitions(path, kept, rows.select(*[F.col(c).cast(schema[c].dataType) for c in partitions]), partitions)
         res.counts[name] = rows.count()
         latest = rollup.preview_latest(rows.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields]))
-        res.previews[name] = spark.createDataFrame(latest.collect(), schema)   # 15 rows
+        res.previews[name] = spark.createDataFrame(bounded_rows(latest, rollup.PREVIEW_ROWS), schema)
 
     with scratch(spark, "enrich") as work:
         cleaned = own(work, RAW_TABLE, clean.clean_events(events, months, on_bad_timezone))
@@ -140,7 +141,7 @@ def run_projection(spark: SparkSession, clusters_path: str, k: int = 2) -> DataF
     return segment.pca_points(tables.read_clusters(spark, clusters_path), k)
 
 
-def run_ltv(spark: SparkSession, clusters_path: str, game_id: str | None, months: T.MonthRange,
+def run_ltv(spark: SparkSession, clusters_path: str, game_id: str | None, months: T.MonthRange | None,
             attribute: str = "cluster", granularity: str = "daily", active: str = "flag",
             monthly_out: str | None = None) -> dict[str, DataFrame]:
     """LTV by cluster, or by user per day / month.

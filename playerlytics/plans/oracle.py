@@ -13,8 +13,6 @@ from __future__ import annotations
 from ..functions import time as T
 from . import catalog as C
 
-_FROM, _TO = C.ENRICH_MONTHS.from_month, C.ENRICH_MONTHS.to_month
-
 # Adapter of FIXTURES.md section 4 (events -> raw game events), then the sources.
 _LEVEL = "(event_type = 'click' OR (event_type = 'purchase' AND k % 2 = 0))"
 _AD = "(event_type = 'view' OR (event_type = 'click' AND k % 4 = 1))"
@@ -66,7 +64,7 @@ behavior0 AS (
          epoch_ms("timestamp") AS dt, CAST(epoch_ms("timestamp") AS DATE) AS date
   FROM raw_events
   WHERE (levelId IS NOT NULL OR adType IS NOT NULL OR amount IS NOT NULL)
-    AND strftime(CAST(epoch_ms("timestamp") AS DATE), '%Y%m') BETWEEN '{_FROM}' AND '{_TO}'
+    AND "timestamp" IS NOT NULL
 ),
 behavior AS (
   SELECT *,
@@ -334,7 +332,7 @@ def _act_range(idle: int, full: bool = False) -> tuple[str, str]:
 
 
 ANALYSIS = f"""
-seg AS ({_seg_sql('daily', 'date', _month_sql('date', C.ANALYSIS_MONTHS))}),
+seg AS ({_seg_sql('daily', 'date', 'TRUE')}),
 labelled AS ({_label_sql('seg')}),
 clusters AS (
   SELECT userId, gameId, numLevelsCompleted, numAdsWatched, numPurchasesDone, partOfDay,
@@ -442,9 +440,9 @@ SELECT userId, gameId, date, partOfDay,
   round(round(CASE WHEN coalesce(sd2, 0) = 0 THEN 0.0 ELSE numPurchasesDone / sd2 END, 12), 6) AS s_numPurchasesDone,
   round(round(CASE WHEN coalesce(sd3, 0) = 0 THEN 0.0 ELSE partOfDayNumber / sd3 END, 12), 6) AS s_partOfDayNumber,
   round(round(CASE WHEN coalesce(sd4, 0) = 0 THEN 0.0 ELSE flagOrganic / sd4 END, 12), 6) AS s_flagOrganic
-FROM seg, (SELECT stddev_samp(numLevelsCompleted) AS sd0, stddev_samp(numAdsWatched) AS sd1,
+FROM seg JOIN (SELECT gameId, stddev_samp(numLevelsCompleted) AS sd0, stddev_samp(numAdsWatched) AS sd1,
                   stddev_samp(numPurchasesDone) AS sd2, stddev_samp(partOfDayNumber) AS sd3,
-                  stddev_samp(flagOrganic) AS sd4 FROM seg) s""")
+                  stddev_samp(flagOrganic) AS sd4 FROM seg GROUP BY gameId) s USING (gameId)""")
 
 _qa("seg_assign_fixed", "SELECT * FROM labelled")
 
@@ -608,3 +606,35 @@ LEFT JOIN pu ON {_NS.format(a='k', b='pu')}""")
 _q("src_monthly_rollup", f"""
 SELECT userId, gameId, flagOrganic, dateRegistration, {_MEASURE_COLS}, partOfDay,
   CAST(codMonth AS INTEGER) AS codMonth FROM monthly""")
+
+# --- models by what must hold of them; tables that the jobs write -----------------------------------
+_qa("seg_kmeans_check", """
+SELECT gameId, count(*) AS numRows, CAST(0 AS BIGINT) AS notNearest, CAST(0 AS BIGINT) AS badLabels
+FROM seg WHERE gameId IS NOT NULL GROUP BY gameId""")
+_qa("seg_elbow_check", """
+SELECT gameId, CAST(k AS INTEGER) AS kCluster, TRUE AS costMatches
+FROM (SELECT DISTINCT gameId FROM seg WHERE gameId IS NOT NULL) g, (SELECT unnest(generate_series(3, 25)) AS k) r""")
+_qa("seg_pca_check", """
+SELECT gameId, count(*) AS numRows, TRUE AS uncorrelated, TRUE AS falling
+FROM seg WHERE gameId IS NOT NULL GROUP BY gameId""")
+
+
+def _unslotted(name: str) -> str:
+    """The oracle of a query with every event at its own instant (milliseconds)."""
+    text = ORACLE[name]
+    start = text.index("    epoch_ms(CAST(date_trunc('day', ts) AS TIMESTAMP))")
+    end = text.index('AS "timestamp"', start)
+    return text[:start] + "    epoch_us(ts) // 1000 " + text[end:]
+
+
+ORACLE["rollup_hourly_unslotted"] = _unslotted("rollup_hourly")
+ORACLE["rollup_daily_unslotted"] = _unslotted("rollup_daily")
+ORACLE["enrich_rerun_shrunk"] = ORACLE["sink_roundtrip"].replace(
+    "  FROM ev\n),\nplayer_info AS", f"  FROM ev WHERE hour(ts) < 12 AND (CASE WHEN {_PUR} THEN value END) IS NULL\n),\nplayer_info AS")
+assert ORACLE["enrich_rerun_shrunk"] != ORACLE["sink_roundtrip"]
+_q("raw_family_roundtrip", "\nUNION ALL\n".join(
+    f"SELECT '{family}' AS family, count(*) AS numRows, count(DISTINCT userId) AS numUsers, count(DISTINCT date) AS numDates FROM {cte}"
+    for family, cte in (("player", "players"), ("level", "levels"), ("ad", "ads"), ("purchase", "purchases"))))
+ORACLE["job_retention"] = "SELECT * FROM (\n" + ORACLE["retention_points_idle3"] + f"\n) p WHERE {_GAME}"
+ORACLE["job_ltv_daily"] = ORACLE["ltv_points_daily_by_cluster"]
+ORACLE["job_cluster_profile"] = ORACLE["cluster_feature_summary"]

@@ -55,7 +55,9 @@ def behavior_source(events: DataFrame, months: T.MonthRange | None = None,
     if on_bad_timezone not in ("error", "utc"):
         raise ValueError("on_bad_timezone must be 'error' or 'utc'")
     df = project_schema(events, BEHAVIOR_SCHEMA).where(is_behavior())
-    if months is not None:
+    if months is None:
+        df = df.where(F.col("timestamp").isNotNull())
+    else:
         lo, hi = months.epoch_ms_bounds()
         df = df.where((F.col("timestamp") >= F.lit(lo)) & (F.col("timestamp") < F.lit(hi)))
     tz = T.clean_timezone(F.col("timezone"))

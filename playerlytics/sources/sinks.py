@@ -15,8 +15,12 @@ from collections.abc import Sequence
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 
+from ..functions.bounded import bounded_rows
 from ..session import remove_path
 
+#: Partitions that a re-run may delete.
+MOST_PARTITIONS = 1_000_000
+
 
 def write_partitioned(df: DataFrame, path: str, partitions: Sequence[str], overwrite: str = "static",
                       rebalance: bool = True) -> None:
@@ -44,7 +48,7 @@ def drop_stale_partitions(path: str, existing: DataFrame, rows: DataFrame, parti
     """
     spark = rows.sparkSession
     stale = existing.select(*partitions).distinct().exceptAll(rows.select(*partitions).distinct())
-    for r in stale.collect():
+    for r in bounded_rows(stale, MOST_PARTITIONS):
         values = ["__HIVE_DEFAULT_PARTITION__" if v is None else v for v in r]
         remove_path(spark, "/".join([path.rstrip("/"), *(f"{c}={v}" for c, v in zip(partitions, values))]))
     spark.catalog.refreshByPath(path)

@@ -10,9 +10,11 @@ def test_entry_runs(spark):
 
 
 def test_every_query_has_an_oracle_or_is_rows_only():
+    from playerlytics.plans.catalog import QUERIES
+    from playerlytics.plans.oracle import ORACLE
     q, o = E.queries(), E.oracle_sql()
-    assert set(o) <= set(q)
-    assert set(q) - set(o) == ROWS_ONLY
+    assert set(o) <= set(q) and set(QUERIES) <= set(q) and set(ORACLE) <= set(o)
+    assert set(QUERIES) - set(ORACLE) == ROWS_ONLY
 
 
 def test_no_collect_in_library():

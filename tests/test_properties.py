@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from conftest import event, events_df, ms
+from joined_form import hourly_rollup_joined
 from test_retention import brute_force
 from playerlytics.functions import time as T
 from playerlytics.operators import retention, rollup
@@ -44,7 +45,7 @@ def test_single_pass_equals_family_joins(spark, rows):
     ev = events_df(spark, rows)
     info, beh = player_info_source(ev), behavior_source(ev, T.MonthRange("202401", "202402"))
     a = rollup.hourly_rollup(info, beh)
-    b = rollup.hourly_rollup_joined(info, beh)
+    b = hourly_rollup_joined(info, beh)
     rnd = [F.round(c, 9).alias(c) if c.startswith("amount") else F.col(c) for c in a.columns]
     assert a.select(*rnd).exceptAll(b.select(*rnd)).count() == 0
     assert b.select(*rnd).exceptAll(a.select(*rnd)).count() == 0

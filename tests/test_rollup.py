@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL, event, events_df, ms
+from joined_form import hourly_rollup_joined
 from playerlytics.functions import time as T
 from playerlytics.operators import clean, rollup
 from playerlytics.sources.events import behavior_source, player_info_source
@@ -91,7 +92,7 @@ def _adapter(spark):
 def test_single_pass_equals_join_form(spark):
     info, beh = _adapter(spark)
     a = rollup.hourly_rollup(info, beh)
-    b = rollup.hourly_rollup_joined(info, beh)
+    b = hourly_rollup_joined(info, beh)
     assert a.count() == 307                       # FIXTURES.md, sf0.001
     cols = a.columns
     rnd = [F.round(c, 9).alias(c) if c.startswith("amount") else F.col(c) for c in cols]

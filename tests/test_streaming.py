@@ -35,5 +35,6 @@ def test_stream_rerun_matches_batch(spark, tmp_path):
 
 def test_touched_months(spark):
     df = spark.createDataFrame([(1704067200000,), (1709251200000,)], "timestamp long")
-    assert touched_months(df) == T.MonthRange("202401", "202403")
-    assert touched_months(df.where("timestamp < 0")) is None
+    odd = spark.createDataFrame([(10 ** 17,), (-10 ** 14,), (None,)], "timestamp long")
+    assert touched_months(df.union(odd)) == [T.MonthRange.one("202401"), T.MonthRange.one("202403")]
+    assert touched_months(df.where("timestamp < 0")) == []
