@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from playerlytics.functions.bounded import bounded_rows
+
 from .tables import stored, text_steps
 
 #: Buckets of trigrams, added count of each, and the most languages told apart.
@@ -66,7 +68,7 @@ def fit(df: DataFrame, per_language: int = 2000, least_rows: int = 20) -> Model:
     """The trigram model from columns text and declared (a tag)."""
     told = df.where(F.col("declared").isNotNull() & (F.length("text") > 0)).select("declared", "text", F.xxhash64("text").alias("h"))
     rows = told.select("declared", "h").distinct().groupBy("declared").agg(F.count("*").alias("n"))
-    known = rows.where(F.col("n") >= least_rows).orderBy(F.desc("n"), "declared").limit(MOST_LANGUAGES).collect()
+    known = bounded_rows(rows.where(F.col("n") >= least_rows).orderBy(F.desc("n"), "declared").limit(MOST_LANGUAGES), MOST_LANGUAGES)
     languages = sorted(r.declared for r in known)
     if not languages:
         return Model([], np.zeros((0, BUCKETS)))
@@ -161,9 +163,9 @@ def evidence(df: DataFrame, text: Column, declared: Column, address: Column, kee
     model = fit(plain, per_language, least_rows)
     names, k = model.languages, len(model.languages)
     told = _text_evidence(plain, model)
-    seen = {(r.declared, r.winner): r.n for r in told.where(F.col("declared").isin(names) & (F.col("winner") >= 0))
-            .groupBy("declared", "winner").agg(F.count("*").alias("n")).collect()}  # <= languages squared rows
-    sure = dict(told.where("winner >= 0").groupBy("winner").agg(F.count("*").alias("n")).collect())
+    said = told.where(F.col("declared").isin(names) & (F.col("winner") >= 0)).groupBy("declared", "winner").agg(F.count("*").alias("n"))
+    seen = {(r.declared, r.winner): r.n for r in bounded_rows(said, k * k)}
+    sure = {r.winner: r.n for r in bounded_rows(told.where("winner >= 0").groupBy("winner").agg(F.count("*").alias("n")), k)}
     totals = [float(sure.get(i, 0)) for i in range(k)]
     of = [sum(n for (_, w), n in seen.items() if w == i) for i in range(k)]
     markup = {d: [math.log((seen.get((d, i), 0) + ADDED_EVIDENCE * (1 + 9 * (d == names[i]))) / (of[i] + ADDED_EVIDENCE * (k + 9)))

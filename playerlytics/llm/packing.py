@@ -19,6 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from playerlytics.functions.bounded import bounded_rows
+
 from .chunks import RUN_STEP, Memo, runs
 from .tables import gather, ragged_take, stored, text_steps
 
@@ -140,7 +142,7 @@ def assign(cut_docs: DataFrame, max_tokens: int = 2048) -> DataFrame:
 
     Pieces alike (repeated rows) take different places. The pieces are read twice: pass a stored table.
     """
-    histogram = {r.length: r.n for r in cut_docs.groupBy("length").agg(F.count("*").alias("n")).collect()}  # <= max_tokens rows
+    histogram = {r.length: r.n for r in bounded_rows(cut_docs.groupBy("length").agg(F.count("*").alias("n")), max_tokens)}
     at = places(patterns(histogram, max_tokens))
     parts = [max(1, -(-histogram.get(i + 1, 0) // PART_ROWS)) for i in range(max_tokens)]
     part = F.pmod(F.xxhash64("doc_id", "start"), F.element_at(F.lit(parts), F.col("length").cast("int"))).cast("int")

@@ -19,9 +19,13 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from playerlytics.functions.bounded import bounded_rows
+
 #: The most tokens of a labelled url that enter mining (those that tell the labels apart best), which
 #: bounds the sets of a url; and the most rules that are kept, the surest first.
 MINED_TOKENS, MOST_RULES = 10, 5000
+#: Labels, and tokens of at least the minimum support (at most the tokens of a url / min_support); more are an error.
+MOST_LABELS, MOST_TOKENS = 100, 1_000_000
 
 _KEYS = re.compile(r"[?&]([^=&#?]+)=")
 _PARTS = re.compile(r"[^/._~%+-]+")
@@ -91,14 +95,14 @@ def mined_rules(labelled: DataFrame, min_support: float = 0.002, min_confidence:
     if not total:
         return []
     least = max(2, round(min_support * total))
-    shares = {r.label: r.n / total for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    shares = {r.label: r.n / total for r in bounded_rows(labelled.groupBy("label").agg(F.count("*").alias("n")), MOST_LABELS)}
     counts = (labelled.select("label", F.explode("tokens").alias("token")).groupBy("token")
               .agg(F.count("*").alias("n"), *[F.sum((F.col("label") == x).cast("long")).alias(f"n_{i}") for i, x in enumerate(sorted(shares))])
               .where(F.col("n") >= least))
     # how far a token's labels are from all labels: the log-likelihood ratio
     ratio = sum((F.when(F.col(f"n_{i}") > 0, F.col(f"n_{i}") * F.log(F.col(f"n_{i}") / F.col("n") / F.lit(shares[x]))).otherwise(0.0)
                  for i, x in enumerate(sorted(shares))), F.lit(0.0))
-    known = {r.token: (r.ratio, r.n) for r in counts.select("token", "n", ratio.alias("ratio")).collect()}  # <= tokens a url / min_support
+    known = {r.token: (r.ratio, r.n) for r in bounded_rows(counts.select("token", "n", ratio.alias("ratio")), MOST_TOKENS)}
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,7 +120,8 @@ def mined_rules(labelled: DataFrame, min_support: float = 0.002, min_confidence:
     bodies = parts.where(F.col("verdict").isNull() & (F.size("tokens") > 0)).select("tokens", F.col("freq").alias("body"))
     found = (parts.where(F.col("verdict").isNotNull() & (F.size("tokens") > 0)).join(bodies, "tokens")
              .withColumn("confidence", F.col("freq") / F.col("body")).where(F.col("confidence") >= min_confidence))
-    rows = found.orderBy(F.desc("confidence"), F.size("tokens"), F.desc("freq"), "tokens", "verdict").limit(most_rules).collect()
+    surest = found.orderBy(F.desc("confidence"), F.size("tokens"), F.desc("freq"), "tokens", "verdict").limit(most_rules)
+    rows = bounded_rows(surest, most_rules)
     kept: dict[tuple, float] = {}
     out = []
     for r in rows:  # the surest and shortest first
