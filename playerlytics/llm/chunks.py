@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable
 
 import numpy as np
@@ -9,9 +10,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are split at once: the more, the fewer distinct runs a byte.
-RUN_STEP = 16 << 20
+RUN_STEP = 8 << 20
 #: Words that a worker remembers between steps, and the longest that it remembers.
-MEMO_WORDS, MEMO_CHARS = 600_000, 48
+MEMO_WORDS, MEMO_CHARS = 400_000, 48
 
 
 def runs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -26,19 +27,19 @@ class Memo:
     """Ids of words by ``encode`` (a list of words to lists of ids), remembered for short words."""
 
     def __init__(self, encode: Callable[[list[str]], list[list[int]]]):
-        self.encode, self.known = encode, {"": []}
+        self.encode, self.known = encode, {"": b""}  # ids as 32-bit integers in bytes
 
     def ids(self, runs: list[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of runs of two words (the second may be empty), run after run, and each run's number of ids."""
         if len(self.known) > MEMO_WORDS:
-            self.known = {"": []}
+            self.known = {"": b""}
         known = self.known
         new = [w for w in dict.fromkeys(w for run in runs for w in run) if w not in known]
         if new:
-            known.update(zip(new, self.encode(new)))
+            known.update(zip(new, (array("i", x).tobytes() for x in self.encode(new))))
         found = [known[a] + known[b] if b else known[a] for a, b in runs]
         for w in new:
             if len(w) > MEMO_CHARS:
                 del known[w]
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter((y for x in found for y in x), np.int32, int(counts.sum())), counts
+        counts = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        return np.frombuffer(b"".join(found), np.int32), counts

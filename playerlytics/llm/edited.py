@@ -33,7 +33,7 @@ def beside_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     cuts = sorted(set(cuts or []))
     # range i (ascending) holds ids over cuts[i - 1] up to cuts[i]; the one before it in descending order is i + 1
     of = F.pandas_udf(lambda ids: ids.map(lambda x: bisect_left(cuts, x)).astype("int32"), "int")
-    firsts = bounded_rows(rows.select(key.alias("k")).groupBy(of("k").alias("part")).agg(F.max("k").alias("k")), n)
+    firsts = bounded_rows(rows.select(key.alias("k")).groupBy(of("k").alias("part")).agg(F.max("k").alias("k")), max(2, n))
     lead_of = {r.k: r.part for r in firsts}
     full = sorted(r.part for r in firsts)
     before = {p: q for p, q in zip(full, full[1:] + full[:1])}

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -121,6 +122,9 @@ def _detected(docs: DataFrame, id_col: str, text_col: str, window: int, keep: bo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         contexts = Contexts(window)
         for batch in batches:
+            if keep:
+                texts = pc.fill_null(pc.struct_field(batch.column("row"), text_col), "")
+                batch = batch.append_column("text", texts)
             for part in text_steps(batch, "text"):
                 texts = part.column("text").to_pylist()
                 found = [find(t) for t in texts]
@@ -132,14 +136,13 @@ def _detected(docs: DataFrame, id_col: str, text_col: str, window: int, keep: bo
                 yield pa.record_batch(out)
 
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"),
-                       F.coalesce(text_col, F.lit("")).alias("text"),
-                       *([F.struct(*docs.columns).alias("row")] if keep else []))
+                       F.struct(*docs.columns).alias("row") if keep else F.coalesce(text_col, F.lit("")).alias("text"))
     schema = T.StructType([rows.schema["rid"], rows.schema["doc_id"], T.StructField("spans", T.DataType.fromDDL(SPANS)),
                            T.StructField("contexts", T.DataType.fromDDL(CONTEXTS)), *([rows.schema["row"]] if keep else [])])
     return stored(rows.mapInArrow(run, schema), "personal-data")
 
 
-def document_frequency(docs: DataFrame, text_col: str = "text", most: int = 1 << 20) -> DataFrame:
+def document_frequency(docs: DataFrame, text_col: str = "text", most: int = 1 << 19) -> DataFrame:
     """(term, n): in how many documents each word stands, over all documents; counted in each task first."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, held = Shingles(1, WORD_BYTES), []

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,11 +39,19 @@ def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system: Python workers live on through the stages of an executor."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_steps(batch: pa.RecordBatch, column: str, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in slices of at most ``limit`` text bytes (one row at least)."""
     n = batch.num_rows
     if not n:
         return
+    release_memory()
     sizes = np.array(pa.compute.binary_length(batch.column(column)).fill_null(0), dtype=np.int64)
     ends = np.cumsum(sizes)
     at = 0
@@ -50,6 +60,7 @@ def text_steps(batch: pa.RecordBatch, column: str, limit: int = STEP_BYTES) -> I
         to = max(at + 1, int(np.searchsorted(ends, before + limit, side="right")))
         yield batch.slice(at, to - at)
         at = to
+    release_memory()
 
 
 def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
