@@ -108,3 +108,15 @@ def test_one_scan_cleaning_bad_zone_scope(spark):
         clean_events(events_df(spark, bad), jan).collect()
     ads = family_rows(clean_events(events_df(spark, bad), jan, on_bad_timezone="utc"), "ad").first()
     assert ads.timezone == "+00:00" and ads.hourOfDay == 10
+
+
+def test_valid_zones_are_those_that_spark_resolves(spark):
+    from playerlytics.functions.time import valid_timezone
+    good = ["+02:00", "-05:30", "+8:00", "+18:00", "UTC+3", "GMT-11:30", "EST", "Europe/Paris", "UTC", "Z", "CET"]
+    bad = ["+25:00", "+18:30", "+05:75", "Mars/Base", "", "+1:2:3", "nowhere"]
+    rows = spark.createDataFrame([(z,) for z in good + bad], "tz string")
+    got = {r.tz: r.ok for r in rows.select("tz", valid_timezone(F.col("tz")).alias("ok")).collect()}
+    assert [z for z in good if not got[z]] == [] and [z for z in bad if got[z]] == []
+    clock = T.utc_wall_clock(F.lit(1_704_110_400_000))   # 2024-01-01 12:00 UTC; none of the good ones may raise
+    hours = {r.tz: r.h for r in rows.where(F.col("tz").isin(good)).select("tz", T.local_hour(clock, F.col("tz")).alias("h")).collect()}
+    assert hours["EST"] == 7 and hours["+8:00"] == 20 and hours["GMT-11:30"] == 0
