@@ -171,8 +171,11 @@ def evidence(df: DataFrame, text: Column, declared: Column, address: Column, kee
     markup = {d: [math.log((seen.get((d, i), 0) + ADDED_EVIDENCE * (1 + 9 * (d == names[i]))) / (of[i] + ADDED_EVIDENCE * (k + 9)))
                   for i in range(k)] for d in names}
     overall = [math.log((n + 1) / (sum(totals) + k)) for n in totals]
-    fused = told.join(_host_evidence(told, names, totals), F.col("host") == F.col("known_host"), "left") if k else \
-        told.withColumn("evidence", F.array().cast("array<double>"))
+    if k:  # stored, so that both sides of the join are plain shuffles and a host of many rows can be split
+        hosts = stored(_host_evidence(told, names, totals), "host-evidence")
+        fused = told.join(hosts, F.col("host") == F.col("known_host"), "left")
+    else:
+        fused = told.withColumn("evidence", F.array().cast("array<double>"))
     scores = []
     for i in range(k):
         said = F.coalesce(F.create_map(*[F.lit(x) for d in names for x in (d, markup[d][i])])[F.col("declared")], F.lit(0.0))
