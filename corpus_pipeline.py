@@ -11,26 +11,30 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from playerlytics.llm import langid, packing, pii, simhash
-from playerlytics.llm.tables import read, stored
+from playerlytics.llm.tables import importable, read, stored
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told; those without letters or a clear winner go."""
+    importable(spark)
     return langid.identified(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: that of the smallest doc_id."""
+    importable(spark)
     return simhash.deduplicated(docs, shingle=3, max_bits=3)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data generalised or removed."""
+    importable(spark)
     return pii.sanitise(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' token ids in sequences of 2048: a row per piece."""
+    importable(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), 2048, end_id=1)
 
 
