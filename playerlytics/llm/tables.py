@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import ctypes
+import os
 import sys
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,18 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def importable(spark: SparkSession) -> None:
+    """Python workers find this package where the driver does (a folder of their own nodes, or a shared one).
+
+    Packages shipped with ``--py-files`` or installed on the nodes are found without it.
+    """
+    root = str(Path(__file__).resolve().parents[2])
+    held = spark.sparkContext.environment
+    paths = [p for p in held.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        held["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``checkpoint()`` in the shared folder: cuts lineage and survives lost executors."""
     checkpoint_dir(df.sparkSession)
