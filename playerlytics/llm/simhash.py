@@ -167,12 +167,11 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     key = F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("-")), text_hash)
-    keyed = docs.withColumn("_kept", key)
-    docs_fp = cut(fingerprints(keyed.select(F.struct(id_col, "_kept").alias("doc_id"), F.col(text_col).alias("text")),
-                               "doc_id", "text", shingle).select(f"doc_id.{id_col}", "doc_id._kept", "fp")
-                  .toDF("doc_id", "_kept", "fp"))
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), key.alias("kept"))
+    docs_fp = cut(fingerprints(keyed.select(F.struct("id", "kept").alias("doc_id"), "text"), shingle=shingle)
+                  .select(F.col("doc_id.id").alias("doc_id"), "doc_id.kept", "fp"))
     least = docs_fp.join(classes(docs_fp, max_bits), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = least.groupBy("root").agg(F.min(F.struct("fp", "_kept")).alias("one")).select("one._kept")
-    one = Window.partitionBy("_kept").orderBy("_kept")
-    return (keyed.join(kept, "_kept").withColumn("_n", F.row_number().over(one)).where("_n = 1")
-            .select(*[F.col(f"`{c}`") for c in docs.columns]))
+    kept = least.groupBy("root").agg(F.min(F.struct("fp", "kept")).alias("one")).select("one.kept")
+    one = Window.partitionBy("kept").orderBy("kept")
+    return (keyed.select("row", "kept").join(kept, "kept").withColumn("n", F.row_number().over(one)).where("n = 1")
+            .select(*[F.col(f"row.`{c}`") for c in docs.columns]))

@@ -156,7 +156,10 @@ def merged(parts: DataFrame, key: str, k: int = 128) -> DataFrame:
 
 
 def compared(pairs: DataFrame, a: str = "a", b: str = "b", k: int = 128) -> DataFrame:
-    """Adds resemblance, containment (of a in b), distinct_a and distinct_b to pairs of sketches (null: empty)."""
+    """Adds resemblance, containment (of a in b), distinct_a and distinct_b to pairs of sketches (null: empty).
+
+    Columns of these names are replaced, all others stay.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             both = [(unpack(x or b""), unpack(y or b"")) for x, y in zip(batch.column(a).to_pylist(), batch.column(b).to_pylist())]
@@ -165,5 +168,6 @@ def compared(pairs: DataFrame, a: str = "a", b: str = "b", k: int = 128) -> Data
                 batch = batch.append_column(name, pa.array([f(x, y) for x, y in both], pa.float64()))
             yield batch
 
+    pairs = pairs.drop("resemblance", "containment", "distinct_a", "distinct_b")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema.fields)
     return pairs.mapInArrow(run, f"{fields}, resemblance double, containment double, distinct_a double, distinct_b double")

@@ -4,6 +4,7 @@
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -22,9 +23,10 @@ def test_deduplicated_keeps_one_of_each_group(spark):
     rows = [(i, " ".join(rng.choice(words, 30))) for i in range(30)]
     rows += [(100 + i, rows[i % 5][1]) for i in range(40)] + [(3, rows[3][1]), (3, rows[3][1])]
     rows += [(None, rows[4][1]), (None, "null one two three"), (None, "null one two three"), (500, None), (501, "")]
-    docs = docs_df(spark, rows, "_x")
+    docs = docs_df(spark, rows, "kept").withColumn("n", F.lit(7)).withColumn("row", F.lit("r"))
     got = simhash.deduplicated(docs)
     assert got.columns == docs.columns
+    assert {(r.kept, r.n, r.row) for r in got.collect()} == {("x", 7, "r")}
     found = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
     distinct = sorted({(i, t) for i, t in rows if i is not None}, key=str)
     classes = brute_classes([(i, brute_fp(t)) for i, t in distinct])
