@@ -15,12 +15,19 @@ RUN_STEP = 8 << 20
 MEMO_WORDS, MEMO_CHARS = 400_000, 48
 
 
-def runs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Of texts without nulls, split at single blanks: bounds of each text's runs, each run's code, and the distinct runs."""
+def runs(texts: pa.Array, alike: Callable[[pa.Array], pa.Array] | None = None) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Of texts without nulls, split at single blanks: bounds of each text's runs, each run's code, and the distinct runs.
+
+    ``alike`` maps distinct runs to what stands for them; runs that it maps to the same count as one.
+    """
     split = pc.split_pattern(texts.cast(pa.large_string()), " ")
-    codes = split.flatten().dictionary_encode()
+    coded = split.flatten().dictionary_encode()
+    codes, distinct = coded.indices, coded.dictionary
+    if alike:
+        coded = alike(distinct).dictionary_encode()
+        codes, distinct = coded.indices.take(codes), coded.dictionary
     lengths = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
-    return np.concatenate([[0], np.cumsum(lengths)]), np.asarray(codes.indices), codes.dictionary.to_pylist()
+    return np.concatenate([[0], np.cumsum(lengths)]), np.asarray(codes), distinct.to_pylist()
 
 
 class Memo:

@@ -46,16 +46,21 @@ def _words(run: str) -> tuple[str, str]:
     return (word, run[len(word):]) if word and word[-1].isascii() and word[-1].isalnum() else (run, "")
 
 
+def _folded(distinct: pa.Array) -> pa.Array:
+    """Runs in lower case where that is what the tokenizer makes of them: pure ASCII, without its special tokens."""
+    plain = pc.and_not(pc.string_is_ascii(distinct), pc.match_substring(distinct, "<|"))
+    return pc.if_else(plain, pc.ascii_lower(distinct), distinct)
+
+
 def token_ids(texts: pa.Array, memo: Memo, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """All documents' ids, each document's followed by ``end_id``, and the bounds of the documents.
 
     The tokenizer lower-cases, drops white space and starts a new word at closing marks, so runs
-    that differ in case or marks share their words (texts with its special tokens keep their case).
+    that differ in case or marks share their words. It composes before it lower-cases, so other than
+    ASCII runs keep their case (as do those with its special tokens).
     """
     texts = pc.replace_substring(texts.cast(pa.large_string()), "\n", " ")
-    if not pc.any(pc.match_substring(texts, "<|")).as_py():
-        texts = pc.ascii_lower(texts)
-    bounds, codes, distinct = runs(texts)
+    bounds, codes, distinct = runs(texts, _folded)
     ids, counts = memo.ids([_words(r) for r in distinct])
     starts = np.cumsum(counts) - counts
     flat = gather(ids, starts[codes], counts[codes])

@@ -104,3 +104,17 @@ def test_case_and_marks_share_words(spark):
             ids, bounds = packing.token_ids(pa.array(part), memo, 1)
             for t, i, e in zip(part, bounds[:-1], bounds[1:]):
                 assert ids[i:e].tolist() == tok.encode(t, add_special_tokens=False).ids + [1]
+
+
+def test_composed_upper_case_and_special_tokens_are_the_tokenizers_ids():
+    import pyarrow as pa
+    tok = Tokenizer.from_file(PATH)
+    marks = ["̱", "̌", "̈", "̊", "́", "̣"]
+    texts = [" ".join(f"{c}{m}allo {c}{m}." for m in marks) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
+    texts += ["H̱allo WORLD, Plain", "The <|endoftext|> END <|ENDOFTEXT|> x<|endoftext|>Y.", "PLAIN Words\nHERE."]
+    memo = packing.tokenizer(PATH)
+    for group in ([[t] for t in texts], [texts], [texts[::-1]]):
+        for part in group:
+            ids, bounds = packing.token_ids(pa.array(part), memo, 1)
+            for t, i, e in zip(part, bounds[:-1], bounds[1:]):
+                assert ids[i:e].tolist() == tok.encode(t, add_special_tokens=False).ids + [1]
