@@ -25,7 +25,7 @@ WORD = "0-9a-z\x80-\U0010ffff"
 #: The base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: A license's label, a keyword of its name, and its name (a blank stands for any separators).
+#: A license's label, a keyword that its name holds however it is separated, and its name (a blank stands for any separators).
 LICENSES = (
     ("mit", "mit", r"mit"),
     ("apache-1.1", "apache", r"apache(?: software)? license v(?:ersion)? ?1 1"),
@@ -68,9 +68,9 @@ LICENSES = (
     ("cc0-1.0", "cc0", r"(?:creative commons )?cc0(?: 1 0)?"),
     ("cc-by", "attribution", r"creative commons attribution(?: \d \d)?(?: international)?"),
     ("cc-by-sa", "alike", r"creative commons attribution share ?alike(?: \d \d)?(?: international)?"),
-    ("cc-by-nc", "noncommercial", r"creative commons attribution non ?commercial(?: \d \d)?(?: international)?"),
+    ("cc-by-nc", "commercial", r"creative commons attribution non ?commercial(?: \d \d)?(?: international)?"),
     ("cc-by-nd", "deriv", r"creative commons attribution no ?deriv\w*(?: \d \d)?(?: international)?"),
-    ("cc-by-nc-sa", "noncommercial", r"creative commons attribution non ?commercial share ?alike(?: \d \d)?"),
+    ("cc-by-nc-sa", "commercial", r"creative commons attribution non ?commercial share ?alike(?: \d \d)?"),
 )
 
 #: How texts speak of a license: rule name, phrase around the name, priority, weight.
@@ -150,7 +150,7 @@ def rules() -> list[Rule]:
 
 #: Every match of a rule holds one of these; a text without them is not searched further.
 GATES = ("licen", "copyright", "permission", "rights", "public", "redistribut", "spdx", "creative", "cc", "gpl", "proprietary",
-         "software", "copy", "under", "subject to", "governed", "accordance", "compliance", "terms", "conditions", "provisions", "text of")
+         "software", "copy", "under", "subject", "governed", "accordance", "compliance", "terms", "conditions", "provisions", "text")
 
 
 class Scanner:

@@ -85,3 +85,58 @@ def test_operator_and_summary(spark):
         assert 0 <= r.score <= 1 and (r.score > 0) == bool(r.labels)
         assert set(r.base_labels.split(",")) <= set(r.labels.split(","))
     assert {r.labels for r in got if r.doc_id == 5} == {"mit,reserved"}
+
+
+def spelled(tree, between, maybe, branch):
+    """A text that the parsed pattern matches: its separators, whether optional parts stand, which branch."""
+    out = ""
+    for op, arg in tree:
+        op = str(op)
+        if op == "LITERAL":
+            out += chr(arg)
+        elif op == "BRANCH":
+            out += spelled(arg[1][branch % len(arg[1])], between, maybe, branch)
+        elif op == "SUBPATTERN":
+            out += spelled(arg[3], between, maybe, branch)
+        elif op == "MAX_REPEAT":
+            least, most, part = arg
+            separators = str(part[0][0]) == "IN" and str(part[0][1][0][0]) == "NEGATE"
+            if separators:
+                out += between if least or maybe else ""
+            else:
+                out += spelled(part, between, maybe, branch) * max(least, int(maybe))
+        elif op == "IN":
+            held = {str(k): v for k, v in arg}
+            out += chr(held["LITERAL"]) if "LITERAL" in held else "7" if "DIGIT" in str(arg) else "x"
+        else:
+            assert op == "ASSERT_NOT", op
+    return out
+
+
+def spellings(pattern):
+    tree = re._parser.parse(pattern.pattern)
+    return {spelled(tree, between, maybe, branch) for between in (" ", "-", "\n", ", ") for maybe in (False, True) for branch in range(6)}
+
+
+def test_gates_hold_for_every_spelling_of_every_rule():
+    seen = 0
+    for r in licenses.rules():
+        for text in spellings(r.pattern):
+            if not r.pattern.fullmatch(text):
+                continue
+            seen += 1
+            assert r.keyword in text, (r.name, text)
+            assert any(g in text for g in licenses.GATES), (r.name, text)
+    assert seen > 20 * len(licenses.rules()) / 2
+
+
+@pytest.mark.parametrize("spelling", ["NonCommercial", "Non-Commercial", "non commercial", "Non\nCommercial"])
+def test_gated_results_are_the_ungated_ones(spark, spelling):
+    for text in (f"licensed under the Creative Commons Attribution-{spelling} 3.0", f"the terms of the Creative Commons Attribution {spelling} Share Alike 3.0",
+                 "subject\nto the ISC", "text\nof the ISC"):
+        every = [{"rule": r.name, "label": r.label, "start": m.start(), "end": m.end(), "priority": r.priority, "weight": r.weight}
+                 for r in licenses.rules() for m in r.pattern.finditer(low(text))]
+        assert SCANNER.find(low(text)) == licenses.resolved(every) and every
+    docs = docs_df(spark, [(1, f"licensed under the Creative Commons Attribution-{spelling} 3.0"), (2, "subject\nto the ISC"), (3, "text\nof the zlib")])
+    got = {r.doc_id: r.labels for r in licenses.summary(licenses.scan_licenses(docs)).collect()}
+    assert "cc-by" not in got[1].split(",") and "cc-by-nc" in got[1].split(",") and got[2] == "isc" and got[3] == "zlib"
