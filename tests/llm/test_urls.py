@@ -85,3 +85,52 @@ def test_labels_decide_where_no_rule_does(spark):
     pages = spark.createDataFrame([(1, "http://new.org/casino/7"), (2, "http://new.org/news/7"), (3, "http://other.io/z")], "page_id long, url string")
     got = {r.page_id: r.verdict for r in urls.judge(pages, [], labels=labels, min_support=0.05).collect()}
     assert got == {1: "block", 2: "allow", 3: "allow"}
+
+
+def test_no_token_and_no_rule_is_left_out(spark):
+    """Bodies of over ten tokens count in full: 14 tokens tell labels apart, the last only with all its companions."""
+    data = [([f"a{i:02}" for i in range(14) if i != gap], "allow") for gap in range(14)] * 2
+    data += [([f"a{i:02}" for i in range(14)], "block")] * 9 + [(["z", "y"], "allow"), (["z"], "block")] * 3
+    df = spark.createDataFrame([(sorted(t), x) for t, x in data], "tokens array<string>, label string")
+    got = {(tuple(r["tokens"]), r["verdict"]): r for r in urls.mined_rules(df, 0.01, 0.8)}
+    every = tuple(f"a{i:02}" for i in range(14))
+    assert got[every, "block"]["confidence"] == 1.0 and got[every, "block"]["support"] == 9
+    for (body, label), r in got.items():
+        held = [x for t, x in data if set(body) <= set(t)]
+        assert (r["confidence"], r["support"]) == (pytest.approx(held.count(label) / len(held)), held.count(label))
+    assert got[("y",), "allow"]["confidence"] == 1.0 and (("y", "z"), "allow") not in got
+
+
+def test_more_than_5000_rules_and_long_urls_judge(spark):
+    """Rules of lower confidence act beside thousands of sure ones; a long url that stands twice does not blow up."""
+    labels = [(f"http://h{i}.org/q{i}", "block") for i in range(2600) for _ in range(2)]
+    labels += [("http://x.net/mostly/" + ("a" if i % 10 else "b"), "allow" if i % 10 else "block") for i in range(30)]
+    labels += [("http://y.net/" + "/".join(f"part{j}" for j in range(60)), "block")] * 2
+    df = spark.createDataFrame(labels, "url string, label string")
+    pages = spark.createDataFrame([(1, "http://new.io/mostly"), (2, "http://h2599.io/"), (3, "http://new.io/part59"), (4, "http://new.io/")],
+                                  "page_id long, url string")
+    got = {r.page_id: r for r in urls.judge(pages, [], labels=df, min_support=0.0, default="none").collect()}
+    assert (got[1].verdict, got[1].mined, got[1].confidence) == ("allow", "p:mostly", pytest.approx(0.9))
+    assert (got[2].verdict, got[3].verdict, got[4].verdict) == ("block", "block", "none")
+
+
+SETS = st.lists(st.tuples(st.lists(st.sampled_from("abcdefg"), unique=True).map(sorted), st.sampled_from(["allow", "block", "ask"])), min_size=1, max_size=25)
+
+
+@settings(max_examples=200, deadline=None)
+@given(SETS)
+def test_growing_keeps_every_set_that_can_be_a_rule(rows):
+    import numpy as np
+    tokens = np.array([ord(t) for own, _ in rows for t in own], np.int64)
+    bounds = np.cumsum([0] + [len(own) for own, _ in rows])
+    names = sorted({x for _, x in rows})
+    got = {b: c.tolist() for b, c, _ in urls._grown(tokens, bounds, np.array([names.index(x) for _, x in rows]), np.ones(len(rows), np.int64), 2)}
+    count = lambda body: [sum(set(body) <= set(own) and x == name for own, x in rows) for name in names]
+    for size in range(8):
+        for body in combinations("abcdefg", size):
+            c, under = count(body), [count(body[:i] + body[i + 1:]) for i in range(size)]
+            key = tuple(map(ord, body))
+            if key in got:
+                assert got[key] == c
+            elif max(c) >= 2:  # each label is as sure by a subset
+                assert all(any(u[i] * sum(c) >= c[i] * sum(u) for u in under) for i in range(len(names)) if c[i] >= 2)
