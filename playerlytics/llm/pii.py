@@ -5,7 +5,8 @@ an entity (its context) may give it away. Corpus co-occurrence tells how far: wi
 of an entity's distinct contexts that hold term t, and P(t) the share of all documents that hold
 it, the term reveals PMI = log2(P(t|e) / P(t)) bits of the entity's information content
 IC = -log2(contexts of e / documents). A term that reveals at least ``threshold`` of IC in at least
-``support`` distinct contexts is a disclosure: it is generalised (numbers, names) or removed there.
+``support`` distinct contexts is a disclosure: it is generalised (numbers, names) or removed wherever
+it stands in the texts that hold the entity, near it or not.
 Copies of a passage are one context, so a passage that is merely repeated discloses nothing.
 """
 
@@ -94,9 +95,8 @@ class Contexts:
         self.window, self.words = window, Shingles(2 * window, WORD_BYTES)
         self.whole = Shingles(1, np.ones(256, bool))
 
-    def of(self, text: str, spans: list[Span]) -> list[dict]:
-        if not spans:
-            return []
+    def free(self, text: str, spans: list[Span]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends (in code points) and hashes of the words that no span overlaps."""
         raw = np.frombuffer(text.encode(), np.uint8)
         starts, ends, terms = self.words.word_hashes(raw)
         chars = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])  # code points before each byte
@@ -104,7 +104,12 @@ class Contexts:
         free = np.ones(len(starts), bool)
         for _, s, e in spans:
             free[np.searchsorted(ends, s, side="right"):np.searchsorted(starts, e)] = False
-        starts, ends, terms = starts[free], ends[free], terms[free]
+        return starts[free], ends[free], terms[free]
+
+    def of(self, text: str, spans: list[Span]) -> list[dict]:
+        if not spans:
+            return []
+        starts, ends, terms = self.free(text, spans)
         out = []
         for kind, s, e in spans:
             i, j = int(np.searchsorted(ends, s, side="right")), int(np.searchsorted(starts, e))
@@ -118,7 +123,7 @@ class Contexts:
 
 
 def _detected(docs: DataFrame, id_col: str, text_col: str, window: int, keep: bool) -> DataFrame:
-    """Stored table (rid, doc_id, spans, contexts[, row]): base spans and contexts of each row."""
+    """Stored table (rid, doc_id, spans, contexts, row or text): base spans and contexts of each row, its text where it has any."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         contexts = Contexts(window)
         for batch in batches:
@@ -133,12 +138,14 @@ def _detected(docs: DataFrame, id_col: str, text_col: str, window: int, keep: bo
                        "contexts": pa.array([contexts.of(t, x) for t, x in zip(texts, found)], ARROW_CONTEXTS)}
                 if keep:
                     out["row"] = part.column("row")
+                else:
+                    out["text"] = pa.array([t if x else None for t, x in zip(texts, found)], pa.string())
                 yield pa.record_batch(out)
 
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"),
                        F.struct(*docs.columns).alias("row") if keep else F.coalesce(text_col, F.lit("")).alias("text"))
     schema = T.StructType([rows.schema["rid"], rows.schema["doc_id"], T.StructField("spans", T.DataType.fromDDL(SPANS)),
-                           T.StructField("contexts", T.DataType.fromDDL(CONTEXTS)), *([rows.schema["row"]] if keep else [])])
+                           T.StructField("contexts", T.DataType.fromDDL(CONTEXTS)), rows.schema["row"] if keep else T.StructField("text", T.StringType())])
     return stored(rows.mapInArrow(run, schema), "personal-data")
 
 
@@ -187,18 +194,35 @@ def disclosures(found: DataFrame, docs: DataFrame, text_col: str, threshold: flo
             .where(F.col("share") >= threshold))
 
 
-def _terms(found: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(rid, terms): the spans of disclosing terms of each row that has any."""
-    near = found.select("rid", F.explode("contexts").alias("c")).select("rid", "c.entity", "c.term", "c.start", "c.end")
-    return (near.join(pairs, ["entity", "term"]).select("rid", "start", "end").distinct().groupBy("rid")
-            .agg(F.collect_list(F.struct(F.lit("term").alias("kind"), "start", "end")).alias("terms")))
+def _found_spans(column: pa.Array) -> list[list[Span]]:
+    return [[(s["kind"], s["start"], s["end"]) for s in x] for x in column.to_pylist()]
 
 
-def _all_spans() -> F.Column:
-    every = F.concat("spans", F.coalesce("terms", F.array().cast(SPANS)))
-    rank = F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)])
-    ranked = F.transform(every, lambda s: F.struct(s["start"], rank[s["kind"]].alias("rank"), s["end"], s["kind"]))
-    return F.transform(F.array_sort(ranked), lambda s: F.struct(s["kind"], s["start"], s["end"]))
+def _terms(found: DataFrame, pairs: DataFrame, text: F.Column) -> DataFrame:
+    """(rid, terms): the words of each row, by hash, that disclose an entity that the row holds; rows without any are left out."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        contexts = Contexts(1)
+        for batch in batches:
+            for part in text_steps(batch, "text"):
+                each = [np.unique(contexts.free(t, x)[2]) for t, x in zip(part.column("text").to_pylist(), _found_spans(part.column("spans")))]
+                yield pa.record_batch({"rid": part.column("rid").take(pa.array(np.repeat(np.arange(len(each)), [len(x) for x in each]))),
+                                       "term": pa.array(np.concatenate(each).view(np.int64))})
+
+    pairs = stored(pairs, "disclosures")
+    words = found.where(F.size("spans") > 0).select("rid", text.alias("text"), "spans").mapInArrow(run, "rid long, term long")
+    some = words.join(stored(pairs.select("term").distinct(), "disclosing-terms"), "term")
+    held = found.select("rid", F.explode(F.array_distinct("contexts.entity")).alias("entity"))
+    return some.join(held, "rid").join(pairs, ["entity", "term"]).groupBy("rid").agg(F.collect_set("term").alias("terms"))
+
+
+def _with_terms(batch: pa.RecordBatch, contexts: Contexts) -> Iterator[list[dict]]:
+    """All spans of each row (text, spans, terms), those of its terms included, in order."""
+    for text, spans, terms in zip(batch.column("text").to_pylist(), _found_spans(batch.column("spans")), batch.column("terms").to_pylist()):
+        if terms:
+            starts, ends, words = contexts.free(text, spans)
+            at = np.isin(words.view(np.int64), terms)
+            spans += [("term", s, e) for s, e in zip(starts[at].tolist(), ends[at].tolist())]
+        yield in_order(spans, KINDS)
 
 
 def scan_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 8,
@@ -209,8 +233,16 @@ def scan_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     no rows; extra columns are not read.
     """
     found = _detected(docs, id_col, text_col, window, keep=False)
-    terms = _terms(found, disclosures(found, docs, text_col, threshold, support))
-    return found.join(terms, "rid", "left").select("doc_id", _all_spans().alias("spans"))
+    terms = _terms(found, disclosures(found, docs, text_col, threshold, support), F.col("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        contexts = Contexts(1)
+        for batch in batches:
+            for part in text_steps(batch, "text"):
+                yield pa.record_batch({"doc_id": part.column("doc_id"), "spans": pa.array(_with_terms(part, contexts), ARROW_SPANS)})
+
+    every = found.join(terms, "rid", "left").select("doc_id", "spans", "terms", "text")
+    return every.mapInArrow(run, T.StructType([every.schema["doc_id"], every.schema["spans"]]))
 
 
 def _replacement(kind: str, value: str) -> str:
@@ -237,15 +269,18 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     to the new length. Null texts stay null.
     """
     found = _detected(docs, id_col, text_col, window, keep=True)
-    terms = _terms(found, disclosures(found, docs, text_col, threshold, support))
+    text = F.col(f"row.`{text_col}`")
+    terms = _terms(found, disclosures(found, docs, text_col, threshold, support), text)
     touched = F.size("spans") > 0
     changed = (found.where(touched).select("rid", "spans", "row").join(terms, "rid", "left")
-               .select(_all_spans().alias("spans"), F.col(f"row.`{text_col}`").alias("text"), "row"))
+               .select("spans", "terms", text.alias("text"), "row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        contexts = Contexts(1)
         for batch in batches:
-            texts = [sanitised(t, s) for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist())]
-            yield pa.record_batch({"text": pa.array(texts, pa.string()), "row": batch.column("row")})
+            for part in text_steps(batch, "text"):
+                texts = [sanitised(t, s) for t, s in zip(part.column("text").to_pylist(), _with_terms(part, contexts))]
+                yield pa.record_batch({"text": pa.array(texts, pa.string()), "row": part.column("row")})
 
     new = changed.mapInArrow(run, T.StructType([changed.schema["text"], changed.schema["row"]]))
     now = {text_col: F.col("text"), length_col: F.length("text").cast(docs.schema[length_col].dataType)

@@ -118,3 +118,16 @@ def test_empty_table(spark):
 def test_long_runs_take_linear_time():
     for text in ("x" * 300_000, "x" * 300_000 + "@", "1" * 300_000, "1." * 150_000, "+" * 300_000, "@" * 300_000, "a@b" * 100_000):
         pii.find(text)
+
+
+def test_disclosing_terms_go_wherever_they_stand_in_the_text(spark):
+    filler = " ".join(f"f{i}" for i in range(30))
+    texts = [f"Dear Zora {filler} v{i} regards Zora zora.q@mail.example.com end{i} {filler} ZORA" for i in range(4)]
+    texts += [f"plain text number {i} {filler}" for i in range(60)] + ["Zora elsewhere", f"Zora {filler} other.p@mail.example.com"]
+    docs = docs_df(spark, list(enumerate(texts)))
+    got = {r.doc_id: [texts[r.doc_id][s.start:s.end] for s in r.spans if s.kind == "term"] for r in pii.scan_personal_data(docs, window=4).collect()}
+    assert all(got[i].count("Zora") == 2 and got[i].count("ZORA") == 1 for i in range(4))
+    assert got[64] == [] and "Zora" not in got[65]
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs, window=4).collect()}
+    assert not any("zora" in clean[i].lower() for i in range(4)) and clean[0].startswith("Dear <NAME> f0")
+    assert clean[64] == texts[64] and clean[65].startswith("Zora f0")
