@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import edited, langid, licenses, packing, pieces, pii, secrets, simhash, spans, topk, urls
+from . import edited, langid, licenses, lines, packing, pieces, pii, secrets, simhash, spans, topk, urls
 from .tables import importable, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,10 @@ def op9_language_id(spark, sf_dir):
 def op10_packing(spark, sf_dir):
     """Sequences of 2048 ids of the word tokenizer, id 1 after each document."""
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048, end_id=1)
+
+
+@query
+def op11_line_dedup(spark, sf_dir):
+    """Lines of 40 code points or more in five documents or more stay in the largest doc_id only."""
+    found = lines.without_repeated_lines(read(spark, sf_dir, "documents"), least_chars=40, least_docs=5)
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
