@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import edited, langid, licenses, lines, packing, pieces, pii, secrets, simhash, spans, topk, urls
+from . import collocations, edited, langid, licenses, lines, packing, pieces, pii, secrets, simhash, spans, topk, urls, whitening
 from .tables import importable, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,15 @@ def op11_line_dedup(spark, sf_dir):
     """Lines of 40 code points or more in five documents or more stay in the largest doc_id only."""
     found = lines.without_repeated_lines(read(spark, sf_dir, "documents"), least_chars=40, least_docs=5)
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query
+def op12_collocations(spark, sf_dir):
+    """The 2000 best phrases of two to five words of each language, by their weakest cut."""
+    return collocations.collocations(read(spark, sf_dir, "documents"), least=100, top=2000)
+
+
+@query
+def op13_embedding_whitening(spark, sf_dir):
+    """Sixteen components of the distinct vectors; every usable vector projected and scaled to unit variance."""
+    return whitening.whiten(read(spark, sf_dir, "embeddings"), components=16, scale=64, shift=1_000_000)
