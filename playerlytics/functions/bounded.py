@@ -4,6 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Row
 
+from ..session import scratch_path
+
+#: Rows that the driver holds between the steps of an iteration; larger states are written as tables.
+SMALL_ROWS = 50_000
+
 
 def bounded_rows(df: DataFrame, most: int) -> list[Row]:
     """All rows of ``df``, of which there are at most ``most``; more are an error, not cut off."""
@@ -11,3 +16,18 @@ def bounded_rows(df: DataFrame, most: int) -> list[Row]:
     if len(rows) > most:
         raise RuntimeError(f"more than the {most} rows that were to be expected at most")
     return rows
+
+
+def small_or_stored(df: DataFrame, name: str, most: int = SMALL_ROWS) -> DataFrame:
+    """The rows of ``df``, computed once: held by the driver up to ``most`` of them, else a table in the shared folder."""
+    spark = df.sparkSession
+    kept = df.persist()
+    try:
+        table = kept.limit(most + 1).toArrow()
+        if table.num_rows <= most:
+            return spark.createDataFrame(table, df.schema)
+        path = scratch_path(spark, name)
+        kept.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    finally:
+        kept.unpersist()

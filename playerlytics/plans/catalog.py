@@ -11,14 +11,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions import time as T
-from ..functions.bounded import bounded_rows
-from ..operators import clean, ltv, profile, retention, rollup, segment
+from ..operators import clean, game_models, ltv, profile, retention, rollup, segment
 from ..session import scratch_path
 from ..sources import sinks, tables
 from ..sources.events import behavior_source, player_info_source
@@ -27,15 +25,13 @@ from ..sources.schemas import DAILY_TABLE, EVENT_SCHEMA, MONTHLY_TABLE, RAW_TABL
 from . import jobs
 
 # Parameters of the registered queries. Rollups and analyses run over all months and games
-# (gameId is a group key; models are fitted game by game); the game/range filter operators are
+# (gameId is a group key, of models too); the game/range filter operators are
 # checked with GAME over FILTER_MONTHS.
 GAME = "GAME_A"
 FILTER_MONTHS = T.MonthRange("202401", "202402")
 # Given centres over the five raw features, for deterministic cluster labels.
 FIXED_CENTROIDS = ((0, 0, 0, 1, 0), (1, 0, 0, 2, 0), (1, 1, 1, 3, 1))
 KMEANS_K = 4
-# Games that one session fits models for, one after the other.
-MOST_GAMES = 1000
 RETENTION_START = "202401"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -262,19 +258,6 @@ def q_seg_features(spark, sf_dir):
     return seg_input(spark, sf_dir)
 
 
-def _per_game(spark, sf_dir, analyse) -> DataFrame:
-    """``analyse(features)`` of every game, with its gameId first."""
-    features = seg_input(spark, sf_dir)
-    named = features.select("gameId").where("gameId IS NOT NULL").distinct().orderBy("gameId")
-    games = [r.gameId for r in bounded_rows(named, MOST_GAMES)]
-    parts = []
-    for game in games:
-        out = analyse(seg_input(spark, sf_dir, game))
-        rest = [F.col(c) for c in out.columns if c != "gameId"]
-        parts.append(out.select(F.lit(game).alias("gameId"), *rest))
-    return reduce(DataFrame.unionByName, parts)
-
-
 def _stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once under the shared checkpoint folder and read back."""
     path = scratch_path(df.sparkSession, name)
@@ -284,11 +267,9 @@ def _stored(df: DataFrame, name: str) -> DataFrame:
 
 @query("seg_scaled_features")
 def q_seg_scaled_features(spark, sf_dir):
-    def scale(features):
-        rows = segment.scaled(features).withColumn("_s", vector_to_array(F.col(segment.SCALED_COL)))
-        return rows.select("userId", "gameId", "date", "partOfDay",
-                           *[F.col("_s")[i].alias(f"s_{f}") for i, f in enumerate(segment.FEATURES)])
-    return stable(_per_game(spark, sf_dir, scale))
+    rows = game_models.scaled_features(seg_input(spark, sf_dir))
+    return stable(rows.select("userId", "gameId", "date", "partOfDay",
+                              *[F.col(segment.SCALED_COL)[i].alias(f"s_{f}") for i, f in enumerate(segment.FEATURES)]))
 
 
 @query("seg_assign_fixed")
@@ -296,59 +277,72 @@ def q_seg_assign_fixed(spark, sf_dir):
     return segment.assign_to_centroids(seg_input(spark, sf_dir), FIXED_CENTROIDS)
 
 
-def _labelled(features) -> tuple[DataFrame, list[list[float]]]:
-    """Labelled rows (vectors as arrays, stored) and the centres of one game's model."""
-    model = segment.fit_segmentation(features, KMEANS_K)
-    centers = [list(map(float, c)) for c in segment.kmeans_stage(model).clusterCenters()]
-    return _stored(segment.vectors_as_arrays(segment.label(model, features)), "labelled"), centers
+def _labelled(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """All games' rows with their cluster, and the games' models."""
+    features = seg_input(spark, sf_dir)
+    models, _ = game_models.fit(features, [KMEANS_K])
+    return game_models.label(features, models), models
 
 
 @query("seg_kmeans")
 def q_seg_kmeans(spark, sf_dir):
-    return _per_game(spark, sf_dir, lambda f: _labelled(f)[0].drop(segment.FEATURE_COL, segment.SCALED_COL))
+    return _labelled(spark, sf_dir)[0].drop(segment.FEATURE_COL, segment.SCALED_COL)
 
 
 @query("seg_centers")
 def q_seg_centers(spark, sf_dir):
-    return _per_game(spark, sf_dir, lambda f: segment.cluster_centers(segment.fit_segmentation(f, KMEANS_K)))
+    found = game_models.centres(game_models.fit(seg_input(spark, sf_dir), [KMEANS_K])[0])
+    return stable(found.select("gameId", "cluster", *[F.col("center")[i].alias(f) for i, f in enumerate(segment.FEATURES)]))
 
 
 @query("seg_elbow")
 def q_seg_elbow(spark, sf_dir):
-    return _per_game(spark, sf_dir, segment.elbow)
+    return stable(game_models.elbow(seg_input(spark, sf_dir)))
 
 
 @query("seg_pca")
 def q_seg_pca(spark, sf_dir):
-    return _per_game(spark, sf_dir, lambda f: segment.pca_points(_labelled(f)[0]))
+    points = game_models.pca_points(_labelled(spark, sf_dir)[0], keep=("userId", "date", "partOfDay"))
+    return stable(points.select("gameId", "userId", "date", "partOfDay", "cluster",
+                                F.col("points")[0].alias("x"), F.col("points")[1].alias("y")))
 
 
 @query("seg_kmeans_check")
 def q_seg_kmeans_check(spark, sf_dir):
     """Per game: rows, rows not at their nearest centre, labels out of range."""
-    return _per_game(spark, sf_dir, lambda f: segment.label_check(*_labelled(f)))
+    rows, models = _labelled(spark, sf_dir)
+    own = models.select("gameId", F.transform("centres", lambda c: F.zip_with(c, "factors", lambda a, f: a * f)).alias("_c"))
+
+    def squared(c):
+        return F.aggregate(F.zip_with(c, segment.SCALED_COL, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, x: t + x)
+
+    near = rows.join(own, "gameId").withColumn("_d", F.transform("_c", squared))
+    return near.groupBy("gameId").agg(
+        F.count("*").alias("numRows"), F.count_if(F.get("_d", F.col("cluster")) > F.array_min("_d") + F.lit(1e-9)).alias("notNearest"),
+        F.count_if(~F.col("cluster").between(0, F.size("_c") - 1)).alias("badLabels"))
 
 
 @query("seg_elbow_check")
 def q_seg_elbow_check(spark, sf_dir):
     """Per game and k: whether the training cost is the sum of squared distances to the model's centres."""
-    def check(features):
-        fits = segment.elbow_fits(features, check=True)
-        rows = [(k, abs(cost - again) <= 1e-6 * max(1.0, again)) for k, cost, again in fits]
-        return spark.createDataFrame(rows, "kCluster int, costMatches boolean")
-    return _per_game(spark, sf_dir, check)
+    models, vectors = game_models.fit(seg_input(spark, sf_dir), range(segment.DEFAULT_ELBOW_K[0], segment.DEFAULT_ELBOW_K[1] + 1))
+    centres = game_models.centres(models).select("gameId", "k", "center")
+    scaled = vectors.join(models.select("gameId", "factors").distinct(), "gameId").withColumn("v", F.zip_with("x", "factors", lambda x, f: x * f))
+    squared = F.aggregate(F.zip_with("v", "center", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, x: t + x)
+    again = (scaled.join(centres, "gameId").groupBy("gameId", "k", "x", "w").agg(F.min(squared).alias("d"))
+             .groupBy("gameId", F.col("k").alias("kCluster")).agg(F.sum(F.col("w") * F.col("d")).alias("again")))
+    same = F.abs(F.col("costTraining") - F.col("again")) <= F.lit(1e-6) * F.greatest(F.lit(1.0), F.col("again"))
+    return game_models.costs(models, vectors).join(again, ["gameId", "kCluster"]).select("gameId", "kCluster", same.alias("costMatches"))
 
 
 @query("seg_pca_check")
 def q_seg_pca_check(spark, sf_dir):
     """Per game: rows, whether the two components are uncorrelated, and whether the first varies more."""
-    def check(features):
-        p = segment.pca_points(_labelled(features)[0])
-        x, y = F.col("points")[0], F.col("points")[1]
-        stats = p.agg(F.count("*").alias("numRows"), F.var_samp(x).alias("vx"), F.var_samp(y).alias("vy"), F.covar_samp(x, y).alias("xy"))
-        return stats.select("numRows", (F.abs("xy") <= 1e-6 * F.sqrt(F.col("vx") * F.col("vy")) + 1e-9).alias("uncorrelated"),
-                            (F.col("vx") >= F.col("vy")).alias("falling"))
-    return _per_game(spark, sf_dir, check)
+    p = game_models.pca_points(_labelled(spark, sf_dir)[0])
+    x, y = F.col("points")[0], F.col("points")[1]
+    stats = p.groupBy("gameId").agg(F.count("*").alias("numRows"), F.var_samp(x).alias("vx"), F.var_samp(y).alias("vy"), F.covar_samp(x, y).alias("xy"))
+    return stats.select("gameId", "numRows", (F.abs("xy") <= 1e-6 * F.sqrt(F.col("vx") * F.col("vy")) + 1e-9).alias("uncorrelated"),
+                        (F.col("vx") >= F.col("vy")).alias("falling"))
 
 
 # --- cluster profiles (A13-A19, T3) ----------------------------------------------------------

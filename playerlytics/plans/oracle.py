@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from ..functions import time as T
 from . import catalog as C
+from . import oracle_models as M
 
 # Adapter of FIXTURES.md section 4 (events -> raw game events), then the sources.
 _LEVEL = "(event_type = 'click' OR (event_type = 'purchase' AND k % 2 = 0))"
@@ -608,6 +609,25 @@ SELECT userId, gameId, flagOrganic, dateRegistration, {_MEASURE_COLS}, partOfDay
   CAST(codMonth AS INTEGER) AS codMonth FROM monthly""")
 
 # --- models by what must hold of them; tables that the jobs write -----------------------------------
+_KMEANS = M.fitted([C.KMEANS_K], C.segment.DEFAULT_MAX_ITER, C.game_models.TOLERANCE)
+_ELBOW_KS = range(C.segment.DEFAULT_ELBOW_K[0], C.segment.DEFAULT_ELBOW_K[1] + 1)
+
+_qa("seg_kmeans", M.labels(), _KMEANS + "," + M.nearest())
+_qa("seg_centers", f"""
+SELECT gameId, CAST(id AS INTEGER) AS cluster,
+  {', '.join(f'round(round(c{i} * f{i}, 12), 6) AS {f}' for i, f in enumerate(M.FEATURES))}
+FROM models JOIN gm USING (gameId)""", _KMEANS)
+_qa("seg_elbow", """
+SELECT gameId, CAST(k AS INTEGER) AS kCluster, round(round(sum(w * d), 12), 6) AS costTraining
+FROM near_end GROUP BY gameId, k""",
+    M.fitted(_ELBOW_KS, C.segment.DEFAULT_MAX_ITER, C.game_models.TOLERANCE) + "," + M.nearest())
+_qa("seg_pca", f"""
+SELECT p.gameId, l.userId, l.date, l.partOfDay, l.cluster, round(round({M.projection(0)}, 12), 6) AS x, round(round({M.projection(1)}, 12), 6) AS y
+FROM ({M.labels()}) l
+JOIN pts p ON p.gameId = l.gameId AND {' AND '.join(f'p.x{i} = l.{c}' for i, c in enumerate(M.FEATURES))}
+JOIN axes a0 ON a0.gameId = p.gameId AND a0.axis = 0
+JOIN axes a1 ON a1.gameId = p.gameId AND a1.axis = 1""", _KMEANS + "," + M.nearest() + "," + M.principal(2))
+ORACLE["seg_pca"] = ORACLE["seg_pca"].replace("WITH ", "WITH RECURSIVE ", 1)
 _qa("seg_kmeans_check", """
 SELECT gameId, count(*) AS numRows, CAST(0 AS BIGINT) AS notNearest, CAST(0 AS BIGINT) AS badLabels
 FROM seg WHERE gameId IS NOT NULL GROUP BY gameId""")
