@@ -9,7 +9,8 @@ A task counts windows in a HAT-trie: a shallow trie on word ids (first, then sec
 leaves are hash containers from the rest of the window to its count. A container that grows too
 large bursts into a node with a container for each next word. When the task holds too many entries,
 its largest subtrees are spilled whole, as sorted runs, one for each prefix partition (by the first
-two words). The runs of a partition are merged in one task; partitions with more entries than one
+two words). The task merges its runs of a partition before it hands them on, and the runs of all tasks are merged
+in one task per partition; partitions with more entries than one
 task should hold are split by the rest of the window, and their partial counts are added after.
 
 Word ids are 64-bit hashes per language; that no two words share one is checked.
@@ -34,7 +35,9 @@ from .tables import release_memory, stored, string_buffers, text_steps
 #: Words of the longest phrase; a window has as many.
 LONGEST = 5
 #: Entries of a container that bursts, entries that a task holds before it spills, entries merged in one task.
-BURST, HELD, MERGED = 20_000, 500_000, 2_000_000
+BURST, HELD, MERGED = 20_000, 500_000, 1_000_000
+#: Bytes of spilled runs that a task keeps to merge them.
+SPILLED = 64 << 20
 #: Bits of the filter of frequent words, at most (32 MB), and its least bits.
 MOST_BITS, LEAST_BITS = 1 << 28, 1 << 20
 _SHIFTS = (0, 18, 36)
@@ -223,37 +226,46 @@ def _ordered(rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def packed_run(rows: np.ndarray, counts: np.ndarray) -> bytes:
-    """A sorted run: the ids it holds, then its rows as codes column by column, and their counts."""
+    """A sorted run: the ids it holds, then its rows as codes column by column (the codes' bytes apart), and their counts."""
     codes, counts, ids = _ordered(rows, counts)
-    kind = np.uint16 if len(ids) <= 1 << 16 else np.uint32
+    kind = "<u2" if len(ids) <= 1 << 16 else "<u4"
     head = np.array([len(ids), len(codes)], np.int64)
-    parts = [head, ids, *(np.ascontiguousarray(c.astype(kind)) for c in codes.T), counts]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(p.tobytes() for p in parts))
+    columns = np.ascontiguousarray(codes.T.astype(kind)).view(np.uint8).reshape(LONGEST, len(codes), int(kind[2]))
+    parts = [head, ids, columns.transpose(0, 2, 1), counts]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(p.tobytes() for p in parts))
 
 
 def unpacked_run(run: bytes) -> tuple[np.ndarray, np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(run)
-    n_ids, n = np.frombuffer(raw, np.int64, 2)
-    kind = np.dtype(np.uint16 if n_ids <= 1 << 16 else np.uint32)
+    n_ids, n = np.frombuffer(raw, np.int64, 2).tolist()
+    size = 2 if n_ids <= 1 << 16 else 4
     ids, at = np.frombuffer(raw, np.uint64, n_ids, 16), 16 + 8 * n_ids
-    codes = np.frombuffer(raw, kind, n * LONGEST, at).reshape(LONGEST, n).T
-    return ids[codes], np.frombuffer(raw, np.int64, n, at + kind.itemsize * n * LONGEST)
+    planes = np.frombuffer(raw, np.uint8, LONGEST * n * size, at).reshape(LONGEST, size, n)
+    codes = np.ascontiguousarray(planes.transpose(0, 2, 1)).view(f"<u{size}").reshape(LONGEST, n).T
+    return ids[codes], np.frombuffer(raw, np.int64, n, at + LONGEST * n * size)
+
+
+def merged_run(runs: list[bytes]) -> tuple[bytes, int]:
+    """One run of several, and its entries."""
+    opened = [unpacked_run(r) for r in runs]
+    run = packed_run(np.concatenate([r for r, _ in opened]), np.concatenate([n for _, n in opened]))
+    return run, int(np.frombuffer(zstandard.ZstdDecompressor().decompress(run), np.int64, 2)[1])
 
 
 _RUNS = "lang string, part int, split int, entries long, run binary"
 
 
-def _run_rows(lang: str, rows: np.ndarray, counts: np.ndarray, part: np.ndarray, split: bool = False) -> pa.RecordBatch:
-    """A packed run for each value of ``part`` (or of the split)."""
+def _dealt(rows: np.ndarray, counts: np.ndarray, part: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """A packed run of the rows of each value of ``part``."""
     order = np.argsort(part, kind="stable")
-    cuts = np.flatnonzero(np.diff(part[order])) + 1
-    groups = np.split(order, cuts) if len(order) else []
-    names = [int(part[g[0]]) for g in groups]
-    return pa.record_batch({
-        "lang": pa.array([lang] * len(groups), pa.string()), "part": pa.array([0] * len(groups) if split else names, pa.int32()),
-        "split": pa.array(names if split else [0] * len(groups), pa.int32()),
-        "entries": pa.array([len(g) for g in groups], pa.int64()),
-        "run": pa.array([packed_run(rows[g], counts[g]) for g in groups], pa.binary())})
+    for group in np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(order) else []:
+        yield int(part[group[0]]), packed_run(rows[group], counts[group])
+
+
+def _run_batch(found: list[tuple[str, int, int, int, bytes]]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+    names = ("lang", "part", "split", "entries", "run")
+    return pa.record_batch({n: pa.array([f[i] for f in found], k) for i, (n, k) in enumerate(zip(names, kinds))})
 
 
 def spilled_runs(docs: DataFrame, bits: np.ndarray, seed: int, parts: int, held: int = HELD, burst: int = BURST) -> DataFrame:
@@ -263,12 +275,23 @@ def spilled_runs(docs: DataFrame, bits: np.ndarray, seed: int, parts: int, held:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.frombuffer(sent.value, np.uint8)
         tries: dict[str, HatTrie] = {}
+        spilled: dict[tuple[str, int], list[bytes]] = {}
 
-        def runs(lang: str, keep: int) -> Iterator[pa.RecordBatch]:
+        def spill(lang: str, keep: int) -> int:
             rows, counts = tries[lang].spill(keep)
-            if len(rows):
-                yield _run_rows(lang, rows, counts, (_mixed(rows[:, :2]) % np.uint64(parts)).astype(np.int64))
-
+            size = 0
+            for part, packed in _dealt(rows, counts, (_mixed(rows[:, :2]) % np.uint64(parts)).astype(np.int64)):
+                spilled.setdefault((lang, part), []).append(packed)
+                size += len(packed)
+            return size
+
+        def merged() -> Iterator[pa.RecordBatch]:
+            for (lang, part), runs in spilled.items():
+                whole, entries = merged_run(runs)
+                yield _run_batch([(lang, part, 0, entries, whole)])
+            spilled.clear()
+
+        kept = 0
         for lang, texts in by_language(batches):
             codes, piece, distinct = words(texts)
             if not len(codes):
@@ -280,18 +303,26 @@ def spilled_runs(docs: DataFrame, bits: np.ndarray, seed: int, parts: int, held:
                 tries.setdefault(lang, HatTrie(burst)).add(rows[at:at + held // 2])
                 while sum(t.entries() for t in tries.values()) > held:
                     largest = max(tries, key=lambda x: tries[x].entries())
-                    yield from runs(largest, tries[largest].entries() // 2)
+                    kept += spill(largest, tries[largest].entries() // 2)
+            if kept > SPILLED:
+                yield from merged()
+                kept = 0
         for lang in list(tries):
-            yield from runs(lang, 0)
+            spill(lang, 0)
             del tries[lang]
+        yield from merged()
         release_memory()
 
     return docs.mapInArrow(run, _RUNS)
 
 
 def split_runs(runs: DataFrame, merged: int = MERGED) -> DataFrame:
-    """Runs of partitions with more than ``merged`` entries cut by a hash of the window after its first two words."""
-    sizes = runs.groupBy("lang", "part").agg(F.sum("entries").alias("all"))
+    """Runs of partitions with more than ``merged`` entries cut by a hash of the window after its first two words.
+
+    The runs are read twice: pass a stored table.
+    """
+    # stored, so that its size is known before the join: the runs are not shuffled to meet a small table
+    sizes = stored(runs.groupBy("lang", "part").agg(F.sum("entries").alias("all")), "run-sizes")
     cut = runs.join(sizes, ["lang", "part"]).withColumn("ways", F.ceil(F.col("all") / merged).cast("int"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,8 +330,8 @@ def split_runs(runs: DataFrame, merged: int = MERGED) -> DataFrame:
             for row in batch.to_pylist():
                 rows, counts = unpacked_run(row["run"])
                 where = (_mixed(rows[:, 2:]) % np.uint64(row["ways"])).astype(np.int64)
-                out = _run_rows(row["lang"], rows, counts, where + 1, split=True)
-                yield out.set_column(1, "part", pa.array([row["part"]] * out.num_rows, pa.int32()))
+                for i, packed in _dealt(rows, counts, where):
+                    yield _run_batch([(row["lang"], row["part"], i + 1, int((where == i).sum()), packed)])
 
     kept = cut.where("ways = 1").select("lang", "part", "split", "entries", "run")
     return kept.unionByName(cut.where("ways > 1").select("lang", "part", "ways", "run").mapInArrow(run, _RUNS))
