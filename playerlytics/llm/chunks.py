@@ -31,17 +31,23 @@ def runs(texts: pa.Array, alike: Callable[[pa.Array], pa.Array] | None = None) -
 
 
 class Memo:
-    """Ids of words by ``encode`` (a list of words to lists of ids), remembered for short words."""
+    """Ids of words by ``encode`` (a list of words to lists of ids), remembered for short words.
+
+    Two generations of half ``MEMO_WORDS`` each: when the young one is full it becomes the old one, whose words are
+    taken over again as they occur, so that frequent words are never forgotten.
+    """
 
     def __init__(self, encode: Callable[[list[str]], list[list[int]]]):
-        self.encode, self.known = encode, {"": b""}  # ids as 32-bit integers in bytes
+        self.encode, self.young, self.old = encode, {"": b""}, {}  # ids as 32-bit integers in bytes
 
     def ids(self, runs: list[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of runs of two words (the second may be empty), run after run, and each run's number of ids."""
-        if len(self.known) > MEMO_WORDS:
-            self.known = {"": b""}
-        known = self.known
-        new = [w for w in dict.fromkeys(w for run in runs for w in run) if w not in known]
+        if len(self.young) > MEMO_WORDS // 2:
+            self.young, self.old = {"": b""}, self.young
+        known, old = self.young, self.old
+        missing = [w for w in dict.fromkeys(w for run in runs for w in run) if w not in known]
+        known.update((w, old[w]) for w in missing if w in old)
+        new = [w for w in missing if w not in known]
         if new:
             known.update(zip(new, (array("i", x).tobytes() for x in self.encode(new))))
         found = [known[a] + known[b] if b else known[a] for a, b in runs]

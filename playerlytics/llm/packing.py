@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,9 @@ from .tables import gather, ragged_take, stored, text_steps
 PART_ROWS = 20_000
 
 
+@lru_cache(maxsize=2)
 def tokenizer(path: str) -> Memo:
-    """Ids of words by the tokenizer file at ``path``."""
+    """Ids of words by the tokenizer file at ``path``: one for all tasks of a worker process, which share what it remembers."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(path)

@@ -118,3 +118,21 @@ def test_composed_upper_case_and_special_tokens_are_the_tokenizers_ids():
             ids, bounds = packing.token_ids(pa.array(part), memo, 1)
             for t, i, e in zip(part, bounds[:-1], bounds[1:]):
                 assert ids[i:e].tolist() == tok.encode(t, add_special_tokens=False).ids + [1]
+
+
+def test_forgotten_words_give_the_same_ids(monkeypatch):
+    """A memo that holds few words turns its generations over all the time; one memo serves all tasks of a process."""
+    import pyarrow as pa
+
+    from playerlytics.llm import chunks
+    monkeypatch.setattr(chunks, "MEMO_WORDS", 12)
+    tok = Tokenizer.from_file(PATH)
+    memo = chunks.Memo(lambda texts: [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)])
+    rng = np.random.default_rng(9)
+    vocabulary = [f"word{i}" for i in range(40)] + ["the"] * 20 + ["x" * 60, ""]
+    for _ in range(30):
+        text = " ".join(rng.choice(vocabulary, 25))
+        ids, _ = packing.token_ids(pa.array([text]), memo, 1)
+        assert ids.tolist() == tok.encode(text, add_special_tokens=False).ids + [1]
+        assert len(memo.young) <= 6 + 26 + 1 and len(memo.old) <= 6 + 26 + 1
+    assert packing.tokenizer(PATH) is packing.tokenizer(PATH)
