@@ -210,24 +210,27 @@ def _mixed(columns: np.ndarray) -> np.ndarray:
     return h
 
 
-def _ordered(rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct rows in order as codes, their summed counts, and the ids that the codes stand for (0 first)."""
-    ids, codes = np.unique(rows, return_inverse=True)
-    codes = codes.reshape(rows.shape)
-    if len(ids) < 1 << 12:  # five codes in one number
-        keys = [sum(codes[:, k].astype(np.int64) << 12 * (LONGEST - 1 - k) for k in range(LONGEST))]
+def _ordered(codes: np.ndarray, counts: np.ndarray, n_ids: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows of codes in order, and their summed counts."""
+    if not len(codes):
+        return codes, counts
+    bits = max(1, int(n_ids - 1).bit_length())
+    if 3 * bits < 63:  # two numbers hold a row
+        def key(columns: range) -> np.ndarray:
+            out = codes[:, columns[0]].astype(np.int64)
+            for k in columns[1:]:
+                out <<= bits
+                out |= codes[:, k]
+            return out
+        order = np.lexsort((key(range(2, LONGEST)), key(range(2))))
     else:
-        keys = [codes[:, k] for k in reversed(range(LONGEST))]
-    order = np.lexsort(keys)
+        order = np.lexsort([codes[:, k] for k in reversed(range(LONGEST))])
     codes, counts = codes[order], counts[order]
-    new = np.concatenate([[True], np.any(codes[1:] != codes[:-1], axis=1)]) if len(codes) else np.zeros(0, bool)
-    starts = np.flatnonzero(new)
-    return codes[starts], np.add.reduceat(counts, starts) if len(starts) else counts, ids
+    starts = np.flatnonzero(np.concatenate([[True], np.any(codes[1:] != codes[:-1], axis=1)]))
+    return codes[starts], np.add.reduceat(counts, starts)
 
 
-def packed_run(rows: np.ndarray, counts: np.ndarray) -> bytes:
-    """A sorted run: the ids it holds, then its rows as codes column by column (the codes' bytes apart), and their counts."""
-    codes, counts, ids = _ordered(rows, counts)
+def _packed(ids: np.ndarray, codes: np.ndarray, counts: np.ndarray) -> bytes:
     kind = "<u2" if len(ids) <= 1 << 16 else "<u4"
     head = np.array([len(ids), len(codes)], np.int64)
     columns = np.ascontiguousarray(codes.T.astype(kind)).view(np.uint8).reshape(LONGEST, len(codes), int(kind[2]))
@@ -235,21 +238,36 @@ def packed_run(rows: np.ndarray, counts: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=3).compress(b"".join(p.tobytes() for p in parts))
 
 
-def unpacked_run(run: bytes) -> tuple[np.ndarray, np.ndarray]:
+def packed_run(rows: np.ndarray, counts: np.ndarray) -> bytes:
+    """A sorted run of windows: the ids it holds, its rows as codes of them, column by column (the codes' bytes apart), the counts."""
+    ids, codes = np.unique(rows, return_inverse=True)
+    return _packed(ids, *_ordered(codes.reshape(rows.shape).astype(np.int32), counts, len(ids)))
+
+
+def opened_run(run: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, codes and counts of a run."""
     raw = zstandard.ZstdDecompressor().decompress(run)
     n_ids, n = np.frombuffer(raw, np.int64, 2).tolist()
     size = 2 if n_ids <= 1 << 16 else 4
     ids, at = np.frombuffer(raw, np.uint64, n_ids, 16), 16 + 8 * n_ids
     planes = np.frombuffer(raw, np.uint8, LONGEST * n * size, at).reshape(LONGEST, size, n)
     codes = np.ascontiguousarray(planes.transpose(0, 2, 1)).view(f"<u{size}").reshape(LONGEST, n).T
-    return ids[codes], np.frombuffer(raw, np.int64, n, at + LONGEST * n * size)
+    return ids, codes, np.frombuffer(raw, np.int64, n, at + LONGEST * n * size)
+
+
+def unpacked_run(run: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of a run and their counts."""
+    ids, codes, counts = opened_run(run)
+    return ids[codes], counts
 
 
-def merged_run(runs: list[bytes]) -> tuple[bytes, int]:
-    """One run of several, and its entries."""
-    opened = [unpacked_run(r) for r in runs]
-    run = packed_run(np.concatenate([r for r, _ in opened]), np.concatenate([n for _, n in opened]))
-    return run, int(np.frombuffer(zstandard.ZstdDecompressor().decompress(run), np.int64, 2)[1])
+def merged(runs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, codes and counts of several runs as one."""
+    ids = np.unique(np.concatenate([opened_run(r)[0] for r in runs]))
+    parts = []
+    for own, codes, counts in map(opened_run, runs):
+        parts.append((np.searchsorted(ids, own).astype(np.int32)[codes], counts))
+    return ids, *_ordered(np.concatenate([c for c, _ in parts]), np.concatenate([n for _, n in parts]), len(ids))
 
 
 _RUNS = "lang string, part int, split int, entries long, run binary"
@@ -285,11 +303,10 @@ def spilled_runs(docs: DataFrame, bits: np.ndarray, seed: int, parts: int, held:
                 size += len(packed)
             return size
 
-        def merged() -> Iterator[pa.RecordBatch]:
-            for (lang, part), runs in spilled.items():
-                whole, entries = merged_run(runs)
-                yield _run_batch([(lang, part, 0, entries, whole)])
-            spilled.clear()
+        def merged_runs_so_far() -> Iterator[pa.RecordBatch]:
+            for lang, part in list(spilled):
+                ids, codes, counts = merged(spilled.pop((lang, part)))
+                yield _run_batch([(lang, part, 0, len(codes), _packed(ids, codes, counts))])
 
         kept = 0
         for lang, texts in by_language(batches):
@@ -305,25 +322,25 @@ def spilled_runs(docs: DataFrame, bits: np.ndarray, seed: int, parts: int, held:
                     largest = max(tries, key=lambda x: tries[x].entries())
                     kept += spill(largest, tries[largest].entries() // 2)
             if kept > SPILLED:
-                yield from merged()
+                yield from merged_runs_so_far()
                 kept = 0
         for lang in list(tries):
             spill(lang, 0)
             del tries[lang]
-        yield from merged()
+        yield from merged_runs_so_far()
         release_memory()
 
     return docs.mapInArrow(run, _RUNS)
 
 
-def split_runs(runs: DataFrame, merged: int = MERGED) -> DataFrame:
-    """Runs of partitions with more than ``merged`` entries cut by a hash of the window after its first two words.
+def split_runs(runs: DataFrame, most: int = MERGED) -> DataFrame:
+    """Runs of partitions with more than ``most`` entries cut by a hash of the window after its first two words.
 
     The runs are read twice: pass a stored table.
     """
     # stored, so that its size is known before the join: the runs are not shuffled to meet a small table
     sizes = stored(runs.groupBy("lang", "part").agg(F.sum("entries").alias("all")), "run-sizes")
-    cut = runs.join(sizes, ["lang", "part"]).withColumn("ways", F.ceil(F.col("all") / merged).cast("int"))
+    cut = runs.join(sizes, ["lang", "part"]).withColumn("ways", F.ceil(F.col("all") / most).cast("int"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -341,8 +358,7 @@ def merged_runs(runs: DataFrame, least: int) -> DataFrame:
     """lang, ids and n of phrases of two words and more: whole counts of at least ``least``, or partial counts of splits."""
     def run(key: tuple, table: pa.Table) -> pa.Table:
         lang, _, split = (k.as_py() for k in key)
-        opened = [unpacked_run(r) for r in table.column("run").to_pylist()]
-        codes, counts, ids = _ordered(np.concatenate([r for r, _ in opened]), np.concatenate([n for _, n in opened]))
+        ids, codes, counts = merged(table.column("run").to_pylist())
         found, totals = [], []
         absent = int(ids[0] == 0) if len(ids) else 0  # the code of no word is 0, where there is one
         for k in range(2, LONGEST + 1):
@@ -363,14 +379,14 @@ def merged_runs(runs: DataFrame, least: int) -> DataFrame:
 
 
 def phrase_counts(docs: DataFrame, least: int, parts: int | None = None, held: int = HELD, burst: int = BURST,
-                  merged: int = MERGED) -> tuple[DataFrame, DataFrame]:
+                  merge: int = MERGED) -> tuple[DataFrame, DataFrame]:
     """Phrases of one to five words that occur ``least`` times or more (lang, phrase as an array of words, n), and
     all words (lang, word, id, n), both stored. ``docs`` has the columns lang and text without nulls."""
     parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts, seed = counted_words(docs)
     frequent = counts.where(F.col("n") >= least)
     runs = stored(spilled_runs(docs, word_filter(frequent), seed, parts, held, burst), "runs")
-    partial = merged_runs(split_runs(runs, merged), least)
+    partial = merged_runs(split_runs(runs, merge), least)
     phrases = stored(partial.groupBy("lang", "ids").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "phrase-ids")
     spelled = (phrases.select("lang", "ids", "n", F.posexplode("ids").alias("at", "id"))
                .join(frequent.select("lang", "id", "word"), ["lang", "id"])

@@ -68,7 +68,7 @@ def some_rows(seed, n=120, vocabulary=25):
     return [(rng.choice(["en", "en", "fr", None, "und"]), t) for t in texts]
 
 
-@pytest.mark.parametrize("limits", [{}, {"held": 40, "burst": 5, "merged": 30, "parts": 2}, {"held": 200, "merged": 10, "parts": 1}])
+@pytest.mark.parametrize("limits", [{}, {"held": 40, "burst": 5, "merge": 30, "parts": 2}, {"held": 200, "merge": 10, "parts": 1}])
 def test_equals_brute_force(spark, limits):
     """With room to spare; with bursts, spills and splits at every turn."""
     rows = some_rows(1)
@@ -100,11 +100,11 @@ def test_hot_pair_is_split(spark):
     docs = table(spark, rows).select("lang", "text")
     counts, seed = C.counted_words(docs)
     runs = C.spilled_runs(docs, C.word_filter(counts), seed, parts=2).cache()
-    cut = C.split_runs(runs, merged=200)
+    cut = C.split_runs(runs, most=200)
     sizes = [r.e for r in cut.groupBy("lang", "part", "split").agg(F.sum("entries").alias("e")).toLocalIterator()]
     whole = runs.agg(F.sum("entries")).first()[0]
     assert sum(sizes) == whole and max(sizes) < 600 and len(sizes) > whole / 600
-    assert found(spark, rows, 8, merged=200) == brute(rows, 8)
+    assert found(spark, rows, 8, merge=200) == brute(rows, 8)
 
 
 @settings(max_examples=30, deadline=None)
