@@ -15,7 +15,13 @@ RUN_STEP = 8 << 20
 MEMO_WORDS, MEMO_CHARS = 400_000, 48
 
 
-def runs(texts: pa.Array, alike: Callable[[pa.Array], pa.Array] | None = None) -> tuple[np.ndarray, np.ndarray, list[str]]:
+def runs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """``coded_runs`` with the distinct runs as strings."""
+    bounds, codes, distinct = coded_runs(texts)
+    return bounds, codes, distinct.to_pylist()
+
+
+def coded_runs(texts: pa.Array, alike: Callable[[pa.Array], pa.Array] | None = None) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Of texts without nulls, split at single blanks: bounds of each text's runs, each run's code, and the distinct runs.
 
     ``alike`` maps distinct runs to what stands for them; runs that it maps to the same count as one.
@@ -27,7 +33,7 @@ def runs(texts: pa.Array, alike: Callable[[pa.Array], pa.Array] | None = None) -
         coded = alike(distinct).dictionary_encode()
         codes, distinct = coded.indices.take(codes), coded.dictionary
     lengths = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
-    return np.concatenate([[0], np.cumsum(lengths)]), np.asarray(codes), distinct.to_pylist()
+    return np.concatenate([[0], np.cumsum(lengths)]), np.asarray(codes), distinct
 
 
 class Memo:
@@ -40,17 +46,17 @@ class Memo:
     def __init__(self, encode: Callable[[list[str]], list[list[int]]]):
         self.encode, self.young, self.old = encode, {"": b""}, {}  # ids as 32-bit integers in bytes
 
-    def ids(self, runs: list[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of runs of two words (the second may be empty), run after run, and each run's number of ids."""
+    def ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of distinct words, word after word, and each word's number of ids."""
         if len(self.young) > MEMO_WORDS // 2:
             self.young, self.old = {"": b""}, self.young
         known, old = self.young, self.old
-        missing = [w for w in dict.fromkeys(w for run in runs for w in run) if w not in known]
+        missing = [w for w in words if w not in known]
         known.update((w, old[w]) for w in missing if w in old)
         new = [w for w in missing if w not in known]
         if new:
             known.update(zip(new, (array("i", x).tobytes() for x in self.encode(new))))
-        found = [known[a] + known[b] if b else known[a] for a, b in runs]
+        found = [known[w] for w in words]
         for w in new:
             if len(w) > MEMO_CHARS:
                 del known[w]

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from playerlytics.functions.bounded import bounded_rows
 
-from .chunks import RUN_STEP, Memo, runs
+from .chunks import RUN_STEP, Memo, coded_runs
 from .tables import gather, ragged_take, stored, text_steps
 
 #: Pieces of one length that are ranked in one task; longer bins are split into parts of this size.
@@ -42,10 +42,12 @@ def tokenizer(path: str) -> Memo:
 MARKS = ".,;:!?"
 
 
-def _words(run: str) -> tuple[str, str]:
-    """A run without its closing marks, and these; not split unless the marks follow an ASCII letter or digit."""
-    word = run.rstrip(MARKS)
-    return (word, run[len(word):]) if word and word[-1].isascii() and word[-1].isalnum() else (run, "")
+def _words(runs: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Runs without their closing marks, and these; not split unless the marks follow an ASCII letter or digit."""
+    bare = pc.utf8_rtrim(runs, MARKS)
+    split = pc.match_substring_regex(bare, "[0-9A-Za-z]$")
+    marks = pc.struct_field(pc.extract_regex(runs, f"(?P<m>[{MARKS}]*)$"), "m")
+    return pc.if_else(split, bare, runs), pc.if_else(split, marks, "")
 
 
 def _folded(distinct: pa.Array) -> pa.Array:
@@ -62,8 +64,18 @@ def token_ids(texts: pa.Array, memo: Memo, end_id: int) -> tuple[np.ndarray, np.
     ASCII runs keep their case (as do those with its special tokens).
     """
     texts = pc.replace_substring(texts.cast(pa.large_string()), "\n", " ")
-    bounds, codes, distinct = runs(texts, _folded)
-    ids, counts = memo.ids([_words(r) for r in distinct])
+    bounds, codes, distinct = coded_runs(texts, _folded)
+    parts, ids, held = [], [], 0
+    for column in _words(distinct):
+        coded = column.dictionary_encode()
+        found, n = memo.ids(coded.dictionary.to_pylist())
+        at = np.asarray(coded.indices)
+        parts.append(((np.cumsum(n) - n + held)[at], n[at]))
+        ids.append(found)
+        held += len(found)
+    # each distinct run's ids: those of its word, then of its marks
+    counts = parts[0][1] + parts[1][1]
+    ids = gather(np.concatenate(ids), np.column_stack([p[0] for p in parts]).ravel(), np.column_stack([p[1] for p in parts]).ravel())
     starts = np.cumsum(counts) - counts
     flat = gather(ids, starts[codes], counts[codes])
     ends = np.concatenate([[0], np.cumsum(counts[codes])])[bounds]
