@@ -78,8 +78,8 @@ def op7_secret_scan(spark, sf_dir):
 
 @query
 def op8_personal_data(spark, sf_dir):
-    """Direct identifiers, and terms near them that reveal 0.8 of their information or more."""
-    found = pii.scan_personal_data(read(spark, sf_dir, "documents"), window=8, threshold=0.8, support=2)
+    """Direct identifiers, and terms of their documents that reveal 0.8 of their information or more."""
+    found = pii.scan_personal_data(read(spark, sf_dir, "documents"), threshold=0.8)
     return spans.digest(found, pii.BASE)
 
 
