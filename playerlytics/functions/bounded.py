@@ -18,16 +18,15 @@ def bounded_rows(df: DataFrame, most: int) -> list[Row]:
     return rows
 
 
-def small_or_stored(df: DataFrame, name: str, most: int = SMALL_ROWS) -> DataFrame:
-    """The rows of ``df``, computed once: held by the driver up to ``most`` of them, else a table in the shared folder."""
+def small_or_stored(df: DataFrame, name: str, small: bool) -> DataFrame:
+    """The rows of ``df``, computed once: held by the driver if ``small`` (then at most ``SMALL_ROWS``, which is checked),
+    else a table in the shared folder."""
     spark = df.sparkSession
-    kept = df.persist()
-    try:
-        table = kept.limit(most + 1).toArrow()
-        if table.num_rows <= most:
-            return spark.createDataFrame(table, df.schema)
-        path = scratch_path(spark, name)
-        kept.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-    finally:
-        kept.unpersist()
+    if small:
+        table = df.limit(SMALL_ROWS + 1).toArrow()
+        if table.num_rows > SMALL_ROWS:
+            raise RuntimeError(f"more than the {SMALL_ROWS} rows that were to be expected at most")
+        return spark.createDataFrame(table, df.schema)
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -16,13 +16,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.bounded import small_or_stored
+from ..functions.bounded import SMALL_ROWS, bounded_rows, small_or_stored
 from .segment import CLUSTER_COL, DEFAULT_ELBOW_K, DEFAULT_MAX_ITER, FEATURE_COL, FEATURES, SCALED_COL
 
 GAME_COL = "gameId"
 #: Iterations end when no centre of a game moves further than this (in scaled units).
 TOLERANCE = 1e-4
-#: Distinct vectors that one task goes over in an iteration.
+#: Distinct vectors of a game that one task goes over in an iteration.
 PART_ROWS = 50_000
 _D = len(FEATURES)
 
@@ -34,13 +34,10 @@ def _vector() -> Column:
     return F.array(*[checked(c) for c in FEATURES])
 
 
-def distance(x: Column, centre: Column, factors: Column) -> Column:
-    """Squared distance of scaled vectors; the terms are added in the order of the features."""
-    total = None
-    for i in range(_D):
-        step = (F.get(x, F.lit(i)) - F.get(centre, F.lit(i))) * F.get(factors, F.lit(i))
-        total = step * step if total is None else total + step * step
-    return total
+def distance(x: str, centre: str, factors: str = "factors") -> str:
+    """SQL of the squared distance of scaled vectors; the terms are added in the order of the features."""
+    steps = [f"(get({x}, {i}) - get({centre}, {i})) * get({factors}, {i})" for i in range(_D)]
+    return "(" + " + ".join(f"({s}) * ({s})" for s in steps) + ")"
 
 
 def weighted_vectors(features: DataFrame) -> DataFrame:
@@ -73,52 +70,46 @@ def scale_factors() -> Column:
     return F.array(*[F.coalesce(F.when(covariance(i, i) > 0, 1 / F.sqrt(covariance(i, i))), F.lit(0.0)) for i in range(_D)])
 
 
-def dealt(vectors: DataFrame, games: DataFrame) -> DataFrame:
-    """``vectors`` stored, a game of many vectors dealt over parts of about ``PART_ROWS`` (column part)."""
-    parts = games.select(GAME_COL, F.ceil(F.col("vectors") / PART_ROWS).cast("int").alias("parts"))
-    rows = vectors.join(parts, GAME_COL).select(GAME_COL, "x", "w", F.pmod(F.xxhash64("x"), F.col("parts")).cast("int").alias("part"))
-    return small_or_stored(rows, "game-vectors")
-
-
 def _beside(vectors: DataFrame, state: DataFrame) -> DataFrame:
     """Vectors with their game's row of ``state`` (which has the column ``parts``)."""
-    spread = state.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return vectors.join(spread, [GAME_COL, "part"])
+    return vectors.join(state.withColumn("part", F.expr("explode(sequence(0, parts - 1))")), [GAME_COL, "part"])
 
 
-def farthest_first(vectors: DataFrame, games: DataFrame, k: int) -> DataFrame:
+def farthest_first(vectors: DataFrame, games: DataFrame, k: int, small: bool) -> DataFrame:
     """gameId, parts, factors, chosen: up to ``k`` distinct vectors of each game, each farthest from those before it."""
-    first = vectors.groupBy(GAME_COL).agg(F.min(F.struct((-F.col("w")).alias("o"), "x"))["x"].alias("x"))
-    state = small_or_stored(games.join(first, GAME_COL).select(GAME_COL, "parts", "factors", F.array("x").alias("chosen")), "starts")
+    first = vectors.groupBy(GAME_COL).agg(F.expr("min(struct(-w AS o, x)).x").alias("x"))
+    state = small_or_stored(games.join(first, GAME_COL).select(GAME_COL, "parts", "factors", F.array("x").alias("chosen")), "starts", small)
+    far = F.expr(f"min(struct(-array_min(transform(chosen, c -> {distance('x', 'c')})) AS o, x))").alias("far")
+    grown = F.expr("IF(far.o < 0, concat(chosen, array(far.x)), chosen)").alias("chosen")
     for _ in range(1, k):
-        near = F.array_min(F.transform("chosen", lambda c: distance(F.col("x"), c, F.col("factors"))))
-        far = (_beside(vectors, state).select(GAME_COL, (-near).alias("o"), "x")
-               .groupBy(GAME_COL).agg(F.min(F.struct("o", "x")).alias("far")))
-        grown = F.when(F.col("far.o") < 0, F.concat("chosen", F.array("far.x"))).otherwise(F.col("chosen"))
-        state = small_or_stored(state.join(far, GAME_COL).select(GAME_COL, "parts", "factors", grown.alias("chosen")), "starts")
+        found = _beside(vectors, state).groupBy(GAME_COL, "parts", "factors", "chosen").agg(far)
+        state = small_or_stored(found.select(GAME_COL, "parts", "factors", grown), "starts", small)
     return state
 
 
+#: The nearest centre of a vector under each model of its game: k, d (squared distance), cluster.
+_NEAREST = (
+    "explode(transform(models, m -> struct(m.k AS k, array_min(transform(m.centres, (c, i) -> struct("
+    + distance("x", "c") + " AS d, i AS cluster))) AS b))) AS m")
+
+
 def assigned(vectors: DataFrame, models: DataFrame) -> DataFrame:
-    """A row per vector and k of its game's models: gameId, k, cluster, d (squared distance), x, w, factors."""
-    by_game = (models.groupBy(GAME_COL, "parts", "factors")
-               .agg(F.sort_array(F.collect_list(F.struct("k", "centres"))).alias("models")))
-    nearest = F.transform("models", lambda m: F.struct(m["k"].alias("k"), F.array_min(F.transform(
-        m["centres"], lambda c, i: F.struct(distance(F.col("x"), c, F.col("factors")).alias("d"), i.alias("cluster")))).alias("b")))
-    rows = _beside(vectors, by_game).select(GAME_COL, "x", "w", F.explode(nearest).alias("m"))
-    return rows.select(GAME_COL, F.col("m.k").alias("k"), F.col("m.b.cluster").alias("cluster"), F.col("m.b.d").alias("d"), "x", "w")
+    """A row per vector and k of its game's models: gameId, k, cluster, d (squared distance), x, w."""
+    by_game = models.groupBy(GAME_COL, "parts", "factors").agg(F.expr("sort_array(collect_list(struct(k, centres)))").alias("models"))
+    return (_beside(vectors, by_game).selectExpr(GAME_COL, "x", "w", _NEAREST)
+            .selectExpr(GAME_COL, "m.k", "m.b.cluster", "m.b.d", "x", "w"))
 
 
 def lloyd_step(vectors: DataFrame, models: DataFrame) -> DataFrame:
     """The models with each centre moved to the mean of its vectors (one without vectors stays), and whether they moved."""
-    sums = [F.sum(F.col("w") * F.get("x", F.lit(i))).alias(f"s{i}") for i in range(_D)]
-    means = F.array(*[F.col(f"s{i}") / F.col("w") for i in range(_D)])
-    moved = (assigned(vectors, models).groupBy(GAME_COL, "k", "cluster").agg(F.sum("w").alias("w"), *sums)
-             .groupBy(GAME_COL, "k").agg(F.map_from_entries(F.collect_list(F.struct("cluster", means))).alias("means")))
-    new = F.transform("centres", lambda c, i: F.coalesce(F.try_element_at(F.col("means"), i), c))
-    shift = F.array_max(F.zip_with("new", "centres", lambda a, b: distance(a, b, F.col("factors"))))
-    return (models.join(moved, [GAME_COL, "k"]).withColumn("new", new)
-            .select(GAME_COL, "k", "parts", "factors", F.col("new").alias("centres"), (shift <= TOLERANCE ** 2).alias("done")))
+    sums = [F.expr(f"sum(w * get(x, {i})) AS s{i}") for i in range(_D)]
+    means = f"map_from_entries(collect_list(struct(cluster, array({', '.join(f's{i} / w' for i in range(_D))})))) AS means"
+    moved = (assigned(vectors, models).groupBy(GAME_COL, "k", "cluster").agg(F.expr("sum(w) AS w"), *sums)
+             .groupBy(GAME_COL, "k").agg(F.expr(means)))
+    new = models.join(moved, [GAME_COL, "k"]).selectExpr(
+        GAME_COL, "k", "parts", "factors", "centres", "transform(centres, (c, i) -> coalesce(try_element_at(means, i), c)) AS new")
+    shift = f"array_max(zip_with(new, centres, (a, b) -> {distance('a', 'b')}))"
+    return new.selectExpr(GAME_COL, "k", "parts", "factors", "new AS centres", f"{shift} <= {TOLERANCE ** 2!r}D AS done")
 
 
 def fit(features: DataFrame, ks: Sequence[int], max_iter: int = DEFAULT_MAX_ITER) -> tuple[DataFrame, DataFrame]:
@@ -126,36 +117,44 @@ def fit(features: DataFrame, ks: Sequence[int], max_iter: int = DEFAULT_MAX_ITER
 
     Models: gameId, k, parts, factors, centres (in units of the features; fewer than k where a game has fewer
     distinct vectors), done (converged within ``max_iter``). No rows without named games. A null feature is an error.
+    The models are held by the driver between iterations while they are few, else they are tables.
     """
     ks = sorted(set(ks))
     if not ks or ks[0] < 1:
         raise ValueError("need k of at least 1")
-    vectors = small_or_stored(weighted_vectors(features), "vectors")
-    games = small_or_stored(moments(vectors), "moments")
-    vectors = dealt(vectors, games)
+    vectors = small_or_stored(weighted_vectors(features), "vectors", False)
+    games = small_or_stored(moments(vectors), "moments", False)
+    size = bounded_rows(games.agg(F.count("*").alias("games"), F.coalesce(F.sum("vectors"), F.lit(0)).alias("vectors")), 1)[0]
+    small = size.games * len(ks) <= SMALL_ROWS
     games = games.select(GAME_COL, F.ceil(F.col("vectors") / PART_ROWS).cast("int").alias("parts"), scale_factors().alias("factors"))
-    starts = farthest_first(vectors, small_or_stored(games, "games"), ks[-1])
-    models = starts.select(GAME_COL, F.explode(F.array(*map(F.lit, ks))).alias("k"), "parts", "factors", "chosen") \
-        .select(GAME_COL, "k", "parts", "factors", F.slice("chosen", F.lit(1), F.col("k")).alias("centres"), F.lit(False).alias("done"))
-    models = small_or_stored(models, "models")
+    games = small_or_stored(games, "games", small)
+    vectors = vectors.join(games.select(GAME_COL, "parts"), GAME_COL).select(
+        GAME_COL, "x", "w", F.pmod(F.xxhash64("x"), F.col("parts")).cast("int").alias("part"))
+    vectors = small_or_stored(vectors, "game-vectors", size.vectors <= SMALL_ROWS)
+    if size.vectors <= SMALL_ROWS:
+        vectors = vectors.coalesce(1)  # one task: the iterations need no shuffle
+    models = farthest_first(vectors, games, ks[-1], small).select(
+        GAME_COL, F.explode(F.array(*map(F.lit, ks))).alias("k"), "parts", "factors", "chosen").selectExpr(
+        GAME_COL, "k", "parts", "factors", "slice(chosen, 1, k) AS centres", "false AS done")
+    models = small_or_stored(models, "models", small)
     for _ in range(max_iter):
-        open_models = models.where(~F.col("done"))
+        open_models = models.where("NOT done")
         if open_models.isEmpty():
             break
-        models = small_or_stored(lloyd_step(vectors, open_models).unionByName(models.where("done")), "models")
+        models = small_or_stored(lloyd_step(vectors, open_models).unionByName(models.where("done")), "models", small)
     return models, vectors
 
 
 def centres(models: DataFrame) -> DataFrame:
     """gameId, k, cluster and its centre in scaled units (M5)."""
-    scaled = F.transform("centres", lambda c: F.zip_with(c, F.col("factors"), lambda a, f: a * f))
-    return models.select(GAME_COL, "k", F.posexplode(scaled).alias(CLUSTER_COL, "center"))
+    scaled = "transform(centres, c -> zip_with(c, factors, (a, f) -> a * f))"
+    return models.selectExpr(GAME_COL, "k", f"posexplode({scaled}) AS ({CLUSTER_COL}, center)")
 
 
 def costs(models: DataFrame, vectors: DataFrame) -> DataFrame:
     """gameId, kCluster, costTraining: the sum of squared distances to the nearest centres (M6)."""
     return (assigned(vectors, models).groupBy(GAME_COL, F.col("k").alias("kCluster"))
-            .agg(F.sum(F.col("w") * F.col("d")).alias("costTraining")))
+            .agg(F.expr("sum(w * d)").alias("costTraining")))
 
 
 def elbow(features: DataFrame, k_from: int = DEFAULT_ELBOW_K[0], k_to: int = DEFAULT_ELBOW_K[1],
@@ -182,7 +181,7 @@ def label(features: DataFrame, models: DataFrame) -> DataFrame:
     """Rows of named games with featureVector, scaledFeatures and cluster (M4); ``models`` holds one k. The nearest
     centre wins, of those that tie the first."""
     known = models.select(F.col(GAME_COL), "factors", "centres")
-    near = F.array_min(F.transform("centres", lambda c, i: F.struct(distance(F.col(FEATURE_COL), c, F.col("factors")).alias("d"), i.alias("id"))))
+    near = F.expr(f"array_min(transform(centres, (c, i) -> struct({distance(FEATURE_COL, 'c')} AS d, i AS id)))")
     rows = features.join(known, GAME_COL).withColumn(FEATURE_COL, _vector())
     return (rows.withColumn(SCALED_COL, F.zip_with(FEATURE_COL, "factors", lambda x, f: x * f)).withColumn(CLUSTER_COL, near["id"])
             .select(*features.columns, FEATURE_COL, SCALED_COL, CLUSTER_COL))
@@ -268,7 +267,7 @@ def pca_points(labelled: DataFrame, k: int = 2, keep: Sequence[str] = ()) -> Dat
     Also the columns of ``keep``. Takes rows with the features, gameId and cluster, labelled now or read from a stored cluster table.
     The projection is of the uncentred features.
     """
-    found = small_or_stored(components(moments(weighted_vectors(labelled)), k), "components")
+    found = components(moments(weighted_vectors(labelled)), k)
     rows = labelled.join(found, GAME_COL).withColumn("_s", F.zip_with(_vector(), "factors", lambda x, f: x * f))
     point = F.transform("components", lambda v: F.aggregate(F.zip_with(v, F.col("_s"), lambda a, b: a * b), F.lit(0.0), lambda t, x: t + x))
     return rows.select(GAME_COL, *keep, point.alias("points"), CLUSTER_COL)

@@ -103,6 +103,14 @@ def hourly_measures(behavior: DataFrame, driver: str = "levels") -> DataFrame:
 
 
 def _hourly_agg(rows: DataFrame, driver: str) -> DataFrame:
+    agg = _hourly_counts(rows, driver)
+    if driver == "levels":
+        agg = agg.where(F.col("_levels") > 0)
+    return agg.drop("_levels")
+
+
+def _hourly_counts(rows: DataFrame, driver: str) -> DataFrame:
+    """Counters per player and hour, and the number of level events."""
     if driver not in ("levels", "any"):
         raise ValueError("driver must be 'levels' or 'any'")
     if driver == "levels":
@@ -111,12 +119,9 @@ def _hourly_agg(rows: DataFrame, driver: str) -> DataFrame:
                      "purchase": F.col("_purchase") & keyed}
     else:
         in_family = {"level": F.col("_level"), "ad": F.col("_ad"), "purchase": F.col("_purchase")}
-    agg = rows.groupBy(*HOUR_KEYS).agg(
+    return rows.groupBy(*HOUR_KEYS).agg(
         F.count_if(F.col("_level")).alias("_levels"),
         *[_measure_agg(m, in_family[m.family]) for m in MEASURE_SPECS])
-    if driver == "levels":
-        agg = agg.where(F.col("_levels") > 0)
-    return agg.drop("_levels")
 
 
 def hourly_rollup(player_info: DataFrame, behavior: DataFrame, driver: str = "levels") -> DataFrame:
@@ -126,6 +131,33 @@ def hourly_rollup(player_info: DataFrame, behavior: DataFrame, driver: str = "le
     return finish_hourly(joined)
 
 
+def _family_flags(behavior_rows: DataFrame) -> DataFrame:
+    """Rows of the one-table cleaned families with a flag per family."""
+    fam = F.col("family")
+    return behavior_rows.select("userId", "gameId", "date", "hourOfDay", "status", "amount",
+                                (fam == F.lit(FAMILY_TABLES["level"])).alias("_level"),
+                                (fam == F.lit(FAMILY_TABLES["ad"])).alias("_ad"),
+                                (fam == F.lit(FAMILY_TABLES["purchase"])).alias("_purchase"))
+
+
+def hour_state(cleaned: DataFrame) -> DataFrame:
+    """Counters of every hour, those without level events too, with the number of level events (``_levels``).
+
+    What ``merged_hours`` adds up over batches; ``hourly_from_state`` makes the hourly rollup of it.
+    """
+    return _hourly_counts(_family_flags(cleaned.where(F.col("family") != F.lit(FAMILY_TABLES["player"]))), "levels")
+
+
+def merged_hours(states: DataFrame) -> DataFrame:
+    return states.groupBy(*HOUR_KEYS).agg(*[F.sum(c).alias(c) for c in ("_levels", *MEASURES)])
+
+
+def hourly_from_state(state: DataFrame, reg: DataFrame) -> DataFrame:
+    """The hourly rollup (level-driven) of merged counters and the players' registration."""
+    held = state.where(F.col("_levels") > 0).drop("_levels")
+    return finish_hourly(held.join(reg.select(*USER_KEYS, "flagOrganic", "dateRegistration"), list(USER_KEYS), "left"))
+
+
 def hourly_rollup_from_clean(cleaned: DataFrame, months: T.MonthRange | None = None,
                              driver: str = "levels") -> DataFrame:
     """The hourly rollup from the one-table cleaned families (``clean.clean_events``),
@@ -135,12 +167,8 @@ def hourly_rollup_from_clean(cleaned: DataFrame, months: T.MonthRange | None = N
     beh = cleaned.where(fam != F.lit(FAMILY_TABLES["player"]))
     if months is not None:
         beh = beh.where(months.date_filter(F.col("date")))
-    rows = beh.select("userId", "gameId", "date", "hourOfDay", "status", "amount",
-                      (fam == F.lit(FAMILY_TABLES["level"])).alias("_level"),
-                      (fam == F.lit(FAMILY_TABLES["ad"])).alias("_ad"),
-                      (fam == F.lit(FAMILY_TABLES["purchase"])).alias("_purchase"))
     reg = registration(family_rows(cleaned, "player"))
-    return finish_hourly(_hourly_agg(rows, driver).join(reg, list(USER_KEYS), "left"))
+    return finish_hourly(_hourly_agg(_family_flags(beh), driver).join(reg, list(USER_KEYS), "left"))
 
 
 def _period_aggs() -> list[Column]:

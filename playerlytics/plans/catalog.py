@@ -16,13 +16,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions import time as T
-from ..operators import clean, game_models, ltv, profile, retention, rollup, segment
+from ..operators import activity, clean, distinct, game_models, ltv, profile, retention, rollup, segment
 from ..session import scratch_path
-from ..sources import sinks, tables
+from ..sources import documents, sinks, tables
 from ..sources.events import behavior_source, player_info_source
 from ..sources.fixtures import game_events, load_game_events
 from ..sources.schemas import DAILY_TABLE, EVENT_SCHEMA, MONTHLY_TABLE, RAW_TABLE, TABLE_PARTITIONS
-from . import jobs
+from . import incremental, jobs
 
 # Parameters of the registered queries. Rollups and analyses run over all months and games
 # (gameId is a group key, of models too); the game/range filter operators are
@@ -643,3 +643,136 @@ def q_job_cluster_profile(spark, sf_dir):
     """The feature summary over a written cluster table."""
     rows = tables.cluster_input(tables.read_table(spark, _cluster_table(spark, sf_dir)), "daily")
     return stable(profile.feature_summary(rows))
+
+
+@query("job_enrich_monthly")
+def q_job_enrich_monthly(spark, sf_dir):
+    """The monthly table of ``run_enrich`` in a store, as its readers resolve it."""
+    base = scratch_path(spark, "store")
+    jobs.run_enrich(spark, events(spark, sf_dir), base, None, "both", publish="versions", write_raw=False)
+    return stable(tables.read_rollup(spark, base, "monthly"))
+
+
+@query("job_ltv_monthly")
+def q_job_ltv_monthly(spark, sf_dir):
+    """``run_ltv`` per player and month over a written cluster table, through its own written table."""
+    found = jobs.run_ltv(spark, _cluster_table(spark, sf_dir), None, None, "user", "monthly", monthly_out=scratch_path(spark, "ltv"))
+    return stable(found["ltv_points_monthly"].withColumn("codMonth", F.col("codMonth").cast("string")))
+
+
+# --- rollups kept up by batches (E1, A1, A5-A7, S9, S10) ----------------------------------------------
+
+def _in_batches(spark, sf_dir) -> str:
+    """All events applied as three batches of files, each replayed once: two halves of the behaviour, then all sign-ups."""
+    base, source = scratch_path(spark, "store"), scratch_path(spark, "batches")
+    rows = events(spark, sf_dir)
+    signup, half = F.col("attribution").isNotNull(), F.pmod(F.xxhash64("userId", "timestamp", "status"), F.lit(2))
+    for i, part in enumerate((~signup & (half == 0), ~signup & (half == 1), signup)):
+        rows.where(part).select(*EVENT_SCHEMA.fieldNames()).write.parquet(f"{source}/{i}")
+        for _ in range(2):
+            incremental.apply_new_files(spark, f"{source}/*", base, write_raw=False)
+    return base
+
+
+@query("incremental_daily")
+def q_incremental_daily(spark, sf_dir):
+    """The daily table after three batches and their replays; every sign-up came after all the days that it changes."""
+    return stable(tables.read_rollup(spark, _in_batches(spark, sf_dir), "daily"))
+
+
+@query("incremental_monthly")
+def q_incremental_monthly(spark, sf_dir):
+    return stable(tables.read_rollup(spark, _in_batches(spark, sf_dir), "monthly"))
+
+
+@query("incremental_retention")
+def q_incremental_retention(spark, sf_dir):
+    """Retention with three idle days from the activity table that the batches kept up."""
+    return stable(activity.retention_points(incremental.read_activity(spark, _in_batches(spark, sf_dir)), RETENTION_START, 3))
+
+
+# --- retention from a stored activity table, distinct players from stored bitmaps ----------------------
+
+def _activity(spark, sf_dir) -> DataFrame:
+    path = scratch_path(spark, "activity")
+    sinks.write_partitioned(activity.masks(players_clean(spark, sf_dir), hourly(spark, sf_dir)), path, ["codMonth"])
+    return spark.read.schema(activity.MASK_SCHEMA).parquet(path)
+
+
+@query("retention_stored")
+def q_retention_stored(spark, sf_dir):
+    return stable(activity.retention_points(_activity(spark, sf_dir), RETENTION_START, 0))
+
+
+@query("retention_stored_idle3")
+def q_retention_stored_idle3(spark, sf_dir):
+    return stable(activity.retention_points(_activity(spark, sf_dir), RETENTION_START, 3))
+
+
+@query("retention_stored_full_horizon")
+def q_retention_stored_full_horizon(spark, sf_dir):
+    return stable(activity.retention_points(_activity(spark, sf_dir), RETENTION_START, 3, full_horizon=True))
+
+
+@query("retention_stored_signup")
+def q_retention_stored_signup(spark, sf_dir):
+    return stable(activity.retention_points(_activity(spark, sf_dir), RETENTION_START, 0, cohort="signup"))
+
+
+def _bitmaps(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Stored bitmaps of the players of each group; the players are numbered in two runs, January's first."""
+    none = rows.sparkSession.createDataFrame([], distinct.NUMBER_SCHEMA)
+    first = _stored(distinct.new_numbers(none, rows.where(F.col(keys[-1]) < F.lit("2024-02-01").cast("date"))), "numbers")
+    numbers = _stored(first.unionByName(distinct.new_numbers(first, rows)), "numbers")
+    return _stored(distinct.bitmaps(rows, numbers, keys), "bitmaps")
+
+
+@query("bitmap_cluster_users")
+def q_bitmap_cluster_users(spark, sf_dir):
+    """Players per cluster, or-ed from bitmaps per day and cluster."""
+    return distinct.distinct_players(_bitmaps(clusters(spark, sf_dir), ["gameId", "cluster", "date"]), ["gameId", "cluster"], "numberOfUsers")
+
+
+@query("bitmap_monthly_users")
+def q_bitmap_monthly_users(spark, sf_dir):
+    """Players per game and month, or-ed from the same bitmaps."""
+    parts = _bitmaps(clusters(spark, sf_dir), ["gameId", "cluster", "date"])
+    return distinct.distinct_players(parts.withColumn("codMonth", T.cod_month(F.col("date"))), ["gameId", "codMonth"], "numberOfUsers")
+
+
+@query("bitmap_new_users")
+def q_bitmap_new_users(spark, sf_dir):
+    rows = _cohort_events(spark, sf_dir).withColumnRenamed("date", "pivotDate").select("gameId", "userId", "pivotDate")
+    return distinct.distinct_players(_bitmaps(rows, ["gameId", "pivotDate"]), ["gameId", "pivotDate"], "newUsers")
+
+
+# --- a collection of documents whose types drift (S1, S17, S18) ---------------------------------------
+
+def _drifting(rows: DataFrame) -> DataFrame:
+    """Events as JSON lines, some with other types, without their time, cut off or not an object."""
+    names = EVENT_SCHEMA.fieldNames()
+
+    def line(**other):
+        return F.to_json(F.struct(*[other.get(n, F.col(n)).alias(n) for n in names if other.get(n, 0) is not None]))
+
+    def every(k):
+        return F.pmod(F.col("eventId"), F.lit(k)) == 0
+
+    text, time = F.when, F.col("timestamp")
+    return rows.select(
+        text(every(17), F.expr("left(to_json(struct(userId, timestamp)), 12)")).when(every(29), F.lit("[1, 2]"))
+        .when(every(13), line(amount=F.lit("n/a"))).when(every(19), line(timestamp=None)).when(every(23), line(userId=F.struct(F.lit(1).alias("id"))))
+        .when(every(31), line(timestamp=time + 0.5)).when(every(11), line(timestamp=time.cast("string"), levelId=F.lit(7)))
+        .otherwise(line()).alias("value"))
+
+
+@query("documents_by_reason")
+def q_documents_by_reason(spark, sf_dir):
+    """Events written as drifting JSON lines and read back: good documents, and those set aside by reason."""
+    path = scratch_path(spark, "documents")
+    _drifting(events(spark, sf_dir)).write.text(path)
+    rows = _stored(documents.read_collection(spark, path), "documents")
+    good = documents.good_events(rows).agg(F.lit("good").alias("outcome"), F.count("*").alias("numDocuments"),
+                                           F.sum("timestamp").alias("sumTimestamp"), F.count_if(F.col("levelId") == "7").alias("numRenamed"))
+    rest = documents.quarantined(rows).groupBy(F.col("reason").alias("outcome")).agg(F.count("*").alias("numDocuments"))
+    return good.unionByName(rest, allowMissingColumns=True)

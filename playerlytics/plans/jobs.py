@@ -14,10 +14,11 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions import time as T
 from ..functions.bounded import bounded_rows
-from ..operators import clean, ltv, profile, retention, rollup, segment
+from ..operators import clean, game_models, ltv, profile, retention, rollup, segment
 from ..session import scratch
 from ..sources import sinks, tables
-from ..sources.schemas import DAILY_TABLE, HOURLY_TABLE, MONTHLY_TABLE, RAW_TABLE, TABLE_PARTITIONS, TABLE_SCHEMAS
+from ..sources.schemas import DAILY_TABLE, HOURLY_TABLE, MONTHLY_TABLE, RAW_TABLE, STORE_PARTITIONS, TABLE_PARTITIONS, TABLE_SCHEMAS
+from ..sources.versions import PLAYER_SORT, Store, month_of_part, player_filters
 
 GRANULARITIES = ("daily", "monthly", "both")
 
@@ -27,6 +28,7 @@ class EnrichResult:
     tables: dict[str, str] = field(default_factory=dict)     # table name -> path
     counts: dict[str, int] = field(default_factory=dict)     # rows written this run (A20)
     previews: dict[str, DataFrame] = field(default_factory=dict)  # latest 15 rows (T1)
+    commit: int | None = None                                 # of a store
 
 
 def _months_of(df: DataFrame, months: T.MonthRange | None, period: str) -> DataFrame:
@@ -35,7 +37,7 @@ def _months_of(df: DataFrame, months: T.MonthRange | None, period: str) -> DataF
 
 def run_enrich(spark: SparkSession, events: DataFrame, out: str, months: T.MonthRange | None,
                granularity: str = "daily", driver: str = "levels", on_bad_timezone: str = "error",
-               overwrite: str = "period", write_raw: bool = True) -> EnrichResult:
+               overwrite: str = "period", write_raw: bool = True, publish: str = "in_place") -> EnrichResult:
     """Clean the events, roll them up and write the tables.
 
     ``months`` limits the behaviour events (None: all). ``granularity``: "daily" writes the hourly and daily rollups, "monthly" the monthly
@@ -45,6 +47,11 @@ def run_enrich(spark: SparkSession, events: DataFrame, out: str, months: T.Month
     run's months in the rollup tables, partitions that have no rows any more included;
     ``"dynamic"`` replaces only the partitions that this run has rows for.
 
+    ``publish="in_place"`` replaces one table after the other. ``"versions"`` makes ``out`` a store
+    (``sources.versions``): the tables are written beside the old ones and become visible together, in one commit,
+    after the last one; a run that stops before leaves all of them as they were. The readers of ``sources.tables``
+    take either. A store's tables are partitioned by date or month alone.
+
     The source is read once: the four cleaned families are written as one table (published
     with ``write_raw``, partitioned by (family, date)), and the rollups read it. Months
     without events give tables without rows.
@@ -53,7 +60,10 @@ def run_enrich(spark: SparkSession, events: DataFrame, out: str, months: T.Month
         raise ValueError(f"granularity must be one of {GRANULARITIES}")
     if overwrite not in ("period", "dynamic", "static"):
         raise ValueError("overwrite must be 'period', 'dynamic' or 'static'")
+    if publish not in ("in_place", "versions"):
+        raise ValueError("publish must be 'in_place' or 'versions'")
     res = EnrichResult()
+    run = Store(spark, out).begin() if publish == "versions" else None
 
     def own(work: str, name: str, df: DataFrame) -> DataFrame:
         """This run's rows of a table, written once."""
@@ -61,14 +71,27 @@ def run_enrich(spark: SparkSession, events: DataFrame, out: str, months: T.Month
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 
-    def publish(name: str, rows: DataFrame) -> None:
+    def stage(name: str, rows: DataFrame) -> None:
+        """A table of this run, in a version of its own."""
+        rows, columns = rows.select(*[F.col(f.name).cast(f.dataType) for f in TABLE_SCHEMAS[name].fields]), STORE_PARTITIONS[name]
+        if overwrite == "dynamic" or overwrite == "period" and name == RAW_TABLE:
+            run.replace_present(name, rows, columns, player_filters(), PLAYER_SORT)
+        else:
+            all_months = overwrite == "static" or months is None
+            scope = F.lit(True) if all_months else month_of_part().between(months.from_month, months.to_month)
+            run.replace(name, rows, columns, scope, player_filters(), PLAYER_SORT)
+
+    def put(name: str, rows: DataFrame) -> None:
         path = tables.table_path(out, name)
         partitions, schema = list(TABLE_PARTITIONS[name]), TABLE_SCHEMAS[name]
-        sinks.write_partitioned(rows, path, partitions, "static" if overwrite == "static" else "dynamic")
+        if run:
+            stage(name, rows)
+        else:
+            sinks.write_partitioned(rows, path, partitions, "static" if overwrite == "static" else "dynamic")
         res.tables[name] = path
         if name == RAW_TABLE:
             return
-        if overwrite == "period":
+        if overwrite == "period" and not run:
             kept = _months_of(tables.read_table(spark, path, schema), months, partitions[0])
             sinks.drop_stale_partitions(path, kept, rows.select(*[F.col(c).cast(schema[c].dataType) for c in partitions]), partitions)
         res.counts[name] = rows.count()
@@ -78,29 +101,33 @@ def run_enrich(spark: SparkSession, events: DataFrame, out: str, months: T.Month
     with scratch(spark, "enrich") as work:
         cleaned = own(work, RAW_TABLE, clean.clean_events(events, months, on_bad_timezone))
         if write_raw:
-            publish(RAW_TABLE, cleaned)
+            put(RAW_TABLE, cleaned)
         hourly = own(work, HOURLY_TABLE, rollup.hourly_rollup_from_clean(cleaned, months, driver))
         if granularity in ("daily", "both"):
-            publish(HOURLY_TABLE, hourly)
-            publish(DAILY_TABLE, own(work, DAILY_TABLE, rollup.daily_rollup(hourly)))
+            put(HOURLY_TABLE, hourly)
+            put(DAILY_TABLE, own(work, DAILY_TABLE, rollup.daily_rollup(hourly)))
         if granularity in ("monthly", "both"):
             # months straight from hours: the same sums as through days, one shuffle fewer
-            publish(MONTHLY_TABLE, own(work, MONTHLY_TABLE, rollup.monthly_rollup(hourly)))
+            put(MONTHLY_TABLE, own(work, MONTHLY_TABLE, rollup.monthly_rollup(hourly)))
+        if run:
+            res.commit = run.commit()
     return res
 
 
-def _features(spark: SparkSession, base: str, game_id: str, months: T.MonthRange,
+def _features(spark: SparkSession, base: str, game_id: str | None, months: T.MonthRange | None,
               granularity: str) -> DataFrame:
-    if not game_id:
-        raise ValueError("a model is fitted on one game: game_id is required")
+    if game_id == "":
+        raise ValueError("game_id must name a game (None: all games)")
     rollup_df = tables.read_rollup(spark, base, granularity)
     return tables.segmentation_input(rollup_df, granularity, game_id, months)
 
 
-def run_elbow(spark: SparkSession, base: str, game_id: str, months: T.MonthRange,
+def run_elbow(spark: SparkSession, base: str, game_id: str | None, months: T.MonthRange | None,
               k_from: int = segment.DEFAULT_ELBOW_K[0], k_to: int = segment.DEFAULT_ELBOW_K[1],
               granularity: str = "daily") -> DataFrame:
-    """Training cost for each k over one game's rollup rows."""
+    """Training cost for each k over one game's rollup rows (E2); without ``game_id`` of every game, in one plan."""
+    if game_id is None:
+        return game_models.elbow(_features(spark, base, None, months, granularity), k_from, k_to)
     return segment.elbow(_features(spark, base, game_id, months, granularity), k_from, k_to)
 
 
@@ -113,14 +140,22 @@ class SegmentationResult:
     profiles: dict[str, DataFrame]
 
 
-def run_segmentation(spark: SparkSession, base: str, game_id: str, months: T.MonthRange, k: int,
+def run_segmentation(spark: SparkSession, base: str, game_id: str | None, months: T.MonthRange | None, k: int,
                      model_out: str, clusters_out: str, granularity: str = "daily") -> SegmentationResult:
-    """Fit k-means, save the model and the labelled rows, return cluster profiles."""
+    """Fit k-means, save the model and the labelled rows, return cluster profiles.
+
+    Without ``game_id`` a model of every named game is fitted in one plan (``operators.game_models``), saved as a table.
+    """
     features = _features(spark, base, game_id, months, granularity)
-    model = segment.fit_segmentation(features, k)
-    sinks.save_model(model, model_out)
+    if game_id is None:
+        game_models.save_models(game_models.fit(features, [k])[0], model_out)
+        models = game_models.load_models(spark, model_out)
+        labelled, centers = game_models.label(features, models), game_models.centres(models)
+    else:
+        model = segment.fit_segmentation(features, k)
+        sinks.save_model(model, model_out)
+        labelled, centers = segment.vectors_as_arrays(segment.label(model, features)), segment.cluster_centers(model)
     period = tables.period_column(granularity)
-    labelled = segment.vectors_as_arrays(segment.label(model, features))
     sinks.write_partitioned(labelled, clusters_out, [period, "partOfDay"], "static")
     back = tables.read_clusters(spark, clusters_out, granularity)
     rows = tables.cluster_input(back, granularity, game_id, months)
@@ -133,11 +168,14 @@ def run_segmentation(spark: SparkSession, base: str, game_id: str, months: T.Mon
         "organic": profile.organic_users(rows),
         "sample": profile.cluster_sample(rows),
     }
-    return SegmentationResult(model_out, clusters_out, segment.cluster_centers(model), back, profiles)
+    return SegmentationResult(model_out, clusters_out, centers, back, profiles)
 
 
-def run_projection(spark: SparkSession, clusters_path: str, k: int = 2) -> DataFrame:
-    """PCA of the stored cluster table: ``points`` and ``cluster`` of each row."""
+def run_projection(spark: SparkSession, clusters_path: str, k: int = 2, by_game: bool = False) -> DataFrame:
+    """PCA of the stored cluster table: ``points`` and ``cluster`` of each row (M9, M10); ``by_game``: of each game's own
+    features, with its gameId."""
+    if by_game:
+        return game_models.pca_points(tables.read_clusters(spark, clusters_path, "daily"), k)
     return segment.pca_points(tables.read_clusters(spark, clusters_path), k)
 
 

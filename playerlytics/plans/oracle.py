@@ -658,3 +658,23 @@ _q("raw_family_roundtrip", "\nUNION ALL\n".join(
 ORACLE["job_retention"] = "SELECT * FROM (\n" + ORACLE["retention_points_idle3"] + f"\n) p WHERE {_GAME}"
 ORACLE["job_ltv_daily"] = ORACLE["ltv_points_daily_by_cluster"]
 ORACLE["job_cluster_profile"] = ORACLE["cluster_feature_summary"]
+ORACLE["job_enrich_monthly"] = ORACLE["src_monthly_rollup"]
+ORACLE["job_ltv_monthly"] = ORACLE["ltv_points_monthly"]
+ORACLE["incremental_daily"] = ORACLE["sink_roundtrip"]
+ORACLE["incremental_monthly"] = ORACLE["src_monthly_rollup"]
+ORACLE["incremental_retention"] = ORACLE["retention_stored_idle3"] = ORACLE["retention_points_idle3"]
+ORACLE["retention_stored"] = ORACLE["retention_points"]
+ORACLE["retention_stored_full_horizon"] = ORACLE["retention_points_full_horizon"]
+ORACLE["retention_stored_signup"] = ORACLE["retention_points_signup"]
+ORACLE["bitmap_cluster_users"] = ORACLE["cluster_users"]
+ORACLE["bitmap_new_users"] = ORACLE["retention_new_users"]
+_qa("bitmap_monthly_users", """
+SELECT gameId, strftime(date, '%Y%m') AS codMonth, count(DISTINCT userId) AS numberOfUsers FROM clusters GROUP BY ALL""")
+_q("documents_by_reason", """
+SELECT CASE WHEN eventId % 17 = 0 THEN 'not JSON' WHEN eventId % 29 = 0 THEN 'not an object' WHEN eventId % 13 = 0 THEN 'type of amount'
+            WHEN eventId % 19 = 0 THEN 'missing timestamp' WHEN eventId % 23 = 0 THEN 'type of userId'
+            WHEN eventId % 31 = 0 THEN 'type of timestamp' ELSE 'good' END AS outcome,
+  count(*) AS numDocuments,
+  CAST(CASE WHEN outcome = 'good' THEN sum("timestamp") END AS BIGINT) AS sumTimestamp,
+  CASE WHEN outcome = 'good' THEN count(*) FILTER (WHERE eventId % 11 = 0) END AS numRenamed
+FROM raw_events GROUP BY outcome""")

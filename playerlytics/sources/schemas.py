@@ -98,3 +98,5 @@ TABLE_SCHEMAS = {RAW_TABLE: RAW_SCHEMA, HOURLY_TABLE: HOURLY_ROLLUP_SCHEMA, DAIL
                  MONTHLY_TABLE: MONTHLY_ROLLUP_SCHEMA}
 GRANULARITY_TABLE = {"daily": (DAILY_TABLE, "date", DAILY_ROLLUP_SCHEMA),
                      "monthly": (MONTHLY_TABLE, "codMonth", MONTHLY_ROLLUP_SCHEMA)}
+# Partition columns in a store (``sources.versions``): dates and months, whatever the number of hours in them.
+STORE_PARTITIONS = {RAW_TABLE: ("family", "date"), HOURLY_TABLE: ("date",), DAILY_TABLE: ("date",), MONTHLY_TABLE: ("codMonth",)}

@@ -15,6 +15,8 @@ from pyspark.sql.types import StructType
 
 from ..functions import time as T
 from .schemas import GRANULARITY_TABLE, RAW_TABLE, TABLE_SCHEMAS, cluster_schema
+from .versions import Store
+
 
 def table_path(base: str, table: str) -> str:
     return f"{base.rstrip('/')}/{table}"
@@ -25,6 +27,12 @@ def read_table(spark: SparkSession, path: str, schema: StructType | None = None)
     return (spark.read.schema(schema) if schema is not None else spark.read).parquet(path)
 
 
+def read_published(spark: SparkSession, base: str, table: str, schema: StructType) -> DataFrame:
+    """A table under ``base``: of the latest commit where ``base`` is a store (``versions``), else the plain folder."""
+    store = Store(spark, base)
+    return store.read(table, schema) if store.exists() else read_table(spark, table_path(base, table), schema)
+
+
 def read_clusters(spark: SparkSession, path: str, granularity: str | None = None) -> DataFrame:
     """A segmentation's labelled rows; ``granularity`` declares their schema (needed where there may be no rows)."""
     return read_table(spark, path, cluster_schema(period_column(granularity)) if granularity else None)
@@ -33,13 +41,13 @@ def read_clusters(spark: SparkSession, path: str, granularity: str | None = None
 def read_rollup(spark: SparkSession, base: str, granularity: str = "daily") -> DataFrame:
     """Daily or monthly rollup table under ``base``, read with its declared schema."""
     table, _, schema = GRANULARITY_TABLE[granularity]
-    return spark.read.schema(schema).parquet(table_path(base, table))
+    return read_published(spark, base, table, schema)
 
 
 def read_raw_family(spark: SparkSession, base: str, family: str) -> DataFrame:
     """One cleaned family from the raw table (prunes the ``family`` partition)."""
     from ..operators.clean import family_rows
-    return family_rows(read_table(spark, table_path(base, RAW_TABLE), TABLE_SCHEMAS[RAW_TABLE]), family)
+    return family_rows(read_published(spark, base, RAW_TABLE, TABLE_SCHEMAS[RAW_TABLE]), family)
 
 
 def read_raw_players(spark: SparkSession, base: str) -> DataFrame:

@@ -150,12 +150,10 @@ def test_scratch_is_deleted(spark, tmp_path):
     assert not list(base.glob("scratch-enrich-*"))
 
 
-def test_a_model_needs_a_game(spark, enriched, tmp_path):
+def test_a_game_must_be_named_or_none(spark, enriched):
     out, _ = enriched
     with pytest.raises(ValueError):
-        jobs.run_elbow(spark, out, None, T.MonthRange.one("202401"), 2, 3)
-    with pytest.raises(ValueError):
-        jobs.run_segmentation(spark, out, None, T.MonthRange.one("202401"), 2, str(tmp_path / "m"), str(tmp_path / "c"))
+        jobs.run_elbow(spark, out, "", T.MonthRange.one("202401"), 2, 3)
 
 
 def test_projection_of_the_stored_clusters(spark, enriched, tmp_path):
