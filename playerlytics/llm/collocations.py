@@ -35,9 +35,11 @@ from .tables import release_memory, stored, string_buffers, text_steps
 #: Words of the longest phrase; a window has as many.
 LONGEST = 5
 #: Entries of a container that bursts, entries that a task holds before it spills, entries merged in one task.
-BURST, HELD, MERGED = 20_000, 500_000, 1_000_000
+BURST, HELD, MERGED = 20_000, 250_000, 1_000_000
 #: Bytes of spilled runs that a task keeps to merge them.
-SPILLED = 64 << 20
+SPILLED = 16 << 20
+#: Bytes of text whose words are taken at once.
+STEP = 2 << 20
 #: Bits of the filter of frequent words, at most (32 MB), and its least bits.
 MOST_BITS, LEAST_BITS = 1 << 28, 1 << 20
 _SHIFTS = (0, 18, 36)
@@ -70,7 +72,7 @@ def word_ids(distinct: pa.Array, lang: str, seed: int) -> np.ndarray:
 def by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array]]:
     """Steps of texts of one language (columns lang, text; no nulls)."""
     for batch in batches:
-        for part in text_steps(batch, "text", 8 << 20):
+        for part in text_steps(batch, "text", STEP):
             langs = part.column("lang").dictionary_encode()
             for code, lang in enumerate(langs.dictionary.to_pylist()):
                 yield lang, part.column("text").filter(pa.array(np.asarray(langs.indices) == code))
@@ -382,7 +384,7 @@ def phrase_counts(docs: DataFrame, least: int, parts: int | None = None, held: i
                   merge: int = MERGED) -> tuple[DataFrame, DataFrame]:
     """Phrases of one to five words that occur ``least`` times or more (lang, phrase as an array of words, n), and
     all words (lang, word, id, n), both stored. ``docs`` has the columns lang and text without nulls."""
-    parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts, seed = counted_words(docs)
     frequent = counts.where(F.col("n") >= least)
     runs = stored(spilled_runs(docs, word_filter(frequent), seed, parts, held, burst), "runs")
