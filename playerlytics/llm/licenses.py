@@ -1,8 +1,8 @@
 """License scan by ordered signature rules.
 
 Every rule is a regular expression over the lower-cased text, gated by a keyword that any text it
-matches must hold; a text is only searched for rules whose keyword it holds. Detections are
-resolved by priority: a detection that lies within one of higher priority (or as high and longer)
+matches must hold; a text is only searched for rules whose keyword it holds. License expressions behind an
+identifier tag give a detection for each identifier. Detections are resolved by priority: a detection that lies within one of higher priority (or as high and longer)
 is suppressed. Three base phrases are always reported, whatever else is detected around them.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -17,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .license_texts import EXCEPTIONS, IDENTIFIERS, SENTENCES, TITLES
 from .pii import WORD_BYTES
 from .tables import text_steps
 
@@ -29,6 +31,7 @@ BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved"
 LICENSES = (
     ("mit", "mit", r"mit"),
     ("apache-1.1", "apache", r"apache(?: software)? license v(?:ersion)? ?1 1"),
+    ("bsd", "bsd", r"bsd(?: style)?"),
     ("apache-2.0", "apache", r"apache(?: software)?(?: license)?(?: v| version)? ?2(?: 0)?"),
     ("bsd-2-clause", "bsd", r"(?:simplified|freebsd|2 clause|two clause) bsd"),
     ("bsd-3-clause", "bsd", r"(?:new|modified|revised|3 clause|three clause) bsd"),
@@ -41,6 +44,8 @@ LICENSES = (
     ("lgpl-2.1", "lgpl", r"(?:gnu )?lgpl ?v?2 1"),
     ("lgpl-3.0", "lgpl", r"(?:gnu )?lgpl ?v?3"),
     ("lgpl", "lesser general", r"(?:gnu )?lesser general public license"),
+    ("lgpl-2.1", "lesser general", r"(?:gnu )?lesser general public license(?: v(?:ersion)?)? ?2 1"),
+    ("lgpl-3.0", "lesser general", r"(?:gnu )?lesser general public license(?: v(?:ersion)?)? ?3(?: 0)?"),
     ("agpl-3.0", "affero", r"(?:gnu )?affero general public license"),
     ("mpl-1.1", "mozilla", r"mozilla public license v(?:ersion)? ?1 1"),
     ("mpl-2.0", "mozilla", r"mozilla public license v(?:ersion)? ?2 0"),
@@ -55,7 +60,7 @@ LICENSES = (
     ("unlicense", "unlicense", r"unlicense"),
     ("wtfpl", "what the", r"do what the f\w+ you want to public license"),
     ("artistic-1.0", "artistic", r"(?:perl )?artistic license 1 0"),
-    ("artistic-2.0", "artistic", r"artistic license 2 0"),
+    ("artistic-2.0", "artistic", r"artistic license(?: v(?:ersion)?)? ?2(?: 0)?"),
     ("python-2.0", "python", r"python software foundation license"),
     ("php-3.01", "php", r"php license(?: version)? ?3 01"),
     ("postgresql", "postgresql", r"postgresql"),
@@ -135,22 +140,53 @@ def _compiled(phrase: str) -> re.Pattern:
     return re.compile(f"(?<![{WORD}])(?:{between})(?![{WORD}])")
 
 
-def rules() -> list[Rule]:
-    """All signature rules in order: every license in every form, its identifier, and the notices."""
+@lru_cache(maxsize=1)
+def rules() -> tuple[Rule, ...]:
+    """All signature rules in order: every license in every form, titles, exceptions, sentences of texts, and notices."""
     out = []
     for i, (label, keyword, name) in enumerate(LICENSES):
         out += [Rule(f"{form}:{label}:{i}", label, keyword.split(" ")[0], _compiled(phrase.format(f"(?:{name})")), priority, weight)
                 for form, phrase, priority, weight in FORMS]
-    for label in sorted({x[0] for x in LICENSES}):
-        words = re.sub("[^0-9a-z]+", " ", label)
-        out.append(Rule(f"identifier:{label}", label, "spdx", _compiled(f"spdx license identifier {words}(?: only| or later)?"), 100, 1.0))
-    return out + [Rule(f"notice:{i}", label, keyword.split(" ")[0], _compiled(phrase), priority, weight)
-                  for i, (label, keyword, phrase, priority, weight) in enumerate(NOTICES)]
+    out += [Rule(f"title:{label}:{i}", label, keyword, _compiled(phrase), 68, 0.8) for i, (label, keyword, phrase) in enumerate(TITLES)]
+    out += [Rule(f"exception:{label}:{i}", label, keyword, _compiled(phrase), 94, 0.9) for i, (label, keyword, phrase) in enumerate(EXCEPTIONS)]
+    out += [Rule(f"sentence:{label}:{i}", label, keyword, _compiled(phrase), priority, weight)
+            for i, (label, keyword, phrase, priority, weight) in enumerate(SENTENCES)]
+    out += [Rule(f"notice:{i}", label, keyword.split(" ")[0], _compiled(phrase), priority, weight)
+            for i, (label, keyword, phrase, priority, weight) in enumerate(NOTICES)]
+    return tuple(out)
 
 
 #: Every match of a rule holds one of these; a text without them is not searched further.
 GATES = ("licen", "copyright", "permission", "rights", "public", "redistribut", "spdx", "creative", "cc", "gpl", "proprietary",
-         "software", "copy", "under", "subject", "governed", "accordance", "compliance", "terms", "conditions", "provisions", "text")
+         "software", "exception", "liable", "warrant", "apache", "cecill", "mulan", "bsd", "altered", "attribution", "deriv", "enhancements",
+         "functionality", "loss", "machine", "agreement", "neither", "remotely", "reserved", "trade", "unauthorized", "grant", "distribut", "copy", "under", "subject", "governed", "accordance", "compliance", "terms", "conditions", "provisions", "text")
+
+
+_TAG = re.compile(f"(?<![{WORD}])spdx[ -]license[ -]identifier[ \\t]*[:=]?[ \\t]*")
+_TOKEN = re.compile(r"[ \t()]*([0-9a-z][0-9a-z.+-]*)")
+
+
+def expressions(low: str) -> list[dict]:
+    """A detection per identifier of each license expression, up to the first word that is neither known nor an operator.
+
+    "x-only" counts as x, "x+" as "x-or-later"; what follows "with" is an exception under its own name.
+    """
+    found = []
+    for tag in _TAG.finditer(low):
+        at, exception = tag.end(), False
+        while m := _TOKEN.match(low, at):
+            word, at = m[1].rstrip("."), m.end()
+            if word in ("and", "or"):
+                continue
+            if word == "with":
+                exception = True
+                continue
+            name = word.removesuffix("-only") if not word.endswith("+") else word[:-1] + "-or-later"
+            if not exception and name.removesuffix("-or-later") not in IDENTIFIERS:
+                break
+            found.append({"rule": "expression", "label": name, "start": m.start(1), "end": m.start(1) + len(word), "priority": 100, "weight": 1.0})
+            exception = False
+    return found
 
 
 class Scanner:
@@ -164,6 +200,8 @@ class Scanner:
         """Detections of a lower-cased text: base places, and rules that are not suppressed, by start."""
         found = [{"rule": "base", "label": label, "start": m.start(), "end": m.end(), "priority": 50, "weight": 0.6}
                  for label, words, pattern in self.base if all(w in low for w in words) for m in pattern.finditer(low)]
+        if "spdx" in low:
+            found += expressions(low)
         for keyword, held in self.by_keyword.items():
             if keyword in low:
                 found += [{"rule": r.name, "label": r.label, "start": m.start(), "end": m.end(), "priority": r.priority,

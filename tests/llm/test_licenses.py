@@ -65,8 +65,54 @@ def test_known_texts(text, labels):
     assert {d["label"] for d in SCANNER.find(low(text))} == labels
 
 
+@pytest.mark.parametrize("text, wanted, absent", [
+    ("GNU Lesser General Public License, version 2.1", {"lgpl-2.1"}, {"lgpl", "gpl-2.0"}),
+    ("licensed under the GNU Lesser General Public License v3.0", {"lgpl-3.0"}, {"lgpl", "gpl-3.0"}),
+    ("Licensed under the Artistic License, Version 2.0", {"artistic-2.0"}, {"artistic-1.0"}),
+    ("licensed under the BSD License", {"bsd"}, set()),
+    ("under the 3-clause BSD license", {"bsd-3-clause"}, {"bsd"}),
+    ("Elastic License 2.0", {"elastic-2.0"}, set()),
+    ("Business Source License 1.1", {"busl-1.1"}, set()),
+    ("the Server Side Public License", {"sspl-1.0"}, set()),
+    ("Eclipse Distribution License - v 1.0", {"edl-1.0"}, {"epl-1.0"}),
+    ("THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF "
+     "MERCHANTABILITY", {"mit"}, {"isc", "zlib"}),
+    ("SPDX-License-Identifier: MIT OR Apache-2.0", {"mit", "apache-2.0"}, set()),
+    ("/* SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note) OR BSD-3-Clause-Clear */",
+     {"gpl-2.0", "linux-syscall-note", "bsd-3-clause-clear"}, {"bsd-3-clause"}),
+    ("SPDX-License-Identifier: LGPL-2.1+ AND GPL-3.0-or-later.", {"lgpl-2.1-or-later", "gpl-3.0-or-later"}, {"lgpl-2.1", "gpl-3.0"}),
+    ("SPDX-License-Identifier: nothing or mit", set(), {"mit"}),
+    ("BSD-3-Clause-Clear License", {"bsd-3-clause-clear"}, {"bsd-3-clause"}),
+    ("GNU General Public License version 2 or (at your option) any later version", {"gpl-2.0-or-later"}, {"gpl-2.0"}),
+    ("GNU General Public License, version 2 only", {"gpl-2.0"}, {"gpl-2.0-or-later"}),
+    ("GNU General Public License v2 with the Classpath exception", {"gpl-2.0", "classpath-exception-2.0"}, set()),
+    ("Redistributions in binary form must reproduce the above copyright notice", {"bsd"}, {"mit"}),
+    ("You should have received a copy of the GNU Affero General Public License along with this program", {"agpl-3.0"}, {"lgpl"}),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", {"cc-by-sa"}, {"cc-by"}),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose", {"isc"}, {"mit"}),
+    ("the origin of this software must not be misrepresented; you must not claim that you wrote the original software", {"zlib"}, {"mit"}),
+    ("the licensee may sit on the bench of the public library", set(), {"mit", "gpl", "lgpl", "bsd"})])
+def test_titles_sentences_and_expressions(text, wanted, absent):
+    labels = {d["label"] for d in SCANNER.find(low(text))}
+    assert wanted <= labels and not absent & labels
+
+
+@pytest.mark.parametrize("rule", [r for r in licenses.rules() if r.name.split(":")[0] in ("title", "exception", "sentence")], ids=lambda r: r.name)
+def test_every_signature_has_a_match_and_a_near_miss(rule):
+    """Its plainest spelling is found with its label; with a word of it gone, the rule itself finds nothing."""
+    texts = sorted((t for t in spellings(rule.pattern) if rule.pattern.fullmatch(t)), key=len)
+    assert texts
+    words = texts[0].split()
+    assert any(d["label"].startswith(rule.label.split("-")[0]) for d in SCANNER.find(texts[0]))
+    if len(words) > 2:
+        assert not rule.pattern.search(" ".join(words[:1] + words[2:])) or "?" in rule.pattern.pattern
+    assert not rule.pattern.search(" ".join(words[:-1] + ["x" + words[-1]]))
+    assert not rule.pattern.search("x" + " ".join(words)) and any(g in texts[0] for g in licenses.GATES)
+
+
 def test_there_are_hundreds_of_rules():
-    assert len(licenses.rules()) > 300
+    assert len(licenses.rules()) > 450
+    assert len([r for r in licenses.rules() if r.name.split(":")[0] in ("title", "exception", "sentence", "notice")]) > 180
 
 
 def test_operator_and_summary(spark):
