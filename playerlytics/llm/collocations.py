@@ -3,7 +3,9 @@
 Texts are split into pieces and words; all counts are per language. A phrase of two to ``longest``
 words is a prefix of the window (that many words, cut at the piece's end) at each of its places, so
 counting windows counts all phrases. Words rarer than ``least`` end a window, as no phrase that holds one can
-be a candidate; tasks test words against a Bloom filter of bounded size, whose false hits only cost time.
+be a candidate; tasks test words against a Bloom filter of bounded size, whose false hits only cost time. So do
+pairs and then triples of words: their hashes are counted in buckets, in proportion to the places, and those
+of a bucket that holds fewer than ``least`` places are rarer themselves.
 
 A task counts windows in a HAT-trie: a shallow trie on word ids (first, then second word) whose
 leaves are hash containers from the rest of the window to its count. A container that grows too
@@ -19,12 +21,13 @@ Word ids are 64-bit hashes per language; that no two words share one is checked.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +46,10 @@ STEP = 2 << 20
 #: Bits of the filter of frequent words, at most (32 MB), and its least bits.
 MOST_BITS, LEAST_BITS = 1 << 28, 1 << 20
 _SHIFTS = (0, 18, 36)
+#: Words of the phrases that end a window where they are rare.
+CUTS = (2, 3)
+#: Places of a bucket on average, places that a task holds before it sends them, buckets added up in one task.
+LOAD, PLACES, BUCKETS = 8, 2_000_000, 1 << 21
 
 _TO_WORDS = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -126,17 +133,45 @@ def passes(ids: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return hit
 
 
-def windows(ids: np.ndarray, piece: np.ndarray) -> np.ndarray:
-    """A row per place where a phrase starts: its ids, zeros after the end of the piece or before an id 0."""
+def windows(ids: np.ndarray, piece: np.ndarray, cuts: Sequence[tuple[int, int, np.ndarray]] = ()) -> np.ndarray:
+    """A row per place where a phrase starts: its ids, zeros after the end of the piece, before an id 0, or before the
+    last word of a phrase that ``cuts`` holds to be rare (words, bits of a bucket, filter of the frequent buckets)."""
     out = np.zeros((len(ids), LONGEST), np.uint64)
     out[:, 0] = ids
     alive = ids != 0
+    known = [(k, _frequent_starts(ids, piece, k, bits, seen)) for k, bits, seen in cuts]
     for k in range(1, min(LONGEST, len(ids))):
         alive = alive[:-1] & (piece[k:] == piece[:-k]) & (ids[k:] != 0)
+        for words_, starts in known:
+            if words_ <= k + 1:  # the phrase that ends with the word k places on
+                alive &= starts[k + 1 - words_:][:len(alive)]
         out[:-k, k] = np.where(alive, ids[k:], 0)
     return out[(out[:, 0] != 0) & (out[:, 1] != 0)]
 
 
+def buckets(rows: np.ndarray, bits: int) -> np.ndarray:
+    """The bucket, one of 2 ** ``bits``, of each row of ids."""
+    return _mixed(rows) >> np.uint64(64 - bits)
+
+
+def bucket_ids(at: np.ndarray) -> np.ndarray:
+    """Buckets as ids for ``word_filter``."""
+    return _mixed(at.astype(np.uint64)[:, None])
+
+
+def _frequent_starts(ids: np.ndarray, piece: np.ndarray, k: int, bits: int, seen: np.ndarray) -> np.ndarray:
+    """Whether the ``k`` words from each place (all in one piece) may be a frequent phrase."""
+    out = np.zeros(len(ids), bool)
+    n = len(ids) - k + 1
+    if n > 0:
+        whole = piece[k - 1:] == piece[:n]
+        for i in range(k):
+            whole &= ids[i:n + i] != 0
+        at = np.flatnonzero(whole)
+        out[at] = passes(bucket_ids(buckets(np.stack([ids[at + i] for i in range(k)], axis=1), bits)), seen)
+    return out
+
+
 class HatTrie:
     """Counts windows: first word -> container, or a burst node: second word -> container.
 
@@ -288,12 +323,90 @@ def _run_batch(found: list[tuple[str, int, int, int, bytes]]) -> pa.RecordBatch:
     return pa.record_batch({n: pa.array([f[i] for f in found], k) for i, (n, k) in enumerate(zip(names, kinds))})
 
 
-def spilled_runs(docs: DataFrame, bits: np.ndarray, seed: int, parts: int, held: int = HELD, burst: int = BURST) -> DataFrame:
+def sent_filter(docs: DataFrame, bits: np.ndarray) -> Broadcast:
+    return docs.sparkSession.sparkContext.broadcast(bits.tobytes())  # MOST_BITS / 8 bytes at most
+
+
+def _kept_cuts(cuts: Sequence[tuple[int, int, Broadcast]]) -> list[tuple[int, int, np.ndarray]]:
+    return [(k, bits, np.frombuffer(sent.value, np.uint8)) for k, bits, sent in cuts]
+
+
+def packed_buckets(at: np.ndarray) -> bytes:
+    """Buckets, in any order, as the gaps between the distinct ones in order and their counts less 1 (bytes apart)."""
+    distinct, n = np.unique(at, return_counts=True)
+    numbers = np.stack([np.diff(distinct, prepend=np.uint64(0)).astype("<u4"), (n - 1).astype("<u4")])
+    planes = np.ascontiguousarray(numbers.view(np.uint8).reshape(2, len(distinct), 4).transpose(0, 2, 1))
+    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
+
+
+def opened_buckets(run: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a run and their counts."""
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(run), np.uint8).reshape(2, 4, -1)
+    gaps, n = np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<u4")[:, :, 0].astype(np.int64)
+    return np.cumsum(gaps), n + 1
+
+
+def frequent_buckets(docs: DataFrame, sent: Broadcast, seed: int, cuts: Sequence[tuple[int, int, Broadcast]], k: int, bits: int,
+                     least: int, parts: int, places: int = PLACES) -> DataFrame:
+    """id (``bucket_ids``) and n of the buckets in which at least ``least`` phrases of ``k`` words lie; a bucket's phrases may differ."""
+    width = max(1, min(bits, BUCKETS.bit_length() - 1, bits - (parts - 1).bit_length()))  # bits of a bucket within its part
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, own = np.frombuffer(sent.value, np.uint8), _kept_cuts(cuts)
+        held: list[np.ndarray] = []
+
+        def packed() -> pa.RecordBatch:
+            at = np.sort(np.concatenate(held))
+            held.clear()
+            part = (at >> np.uint64(width)).astype(np.int64)
+            starts = np.flatnonzero(np.diff(part, prepend=-1))
+            runs = [packed_buckets(x & np.uint64((1 << width) - 1)) for x in np.split(at, starts[1:])]
+            return pa.record_batch({"part": pa.array(part[starts].astype(np.int32)), "run": pa.array(runs, pa.binary())})
+
+        for lang, texts in by_language(batches):
+            codes, piece, distinct = words(texts)
+            if not len(codes):
+                continue
+            ids = word_ids(distinct, lang, seed)
+            ids[~passes(ids, seen)] = 0
+            rows = windows(ids[codes], piece, own)
+            held.append(buckets(rows[rows[:, k - 1] != 0, :k], bits))
+            if sum(map(len, held)) > places:
+                yield packed()
+        if sum(map(len, held)):
+            yield packed()
+        release_memory()
+
+    def added(key: tuple, table: pa.Table) -> pa.Table:
+        total = np.zeros(1 << width, np.int64)
+        for packed in table.column("run").to_pylist():
+            at, n = opened_buckets(packed)
+            total[at] += n
+        at = np.flatnonzero(total >= least)
+        ids = bucket_ids(at + (key[0].as_py() << width))
+        return pa.table({"id": pa.array(ids.view(np.int64)), "n": pa.array(total[at])})
+
+    return docs.mapInArrow(run, "part int, run binary").groupBy("part").applyInArrow(added, "id long, n long")
+
+
+def rare_cuts(docs: DataFrame, sent: Broadcast, seed: int, places: int, least: int, parts: int) -> list[tuple[int, int, Broadcast]]:
+    """The ``cuts`` of ``windows``, filters sent to the tasks, for texts with ``places`` frequent words."""
+    cuts: list[tuple[int, int, Broadcast]] = []
+    for k in CUTS:
+        bits = min(48, max(12, (places // LOAD).bit_length()))
+        found = stored(frequent_buckets(docs, sent, seed, cuts, k, bits, least, parts), f"buckets-{k}")
+        cuts.append((k, bits, docs.sparkSession.sparkContext.broadcast(word_filter(found).tobytes())))
+        places = bounded_rows(found.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")), 1)[0].n
+    return cuts
+
+
+def spilled_runs(docs: DataFrame, bits: np.ndarray | Broadcast, seed: int, parts: int, held: int = HELD, burst: int = BURST,
+                 cuts: Sequence[tuple[int, int, Broadcast]] = ()) -> DataFrame:
     """The sorted runs of all tasks' HAT-tries: lang, part (prefix partition), split (0), entries, run."""
-    sent = docs.sparkSession.sparkContext.broadcast(bits.tobytes())  # MOST_BITS / 8 bytes at most
+    sent = sent_filter(docs, bits) if isinstance(bits, np.ndarray) else bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.frombuffer(sent.value, np.uint8)
+        seen, own = np.frombuffer(sent.value, np.uint8), _kept_cuts(cuts)
         tries: dict[str, HatTrie] = {}
         spilled: dict[tuple[str, int], list[bytes]] = {}
 
@@ -317,7 +430,7 @@ def spilled_runs(docs: DataFrame, bits: np.ndarray, seed: int, parts: int, held:
                 continue
             ids = word_ids(distinct, lang, seed)
             ids[~passes(ids, seen)] = 0
-            rows = windows(ids[codes], piece)
+            rows = windows(ids[codes], piece, own)
             for at in range(0, len(rows), held // 2):
                 tries.setdefault(lang, HatTrie(burst)).add(rows[at:at + held // 2])
                 while sum(t.entries() for t in tries.values()) > held:
@@ -387,7 +500,10 @@ def phrase_counts(docs: DataFrame, least: int, parts: int | None = None, held: i
     parts = parts or 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts, seed = counted_words(docs)
     frequent = counts.where(F.col("n") >= least)
-    runs = stored(spilled_runs(docs, word_filter(frequent), seed, parts, held, burst), "runs")
+    sent = sent_filter(docs, word_filter(frequent))
+    places = bounded_rows(frequent.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")), 1)[0].n
+    cuts = rare_cuts(docs, sent, seed, places, least, parts)
+    runs = stored(spilled_runs(docs, sent, seed, parts, held, burst, cuts), "runs")
     partial = merged_runs(split_runs(runs, merge), least)
     phrases = stored(partial.groupBy("lang", "ids").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "phrase-ids")
     spelled = (phrases.select("lang", "ids", "n", F.posexplode("ids").alias("at", "id"))

@@ -136,6 +136,52 @@ def test_words_and_windows():
     assert w.tolist() == [[1, 2, 3, 0, 0], [2, 3, 0, 0, 0], [4, 5, 0, 0, 0]]
 
 
+def test_rare_pairs_and_triples_make_no_runs(spark, monkeypatch):
+    """Frequent words in rare pairs, and frequent pairs in rare triples, are not spilled; the counts stay whole."""
+    rng, entries, stored = random.Random(8), {}, C.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        if name == "runs":
+            entries[name] = out.agg(F.sum("entries")).first()[0]
+        return out
+
+    monkeypatch.setattr(C, "stored", counted)
+    rows = [("en", " ".join(f"w{rng.randint(0, 300)}" for _ in range(30)) + ". p q r s") for _ in range(400)]
+    rows += [("en", f"a b w{i}. w{i} a b") for i in range(300)]
+    assert found(spark, rows, 20) == brute(rows, 20)
+    assert entries["runs"] < 100  # of 12,000 windows and more
+
+
+def test_buckets_have_no_false_misses(spark):
+    rows = some_rows(3)
+    docs = table(spark, rows).select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    counts, seed = C.counted_words(docs)
+    sent = C.sent_filter(docs, C.word_filter(counts))
+    for k, least, parts, places in ((2, 6, 4, 50), (3, 4, 1, 10 ** 6)):
+        have = {r.id: r.n for r in C.frequent_buckets(docs, sent, seed, [], k, 14, least, parts, places).toLocalIterator()}
+        words_of = {(r.lang, r.word): r.id for r in counts.toLocalIterator()}
+        want = Counter()
+        for lang, text in rows:
+            for w in pieces_of(text):
+                ids = np.array([words_of["und" if lang is None else lang, x] for x in w], np.int64).view(np.uint64)
+                for i in range(len(w) - k + 1):
+                    want[int(C.bucket_ids(C.buckets(ids[None, i:i + k], 14)).view(np.int64)[0])] += 1
+        assert have and have == {b: n for b, n in want.items() if n >= least}
+
+
+def test_windows_end_at_rare_phrases():
+    ids, piece = np.arange(1, 7, dtype=np.uint64), np.zeros(6, int)
+    bits = np.full(1 << 10, 255, np.uint8)
+    whole = C.windows(ids, piece)
+    assert C.windows(ids, piece, [(2, 40, bits), (3, 40, bits)]).tolist() == whole.tolist()
+    assert not len(C.windows(ids, piece, [(2, 40, bits * 0)]))
+    assert C.windows(ids, piece, [(3, 40, bits * 0)]).tolist() == [[i, i + 1, 0, 0, 0] for i in range(1, 6)]
+    assert C.windows(ids[:2], piece[:2], [(2, 40, bits), (3, 40, bits * 0)]).tolist() == [[1, 2, 0, 0, 0]]
+    back, n = C.opened_buckets(C.packed_buckets(np.array([7, 3, 7, 70_000, 7], np.uint64)))
+    assert back.tolist() == [3, 7, 70_000] and n.tolist() == [1, 3, 1]
+
+
 def test_filter_has_no_false_misses(spark):
     ids = np.random.default_rng(0).integers(-2 ** 63, 2 ** 63, 5000)
     bits = C.word_filter(spark.createDataFrame([(int(i),) for i in ids], "id long"))
