@@ -125,14 +125,17 @@ def apply_events(spark: SparkSession, events: DataFrame, base: str, files: DataF
             run.append(RAW_TABLE, cleaned.select(*TABLE_SCHEMAS[RAW_TABLE].names), STORE_PARTITIONS[RAW_TABLE])
         touched = sorted([*dates, *late])
         if touched:
-            stored_rows = store.read(STATE_TABLE, STATE_SCHEMA, parts=_dates_in(touched))
-            state = own("state", rollup.merged_hours(stored_rows.unionByName(delta.select(*STATE_SCHEMA.names))))
-            run.replace(STATE_TABLE, state.where(F.col("date").isin(dates)) if late else state, ("date",), _dates_in(dates))
+            # hours of late dates are merged already; each table is read from the folder that the run wrote it to
+            state = store.read(STATE_TABLE, STATE_SCHEMA, parts=_dates_in(late))
+            if dates:
+                stored_rows = store.read(STATE_TABLE, STATE_SCHEMA, parts=_dates_in(dates))
+                merged = rollup.merged_hours(stored_rows.unionByName(delta.select(*STATE_SCHEMA.names)))
+                state = state.unionByName(run.replace(STATE_TABLE, merged, ("date",), _dates_in(dates)))
             registry = merged_players(before.unionByName(delta_players.select(*before.columns)))
-            hourly = own("hourly", rollup.hourly_from_state(state, registry.where("flagOrganic IS NOT NULL")))
-            daily = own("daily", rollup.daily_rollup(hourly))
-            run.replace(HOURLY_TABLE, hourly.select(*TABLE_SCHEMAS[HOURLY_TABLE].names), ("date",), _dates_in(touched), player_filters(), PLAYER_SORT)
-            run.replace(DAILY_TABLE, daily.select(*TABLE_SCHEMAS[DAILY_TABLE].names), ("date",), _dates_in(touched), player_filters(), PLAYER_SORT)
+            hourly = rollup.hourly_from_state(state, registry.where("flagOrganic IS NOT NULL"))
+            hourly = run.replace(HOURLY_TABLE, hourly.select(*TABLE_SCHEMAS[HOURLY_TABLE].names), ("date",), _dates_in(touched), player_filters(), PLAYER_SORT)
+            daily = rollup.daily_rollup(hourly).select(*TABLE_SCHEMAS[DAILY_TABLE].names)
+            daily = run.replace(DAILY_TABLE, daily, ("date",), _dates_in(touched), player_filters(), PLAYER_SORT)
             codes = sorted({f"{d:%Y%m}" for d in touched})
             others = store.read(DAILY_TABLE, TABLE_SCHEMAS[DAILY_TABLE], parts=~_dates_in(touched) & month_of_part().isin(codes))
             monthly = rollup.monthly_rollup(daily.select(*others.columns).unionByName(others))

@@ -135,7 +135,9 @@ class Run:
         self.added: list[DataFrame] = []
         self.gone: list[tuple[str, Column | DataFrame]] = []
 
-    def _write(self, table: str, rows: DataFrame, columns: Sequence[str], options: dict[str, str], sort: Sequence[str]) -> DataFrame:
+    def _write(self, table: str, rows: DataFrame, columns: Sequence[str], options: dict[str, str],
+               sort: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+        """The new (table, part, version) rows, and the rows as they are read from their folder."""
         version = uuid.uuid4().hex  # a folder of its own for each write
         path = f"{self.store.base}/{table}/{_VERSION}={version}"
         out = rows.hint("rebalance", *columns) if columns else rows
@@ -147,22 +149,23 @@ class Run:
         part = partition_path(columns) if columns else F.lit("")
         new = written.select(F.lit(table).alias("table"), part.alias("part"), F.lit(version).alias("version")).distinct()
         self.added.append(new)
-        return new
+        return new, written.select(*rows.columns)
 
     def replace(self, table: str, rows: DataFrame, columns: Sequence[str], scope: Column | None = None,
-                options: dict[str, str] | None = None, sort: Sequence[str] = ()) -> None:
+                options: dict[str, str] | None = None, sort: Sequence[str] = ()) -> DataFrame:
         """The partitions that ``scope`` (a condition on column part; None: all) names become those of ``rows``.
 
         Partitions in the scope that ``rows`` lacks vanish; rows must not have partitions outside it. ``sort`` orders
-        the rows of each file, so that statistics and Bloom filters of its row groups let reads skip them.
+        the rows of each file, so that statistics and Bloom filters of its row groups let reads skip them. Returns the
+        rows as they are read from their folder, so that what builds on them needs no second copy.
         """
         self.gone.append((table, F.lit(True) if scope is None else scope))
-        self._write(table, rows, columns, options or {}, sort)
+        return self._write(table, rows, columns, options or {}, sort)[1]
 
     def replace_present(self, table: str, rows: DataFrame, columns: Sequence[str], options: dict[str, str] | None = None,
                         sort: Sequence[str] = ()) -> None:
         """Only the partitions that ``rows`` has become those of ``rows``."""
-        self.gone.append((table, self._write(table, rows, columns, options or {}, sort).select("table", "part")))
+        self.gone.append((table, self._write(table, rows, columns, options or {}, sort)[0].select("table", "part")))
 
     def append(self, table: str, rows: DataFrame, columns: Sequence[str] = (), options: dict[str, str] | None = None,
                sort: Sequence[str] = ()) -> None:

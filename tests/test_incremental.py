@@ -84,6 +84,23 @@ def test_a_late_sign_up_rewrites_only_what_holds_the_player(spark, tmp_path):
     assert (res.dates, res.corrected) == (0, 0)
 
 
+def test_late_sign_ups_merge_no_hours(spark, tmp_path, monkeypatch):
+    """A batch of sign-ups alone takes the stored hours as they are; days are built on the hours that the run has written."""
+    base, built = str(tmp_path / "store"), []
+    levels = [event(user=u, ts=ms(f"2024-01-0{d} 06:10:00"), levelId="L", status="COMPLETED") for u in ("u1", "u2", "u2") for d in (1, 2)]
+    signup = [event(user="u1", ts=ms("2023-12-30 00:00:00"), attribution="organic", action="SIGN_UP")]
+    N.apply_events(spark, events_df(spark, levels), base)
+    store, daily = Store(spark, base), rollup.daily_rollup
+    before = rows(store.partitions(N.STATE_TABLE))
+    monkeypatch.setattr(N.rollup, "merged_hours", lambda states: pytest.fail("stored hours are merged again"))
+    monkeypatch.setattr(N.rollup, "daily_rollup", lambda hourly: built.extend(hourly.inputFiles()) or daily(hourly))
+    res = N.apply_events(spark, events_df(spark, signup), base)
+    assert (res.dates, res.corrected) == (0, 2) and rows(store.partitions(N.STATE_TABLE)) == before
+    assert built and all(f"/{HOURLY_TABLE}/v=" in f for f in built)
+    monkeypatch.undo()
+    assert kept(spark, base) == whole(spark, events_df(spark, levels + signup), str(tmp_path / "whole"))
+
+
 def test_history_is_not_read_again(spark, tmp_path):
     """A batch reads the stored partitions of its own dates and months, however many others there are."""
     base = str(tmp_path / "store")
