@@ -100,12 +100,11 @@ def brute(spark):
     classes = brute_classes([(i, brute_fp(t)) for i, t in rows])
     rows = [(i, t) for i, t in rows if classes[i] == i]
     terms = {}
-    for at, s, e in brute_terms([t for _, t in rows], 8, 0.8, 2):
+    for at, s, e in brute_terms([t for _, t in rows], 0.8):
         terms.setdefault(at, []).append(("term", s, e))
     out = {}
     for at, (i, t) in enumerate(rows):
-        spans = pii.in_order(pii.find(t) + terms.get(at, []), pii.KINDS)
-        out[i] = pii.sanitised(t, spans)
+        out[i] = pii.sanitised(t, pii.find(t) + terms.get(at, []))
     return out
 
 
